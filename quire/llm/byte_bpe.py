@@ -103,7 +103,8 @@ class ByteBpe:
         if len(ranks) and self.single.min() < 0:
             raise ValueError("a byte-level vocabulary holds every single byte")
         self.cache: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes | None] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.gaps: set[str] = set()
 
     def _matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Ids of each piece as little-endian 32-bit integers."""
@@ -200,20 +201,17 @@ class ByteBpe:
             if len(self.cache) + len(self.spaced) > CACHE:
                 self.cache.clear()
                 self.spaced.clear()
-            fresh = set().union(*parts).difference(self.spaced)
-            new = {p: self.split.findall(" " + p) for p in fresh if not _gap(p)}
-            self.spaced.update(dict.fromkeys(fresh - new.keys()))
-            spaced = self.spaced
-            whole = [self.split.findall(t if _gap(p[0]) or None in map(spaced.get, p[1:], p[1:]) else p[0]) for t, p in zip(group, parts, strict=True)]
+                self.gaps.clear()
+            fresh = set().union(*parts).difference(self.spaced, self.gaps)
+            self.gaps.update(p for p in fresh if _gap(p))
+            new = {p: self.split.findall(" " + p) for p in fresh - self.gaps}
+            plain = [not _gap(p[0]) and self.gaps.isdisjoint(p) for p in parts]
+            whole = [self.split.findall(p[0] if ok else t) for t, p, ok in zip(group, parts, plain, strict=True)]
             self.learn(set().union(*new.values(), *whole).difference(self.cache))
-            get, known = self.cache.__getitem__, spaced.__getitem__
-            spaced.update({p: b"".join(map(get, words)) for p, words in new.items()})
-            for p, words in zip(parts, whole, strict=True):
-                head = p[0]
-                if _gap(head) or None in map(known, p[1:]):
-                    yield b"".join(map(get, words))
-                else:
-                    yield b"".join(map(get, words)) + b"".join(map(known, p[1:]))
+            get, known = self.cache.__getitem__, self.spaced.__getitem__
+            self.spaced.update({p: b"".join(map(get, words)) for p, words in new.items()})
+            for p, ok, words in zip(parts, plain, whole, strict=True):
+                yield b"".join(map(get, words)) + (b"".join(map(known, p[1:])) if ok else b"")
 
     def decode_bytes(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
