@@ -115,3 +115,18 @@ def components(links: DataFrame, left: str = "a", right: str = "b", max_rounds:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def drop_marked(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without marked rows. ``keys``: doc_id, raw, n rows of that key, n_kept of them.
+
+    A row's key is its id with the hash of its raw text, so an id that names several texts is no
+    trouble. Rows without a key stay. Where n_kept of n equal rows stay, one of them does.
+    """
+    keys = written(keys.select(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw"), F.col("n_kept").alias("__kept")), "marks")
+    rows = docs.withColumn("__own", F.xxhash64(F.col(text_col)))
+    rows = rows.join(keys, rows[id_col].eqNullSafe(keys["__id"]) & (rows["__own"] == keys["__raw"]), "left")
+    stay = rows.where("__kept is null").select(docs.columns)
+    if keys.where("__kept > 0").isEmpty():
+        return stay
+    return stay.union(rows.where("__kept > 0").dropDuplicates(["__id", "__raw"]).select(docs.columns))

@@ -6,14 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.llm import exact_dedup
 from quire.llm.byte_bpe import op3_byte_bpe
+from quire.llm.exact_dedup import op8_exact_dedup
+from quire.llm.embedding_dedup import op9_embedding_dedup
+from quire.llm.mixing import op6_mixing
+from quire.llm.quality import op7_quality_gam
+from quire.llm.sharding import op1_mcf_sharding
+from quire.llm.toxicity import op2_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_byte_bpe": op3_byte_bpe}
+    return {
+        "op1_mcf_sharding": op1_mcf_sharding,
+        "op2_toxicity": op2_toxicity,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op6_mixing": op6_mixing,
+        "op7_quality_gam": op7_quality_gam,
+        "op8_exact_dedup": op8_exact_dedup,
+        "op9_embedding_dedup": op9_embedding_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact_dedup": exact_dedup.OP8_SQL}
