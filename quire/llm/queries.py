@@ -11,7 +11,10 @@ from quire.llm.byte_bpe import op3_byte_bpe
 from quire.llm.exact_dedup import op8_exact_dedup
 from quire.llm.embedding_dedup import op9_embedding_dedup
 from quire.llm.mixing import op6_mixing
+from quire.llm.ngram_join import op5_ngram_join
+from quire.llm.pii import op4_pii
 from quire.llm.quality import op7_quality_gam
+from quire.llm.repeats import op10_rindex_repeats
 from quire.llm.sharding import op1_mcf_sharding
 from quire.llm.toxicity import op2_toxicity
 
@@ -23,10 +26,13 @@ def queries() -> dict[str, Query]:
         "op1_mcf_sharding": op1_mcf_sharding,
         "op2_toxicity": op2_toxicity,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_pii": op4_pii,
+        "op5_ngram_join": op5_ngram_join,
         "op6_mixing": op6_mixing,
         "op7_quality_gam": op7_quality_gam,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_embedding_dedup": op9_embedding_dedup,
+        "op10_rindex_repeats": op10_rindex_repeats,
     }
 
 
