@@ -112,10 +112,22 @@ def _edges(found: Column, extra: list[Column]) -> list[Column]:
     return [*extra, found["value"].alias("value"), found["start"].alias("start"), found["stop"].alias("stop"), form(found["value"]).alias("form"), F.explode(sides).alias("s")]
 
 
+def _named(kind: str) -> Column:
+    return F.transform(kind, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x")))
+
+
+def _of_kind(kind: str) -> Column:
+    return F.filter("added", lambda x: x["kind"] == kind)
+
+
+def _places(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
+
+
 def extract(docs: DataFrame, least_seeds: int = 3, confidence: float = 0.8, prior: float = 1.0, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, counts of base spans, base_sha256, spans, n_added."""
     rows = written(scanned(docs, id_col, text_col), "pii-rows")
-    named = F.concat(*(F.transform(kind, lambda x, k=kind: F.struct(F.lit(k).alias("kind"), x.alias("x"))) for kind in KINDS))
+    named = F.concat(*(_named(kind) for kind in KINDS))
     seeds = rows.select("doc_id", "raw", F.explode(named).alias("s")).select(*_edges(F.col("s.x"), [F.col("s.kind").alias("kind")])).select("kind", "value", "form", "s.*", F.lit(1.0).alias("fixed")).distinct()
     # candidates: tokens without the marks around them, outside base spans
     token = F.col("x")
@@ -142,7 +154,7 @@ def extract(docs: DataFrame, least_seeds: int = 3, confidence: float = 0.8, prio
         doubt = graph.where("fixed is null").join(trust, [*key, "gives"]).groupBy("value").agg(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))).alias("doubt"))
         scores = scores.join(doubt, "value", "left").select("value", "fixed", F.coalesce("fixed", 1 - F.exp("doubt"), F.lit(0.0)).alias("score"))
         scores = written(scores, "pii-scores")
-    base = {kind: F.transform(F.col(kind), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))) for kind in KINDS}
+    base = {kind: _places(F.col(kind)) for kind in KINDS}
     if trust is None:
         out = rows.withColumn("added", F.array().cast("array<struct<kind:string,start:bigint,stop:bigint>>"))
     else:
@@ -153,7 +165,7 @@ def extract(docs: DataFrame, least_seeds: int = 3, confidence: float = 0.8, prio
         found = found.groupBy(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")).agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop"))).alias("added"))
         out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("raw") == F.col("__raw")), "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<kind:string,start:bigint,stop:bigint>>")))
     said = lambda kind, xs: F.transform(xs, lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["stop"].cast("string")))
-    every = {kind: F.array_sort(F.concat(base[kind], F.transform(F.filter("added", lambda x, k=kind: x["kind"] == k), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))))) for kind in KINDS}
+    every = {kind: F.array_sort(F.concat(base[kind], _places(_of_kind(kind)))) for kind in KINDS}
     return out.select(
         "doc_id",
         *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS),
