@@ -75,12 +75,16 @@ def shares(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = WEIGHTS, s
     goal = written(goal.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size"))), "mix-goals")
     both = _beside(rows, goal.select("source", "source_size", "rest"))
     big = F.col("size") * LONG > F.col("source_size")
-    picks = both.where(big).groupBy("source", "source_size", "rest").agg(F.sum("size").alias("big_words"), F.sort_array(F.collect_list(F.struct("k", "size"))).alias("rows"))
-    # from the share of long rows in the source, take each in turn if it fits
+    # equal rows share a decision, so they are one item
+    items = both.where(big).groupBy("source", "source_size", "rest", "k").agg(F.sum("size").alias("size"))
+    picks = items.groupBy("source", "source_size", "rest").agg(F.sum("size").alias("big_words"), F.sort_array(F.collect_list(F.struct("k", "size"))).alias("rows"))
     room = F.when(F.col("big_words") * LONG >= F.col("source_size") * (LONG - 1), F.col("rest")).otherwise(F.col("rest") * F.col("big_words") / F.col("source_size"))
-    start = F.struct(room.alias("room"), F.array().cast("array<bigint>").alias("picks"))
-    fit = F.aggregate("rows", start, lambda a, x: F.when(x["size"] <= a["room"], F.struct((a["room"] - x["size"]).alias("room"), F.array_append(a["picks"], x["k"]).alias("picks"))).otherwise(a))
-    picks = picks.select("source", fit.alias("fit"), room.alias("room")).select("source", "fit.picks", (F.col("room") - F.col("fit.room")).alias("picked"))
+    # from the share of long rows in the source, take each in turn if it fits; longest first only
+    # where chance leaves a gap
+    by_chance = _fitted(F.col("rows"), room)
+    by_size = _fitted(F.sort_array(F.transform("rows", lambda x: F.struct((-x["size"]).alias("s"), x["k"].alias("k"), x["size"].alias("size")))), room)
+    gap = (by_chance["room"] * 200 > F.col("source_size")) & (by_size["room"] < by_chance["room"])
+    picks = picks.select("source", F.when(gap, by_size).otherwise(by_chance).alias("fit"), room.alias("room")).select("source", "fit.picks", (F.col("room") - F.col("fit.room")).alias("picked"))
     goal = _beside(goal, picks).withColumn("fill", F.greatest(F.lit(0.0), F.col("rest") - F.coalesce("picked", F.lit(0.0))))
     goal = written(goal.withColumn("picks", F.coalesce("picks", F.array().cast("array<bigint>"))).drop("picked"), "mix-picks")
     blocks = written(both.groupBy("source", "blk").agg(F.sum(F.when(~big, F.col("size")).otherwise(0)).alias("words")), "mix-blocks")
@@ -95,6 +99,12 @@ def shares(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = WEIGHTS, s
     return written(_beside(_beside(goal, ends.drop("room")), cut), "mix-shares"), blocks
 
 
+def _fitted(items: Column, room: Column) -> Column:
+    """struct(room left, picks): each (k, size) in turn that still fits."""
+    start = F.struct(room.alias("room"), F.array().cast("array<bigint>").alias("picks"))
+    return F.aggregate(items, start, lambda a, x: F.when(x["size"] <= a["room"], F.struct((a["room"] - x["size"]).alias("room"), F.array_append(a["picks"], x["k"]).alias("picks"))).otherwise(a))
+
+
 def _beside(rows: DataFrame, by_source: DataFrame) -> DataFrame:
     """Left join on the source, null being equal to null."""
     named = by_source.withColumnRenamed("source", "__s")
