@@ -43,30 +43,41 @@ EDGES = r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$"
 _SPAN = "array<struct<start:bigint,stop:bigint,value:string,left:string,right:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches with their places and the words beside them."""
-    parts, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _once(x: Column, f) -> Column:
+    """f(x) with x computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _starts(z: Column) -> Column:
+    """Places of the matches, from the lengths of what lies between them."""
     empty = F.array().cast("array<bigint>")
-    ahead = F.aggregate(
-        F.arrays_zip(parts.alias("p"), found.alias("m")),
+    return F.aggregate(
+        F.arrays_zip(z["p"].alias("p"), z["m"].alias("m")),
         F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("starts")),
         lambda a, x: F.when(x["m"].isNull(), a).otherwise(F.struct((a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"), F.array_append(a["starts"], a["at"] + F.length(x["p"])).alias("starts"))),
         lambda a: a["starts"],
     )
+
+
+def located(text: Column, pattern: str) -> Column:
+    """All matches with their places and the words beside them."""
     word = r"[^\x20\x09-\x0D]+"
 
-    def one(z: Column, i: Column) -> Column:
+    def one(z: Column) -> Column:
         return F.struct(
             z["s"].alias("start"),
             (z["s"] + F.length(z["m"])).alias("stop"),
             z["m"].alias("value"),
-            F.lower(F.regexp_extract(F.right(F.get(z["p"], F.lit(0)), F.lit(48)), rf"({word})[\x20\x09-\x0D]*$", 1)).alias("left"),
-            F.lower(F.regexp_extract(F.left(F.get(z["p"], F.lit(1)), F.lit(48)), rf"^[\x20\x09-\x0D]*({word})", 1)).alias("right"),
+            F.lower(F.regexp_extract(F.right(z["l"], F.lit(48)), rf"({word})[\x20\x09-\x0D]*$", 1)).alias("left"),
+            F.lower(F.regexp_extract(F.left(z["r"], F.lit(48)), rf"^[\x20\x09-\x0D]*({word})", 1)).alias("right"),
         )
 
-    sides = F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.array(F.get(parts, i), F.get(parts, i + 1)))
-    zipped = F.arrays_zip(ahead.alias("s"), found.alias("m"), sides.alias("p"))
-    return F.when(F.size(found) > 0, F.transform(zipped, one)).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
+    def every(z: Column) -> Column:
+        right = F.slice(z["p"], F.lit(2), F.size(z["p"]))
+        zipped = F.arrays_zip(_starts(z).alias("s"), z["m"].alias("m"), z["p"].alias("l"), right.alias("r"))
+        return F.when(F.size(z["m"]) > 0, F.transform(F.filter(zipped, lambda x: x["m"].isNotNull()), one)).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
+
+    return _once(F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), every)
 
 
 def digits(value: Column) -> Column:
