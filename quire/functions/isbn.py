@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire import constants as C
+from quire.functions.text import let
 
 
 def _digit(x: Column, k: int) -> Column:
@@ -25,8 +26,8 @@ def valid10(x: Column) -> Column:
 
 def normalize(x: Column) -> Column:
     """The bare valid ISBN, or the empty string."""
-    v = F.regexp_replace(F.coalesce(x, F.lit("")), "[^0-9Xx]", "")
-    return F.when(valid13(v), v).when(valid10(v), F.upper(v)).otherwise("")
+    bare = F.regexp_replace(F.coalesce(x, F.lit("")), "[^0-9Xx]", "")
+    return let(bare, lambda v: F.when(valid13(v), v).when(valid10(v), F.upper(v)).otherwise(""))
 
 
 def extract(text: Column, most: int = 3) -> Column:

@@ -46,9 +46,8 @@ def strip_chars(x: Column, chars: str) -> Column:
 def sanitize(x: Column, most: int = 90) -> Column:
     """A name that any file system takes."""
     v = squeeze(strip_chars(F.regexp_replace(clean(x), C.INVALID_FS_CHARS, "_"), " ."))
-    v = F.when(v == "", "Unknown").otherwise(v)
-    v = F.when(F.length(v) > most, F.regexp_replace(F.left(v, F.lit(most)), "[ .]+$", "")).otherwise(v)
-    return F.when(v == "", "Unknown").otherwise(v)
+    cut = let(v, lambda w: F.when(F.length(w) > most, F.regexp_replace(F.left(w, F.lit(most)), "[ .]+$", "")).otherwise(w))
+    return let(cut, lambda w: F.when(w == "", "Unknown").otherwise(w))
 
 
 def first_letter(author: Column) -> Column:
@@ -62,9 +61,12 @@ def truncate(x: Column, most: int) -> Column:
 
 def is_garbage(x: Column) -> Column:
     """A placeholder, a machine number (but not a short one such as a year), or under two characters."""
-    v = F.lower(clean(x))
-    numeric = v.rlike(rf"^(?:\p{{Nd}}|[_.\-]|{WS})+$") & (F.contains(v, F.lit("_")) | (F.length(F.regexp_replace(v, rf"[_.\-]|{WS}", "")) >= 5))
-    return v.isin(C.SKIP_VALUES) | numeric | (F.length(v) < 2)
+
+    def judged(v: Column) -> Column:
+        numeric = v.rlike(rf"^(?:\p{{Nd}}|[_.\-]|{WS})+$") & (F.contains(v, F.lit("_")) | (F.length(F.regexp_replace(v, rf"[_.\-]|{WS}", "")) >= 5))
+        return v.isin(C.SKIP_VALUES) | numeric | (F.length(v) < 2)
+
+    return let(F.lower(clean(x)), judged)
 
 
 def has_letters(x: Column, least: int = 24) -> Column:
@@ -80,14 +82,17 @@ def in_script(x: Column, lang: str) -> Column:
 
 def parse_filename(stem: Column) -> Column:
     """struct(author, title) by the first pattern that fits; else the whole stem is the title."""
-    v = clean(F.replace(text_of(stem), F.lit("_"), F.lit(" ")))
-    out = F.struct(F.lit("").alias("author"), v.alias("title"))
-    for first, pattern in reversed(C.FILENAME_PATTERNS):
-        full = f"(?U){pattern}"
-        one, two = clean(F.regexp_extract(v, full, 1)), clean(F.regexp_extract(v, full, 2))
-        pair = F.struct(one.alias("author"), two.alias("title")) if first == "author" else F.struct(two.alias("author"), one.alias("title"))
-        out = F.when(v.rlike(full), pair).otherwise(out)
-    return out
+
+    def parsed(v: Column) -> Column:
+        out = F.struct(F.lit("").alias("author"), v.alias("title"))
+        for first, pattern in reversed(C.FILENAME_PATTERNS):
+            full = f"(?U){pattern}"
+            one, two = clean(F.regexp_extract(v, full, 1)), clean(F.regexp_extract(v, full, 2))
+            pair = F.struct(one.alias("author"), two.alias("title")) if first == "author" else F.struct(two.alias("author"), one.alias("title"))
+            out = F.when(v.rlike(full), pair).otherwise(out)
+        return out
+
+    return let(clean(F.replace(text_of(stem), F.lit("_"), F.lit(" "))), parsed)
 
 
 def looks_like_book_stem(stem: Column) -> Column:
@@ -96,26 +101,37 @@ def looks_like_book_stem(stem: Column) -> Column:
     return ~stem.rlike("[-–—]") & (F.size(parts) >= 3) & (F.size(F.filter(parts, lambda p: p.rlike(r"^\p{Lu}\p{L}*$"))) >= 2)
 
 
+_EDGE = r"^[ .,\-—–:]+"
+
+
 def clean_book_title(title: Column, author: Column) -> Column:
     """Without a machine number at the end and without the author's name at the start."""
-    t = clean(title)
-    cut = F.trim(F.regexp_replace(t, f"(?U){C.TRAILING_ID}", ""))
-    t = F.when((cut != "") & ~is_garbage(cut), cut).otherwise(t)
-    a = clean(author)
-    edge = r"^[ .,\-—–:]+"
-    usable = lambda rest: (rest != "") & ~is_garbage(rest)
-    starts = F.startswith(F.lower(t), F.lower(a))
-    plain = F.regexp_replace(F.substring(t, F.length(a) + 1, F.length(t)), edge, "")
+
+    def without_number(t: Column) -> Column:
+        cut = F.trim(F.regexp_replace(t, f"(?U){C.TRAILING_ID}", ""))
+        return let(cut, lambda c: F.when((c != "") & ~is_garbage(c), c).otherwise(t))
+
+    return F.trim(let(let(clean(title), without_number), lambda t: let(clean(author), lambda a: _without_author(t, a))))
+
+
+def _without_author(t: Column, a: Column) -> Column:
+    or_whole = lambda rest: let(rest, lambda r: F.when((r != "") & ~is_garbage(r), r).otherwise(t))
+    plain = F.regexp_replace(F.substring(t, F.length(a) + 1, F.length(t)), _EDGE, "")
     names = F.transform(F.filter(F.split(a, r"[\s.]+"), lambda p: F.length(p) > 1), F.lower)
-    words = F.split(t, f"{WS}+")
+    known = (a != "") & ~F.lower(a).isin("unknown author", "неизвестный автор")
+    starts = F.startswith(F.lower(t), F.lower(a))
+    swapped = let(F.struct(names.alias("n"), F.split(t, f"{WS}+").alias("w")), lambda z: _after_names(t, z, or_whole))
+    return F.when(known & starts, F.when(F.length(t) > F.length(a) + 1, or_whole(plain)).otherwise(t)).when(known, swapped).otherwise(t)
+
+
+def _after_names(t: Column, z: Column, or_whole) -> Column:
+    """What follows the words at the start that belong to the author, in whatever order."""
+    names, words = z["n"], z["w"]
     in_name = lambda w: F.array_contains(names, strip_chars(F.lower(w), ".,"))
-    # how many words at the start belong to the author
-    lead = F.aggregate(words, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, w: F.struct((s["n"] + (s["on"] & in_name(w)).cast("int")).alias("n"), (s["on"] & in_name(w)).alias("on")), lambda s: s["n"])
-    swapped = F.regexp_replace(F.array_join(F.slice(words, lead + 1, F.greatest(F.size(words), F.lit(1))), " "), edge, "")
+    lead = F.aggregate(words, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, w: let(s["on"] & in_name(w), lambda yes: F.struct((s["n"] + yes.cast("int")).alias("n"), yes.alias("on"))), lambda s: s["n"])
+    rest = F.regexp_replace(F.array_join(F.slice(words, lead + 1, F.greatest(F.size(words), F.lit(1))), " "), _EDGE, "")
     fits = (F.size(names) >= 2) & F.forall(names, lambda p: F.contains(F.lower(t), p)) & F.array_contains(names, F.lower(F.get(words, F.lit(0))))
-    known = (a != "") & ~F.lower(a).isin("unknown author", "неизвестный автор")
-    t = F.when(known & starts, F.when((F.length(t) > F.length(a) + 1) & usable(plain), plain).otherwise(t)).when(known & fits & usable(swapped), swapped).otherwise(t)
-    return F.trim(t)
+    return F.when(fits, or_whole(rest)).otherwise(t)
 
 
 # --- paths: '/' separates, a leading dot makes no suffix ----------------------------------------

@@ -43,25 +43,30 @@ def assemble(files: DataFrame, prefer_tags: bool = False) -> DataFrame:
 def isbn_candidates(path: Column, fields: list[Column], text: Column) -> Column:
     """From name and known fields; from the text only if they give none."""
     from_fields = I.extract(F.concat_ws("\n", T.name_of(path), T.stem_of(path), *fields))
-    return F.when(F.size(from_fields) > 0, from_fields).otherwise(I.extract(F.left(text, F.lit(1600))))
+    return T.let(from_fields, lambda found: F.when(F.size(found) > 0, found).otherwise(I.extract(F.left(text, F.lit(1600)))))
+
+
+def _some(x: Column) -> Column:
+    """x unless it is empty or garbage, else null."""
+    return T.let(T.text_of(x), lambda v: F.when((v != "") & ~T.is_garbage(v), v))
 
 
 def best_title(title: Column, path: Column, chain: Column) -> Column:
     """Metadata, 'author - title' names of file or archives, a wordy archive name, the file name."""
-    some = lambda x: F.when((T.text_of(x) != "") & ~T.is_garbage(x), x)
-    own = T.parse_filename(T.stem_of(path))
-    archives = F.transform(chain, lambda a: T.parse_filename(T.stem_of(a)))
-    good = F.filter(archives, lambda p: (p["title"] != "") & ~T.is_garbage(p["title"]))
-    full = F.filter(good, lambda p: p["author"] != "")
     words = lambda t: F.filter(F.split(t, " "), lambda w: w.rlike(r"^\p{L}{3,}$"))
-    wordy = F.filter(good, lambda p: F.size(words(p["title"])) >= 2)
-    return F.coalesce(some(title), F.when(own["author"] != "", some(own["title"])), F.get(full, F.lit(0))["title"], F.get(wordy, F.lit(0))["title"], some(own["title"]), T.stem_of(path))
+
+    def of_archives(good: Column) -> Column:
+        full = F.filter(good, lambda p: p["author"] != "")
+        wordy = F.filter(good, lambda p: F.size(words(p["title"])) >= 2)
+        return F.coalesce(F.get(full, F.lit(0))["title"], F.get(wordy, F.lit(0))["title"])
+
+    archives = F.filter(F.transform(chain, lambda a: T.parse_filename(T.stem_of(a))), lambda p: (p["title"] != "") & ~T.is_garbage(p["title"]))
+    return T.let(T.parse_filename(T.stem_of(path)), lambda own: F.coalesce(_some(title), F.when(own["author"] != "", _some(own["title"])), T.let(archives, of_archives), _some(own["title"]), T.stem_of(path)))
 
 
 def best_author(author: Column, path: Column, chain: Column) -> Column:
-    some = lambda x: F.when((T.text_of(x) != "") & ~T.is_garbage(x), x)
     archives = F.filter(F.transform(chain, lambda a: T.parse_filename(T.stem_of(a))["author"]), lambda a: (a != "") & ~T.is_garbage(a))
-    return F.coalesce(some(author), some(T.parse_filename(T.stem_of(path))["author"]), F.get(archives, F.lit(0)), F.lit("Unknown Author"))
+    return F.coalesce(_some(author), _some(T.parse_filename(T.stem_of(path))["author"]), F.get(archives, F.lit(0)), F.lit("Unknown Author"))
 
 
 def _low(x: Column) -> Column:

@@ -56,7 +56,7 @@ def actions(roots: list[str], spark: SparkSession, config: Config, known: DataFr
     copies = books.where("status = 'duplicate'").select("path", "archive_chain", "archive_source", "size_bytes", F.when(F.col("archive_source").isNull(), "duplicate").otherwise("duplicate_temp").alias("status"), "reason", "xxh64", T.duplicate_path(config.duplicates, F.col("xxh64"), F.col("path"), F.col("archive_source")).alias("dest"))
     told = describe(books.where("status = 'unique'"), config)
     title, author = M.best_title(F.col("title"), F.col("path"), F.col("archive_chain")), M.best_author(F.col("author"), F.col("path"), F.col("archive_chain"))
-    told = told.withColumn("title", T.clean_book_title(title, author)).withColumn("author", author).withColumn("genre", G.translated(F.col("genre"), config.language))
+    told = told.withColumn("__title", title).withColumn("__author", author).withColumn("title", T.clean_book_title(F.col("__title"), F.col("__author"))).withColumn("author", F.col("__author")).withColumn("genre", G.translated(F.col("genre"), config.language))
     told = told.withColumn("dest", T.destination_path(config.target, F.col("genre"), F.col("author"), F.col("title")))
     told = dedupe.unique_names_by_hash(told, "dest", "xxh64", ["archive_chain", "path"], F.regexp_replace("dest", r"\.zip$", ""), F.lit(".zip"))
     packed = told.select("path", "archive_chain", "archive_source", "size_bytes", F.lit("packed").alias("status"), "reason", "xxh64", F.col("unique_dest").alias("dest"), "title", "author", "genre", "source", "confidence", "isbn_candidates", "lm_decision", "lm_route")
