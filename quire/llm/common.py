@@ -6,6 +6,7 @@ folder named by ``spark.checkpoint.dir``, so a lost executor costs a re-read and
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,7 +36,26 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/quire/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing will read again, and let finished shuffles go.
+
+    Shuffle files stay until the driver collects the plans that made them; a collection here
+    frees them between rounds instead of whenever one happens to come.
+    """
+    spark = None
+    for df in tables:
+        if (path := getattr(df, "_written_to", None)) is not None:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    if spark is not None:
+        spark._jvm.System.gc()
 
 
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:

@@ -7,7 +7,7 @@
 3. Classes join on prefix shingles. Length and position bounds are part of the join; the suffix
    filter bounds the Hamming distance of the sets from below by that of their sketches.
 4. Pairs that are left are verified on whole sets, once per pair. Sets are made again for the
-   classes in question only, found through a bitmap of fixed size.
+   classes in question only, whose texts are found through a bitmap of fixed size.
 
 A shingle shared by more than ``star`` classes does not emit all pairs: its classes are first
 compared with one leader, then (in further rounds, with other leaders) only with classes that are
@@ -30,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import TextBatch, components, drop_marked, mix64, table, written
+from quire.llm.common import TextBatch, components, discard, drop_marked, mix64, table, written
 
 COUNTER_BITS, SLICE_BITS = 18, 12
 NODE_BITS = 26
+LANES = 16
+SKETCH = [f"s{k}" for k in range(LANES)]
 _ODD = np.array([0x9E6C63D0876A9A99, 0xC2B2AE3D27D4EB4F, 0xB492B66FBE98F273, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -74,8 +76,8 @@ def digest(shingles: np.ndarray) -> bytes | None:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """256 parity bits: each differing shingle flips one, so distance never exceeds the sets'."""
-    bits = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & 255, minlength=256) & 1
+    """Parity bits: each differing shingle flips one, so distance never exceeds the sets'."""
+    bits = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (64 * LANES - 1), minlength=64 * LANES) & 1
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
@@ -115,7 +117,7 @@ def shingle_counters(source: DataFrame, width: int) -> np.ndarray:
 
 
 def prefixes(source: DataFrame, counters: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Per document: doc_id, raw, d (digest of the set), n, s0..s3 (sketch), prefix (rare first)."""
+    """Per document: doc_id, raw, d (digest of the set), n, sketch columns, prefix (rare first)."""
     shared = source.sparkSession.sparkContext.broadcast(counters)
     id_type = source.schema["doc_id"].dataType.simpleString()
 
@@ -124,7 +126,7 @@ def prefixes(source: DataFrame, counters: np.ndarray, width: int, percent: int)
         for batch in batches:
             texts = TextBatch(batch.column("text"))
             for a, b in texts.groups():
-                d, n, s, p = [], [], np.zeros((b - a, 4), np.int64), []
+                d, n, s, p = [], [], np.zeros((b - a, LANES), np.int64), []
                 for i in range(a, b):
                     x = make.of(texts.text(i))
                     d.append(digest(x))
@@ -137,17 +139,24 @@ def prefixes(source: DataFrame, counters: np.ndarray, width: int, percent: int)
                         p.append(np.zeros(0, np.int64))
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in p]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("raw").slice(a, b - a), pa.array(d, pa.binary()), pa.array(n, pa.int32()), *(pa.array(s[:, k]) for k in range(4)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(p)))],
-                    names=["doc_id", "raw", "d", "n", "s0", "s1", "s2", "s3", "prefix"],
+                    [batch.column("doc_id").slice(a, b - a), batch.column("raw").slice(a, b - a), pa.array(d, pa.binary()), pa.array(n, pa.int32()), *(pa.array(s[:, k]) for k in range(LANES)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(p)))],
+                    names=["doc_id", "raw", "d", "n", *SKETCH, "prefix"],
                 )
 
-    return source.mapInArrow(run, f"doc_id {id_type}, raw long, d binary, n int, s0 long, s1 long, s2 long, s3 long, prefix array<long>")
+    return source.mapInArrow(run, f"doc_id {id_type}, raw long, d binary, n int, {', '.join(f'{c} long' for c in SKETCH)}, prefix array<long>")
 
 
-def _sets(source: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(d, shingles) of the classes in ``pairs``; others may come along, none is left out."""
-    nodes = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).select((F.pmod(F.xxhash64("d"), F.lit(1 << NODE_BITS)) + 1).alias("x"))
-    marks = nodes.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+def _sets(source: DataFrame, pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(d, shingles) of the classes in ``pairs``; others may come along, none is left out.
+
+    A class with copies in several tasks comes once from each.
+
+    ``texts`` names one text of each class by its hash. Texts outside a bitmap of those hashes are
+    passed over before anything is made of them.
+    """
+    nodes = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct()
+    places = nodes.join(texts, "d").select((F.pmod("raw", F.lit(1 << NODE_BITS)) + 1).alias("x"))
+    marks = places.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
     wanted = np.zeros((1 << NODE_BITS) // 8, np.uint8)  # a fixed size, whatever the input
     for row in marks.collect():
         start = (row["bucket"] - 1) * 4096
@@ -155,34 +164,24 @@ def _sets(source: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast(wanted)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(width)
+        make, seen = Shingler(width), set()
         for batch in batches:
-            texts, seen = TextBatch(batch.column("text")), set()
+            place = batch.column("raw").to_numpy() & np.int64((1 << NODE_BITS) - 1)
+            batch = batch.filter(pa.array((shared.value[place >> 3] >> (place & 7) & 1).astype(bool)))
+            texts = TextBatch(batch.column("text"))
             for a, b in texts.groups():
                 d, sets = [], []
                 for i in range(a, b):
                     x = make.of(texts.text(i))
                     name = digest(x)
-                    if name is not None and name not in seen and _marked(shared.value, name):
+                    if name is not None and name not in seen:
                         seen.add(name)
                         d.append(name)
                         sets.append(x.view(np.int64))
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], names=["d", "shingles"])
 
-    return source.select("text").mapInArrow(digests, "d binary, shingles array<long>").groupBy("d").agg(F.first("shingles").alias("shingles"))
-
-
-def _place(name: bytes) -> int:
-    """The bit of a class: must agree with pmod(xxhash64(d), 2**NODE_BITS)."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(name, 42) % (1 << NODE_BITS)
-
-
-def _marked(wanted: np.ndarray, name: bytes) -> bool:
-    x = _place(name)
-    return bool(wanted[x >> 3] >> (x & 7) & 1)
+    return source.select("raw", "text").mapInArrow(digests, "d binary, shingles array<long>")
 
 
 def _could_link(percent: int) -> Column:
@@ -195,7 +194,7 @@ def _could_link(percent: int) -> Column:
 
 def _near_sketch(percent: int) -> Column:
     """Suffix filter: a linked pair differs in (100 - t) / (100 + t) of n_l + n_r at most."""
-    distance = sum((F.bit_count(F.col(f"l.s{k}").bitwiseXOR(F.col(f"r.s{k}"))) for k in range(4)), F.lit(0))
+    distance = sum((F.bit_count(F.col(f"l.s{k}").bitwiseXOR(F.col(f"r.s{k}"))) for k in range(LANES)), F.lit(0))
     return (100 + percent) * distance <= (100 - percent) * (F.col("l.n") + F.col("r.n"))
 
 
@@ -204,16 +203,21 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def link_texts(docs: DataFrame, width: int = 3, percent: int = 90, star: int = 4, star_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_texts(docs: DataFrame, width: int = 3, percent: int = 90, star: int = 4, star_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, raw, n_shingles, component_id, grp (names the component)."""
     source = _source(docs, id_col, text_col)
-    rows = written(prefixes(source, shingle_counters(source, width), width, percent), "join-rows")
-    classes = rows.where("d is not null").groupBy("d").agg(F.min("doc_id").alias("least_id"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3", "prefix")))
+    whole = written(prefixes(source, shingle_counters(source, width), width, percent), "join-prefixes")
+    rows = written(whole.select("doc_id", "raw", "d", "n"), "join-rows")
+    classes = whole.where("d is not null").groupBy("d").agg(F.min("doc_id").alias("least_id"), F.min("raw").alias("raw"), *(F.first(c).alias(c) for c in ("n", *SKETCH, "prefix")))
     classes = written(classes, "join-classes")
+    discard(whole)
     entries = classes.select("d", "n", F.posexplode("prefix").alias("pos", "h"))
     often = entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     shared = written(entries.join(often, "h"), "join-entries")
-    slim = classes.select("d", "n", "s0", "s1", "s2", "s3")
+    slim = written(classes.drop("prefix"), "join-slim")
+    discard(classes)
+    classes = slim
+    slim = classes.select("d", "n", *SKETCH)
     crowded = written(shared.where(F.col("c") > star).drop("c").join(slim.drop("n"), "d"), "join-crowded")
 
     few = shared.where(F.col("c") <= star)
@@ -229,7 +233,7 @@ def link_texts(docs: DataFrame, width: int = 3, percent: int = 90, star: int = 4
         if last:
             order = F.col("l.d") < F.col("r.d")
         else:
-            lead = crowd.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "d").alias("o"), "d", "lab", "n", "pos", "s0", "s1", "s2", "s3")).alias("x"))
+            lead = crowd.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "d").alias("o"), "d", "lab", "n", "pos", *SKETCH)).alias("x"))
             right, order = lead.select("h", "x.*"), F.lit(True)
         meets = (F.col("l.h") == F.col("r.h")) & (F.col("l.lab") != F.col("r.lab")) & order & _could_link(percent) & _near_sketch(percent)
         more = _pairs(left.join(right.alias("r"), meets))
@@ -240,12 +244,13 @@ def link_texts(docs: DataFrame, width: int = 3, percent: int = 90, star: int = 4
         more = written(more, "join-pairs")
         if more.isEmpty():
             continue
-        sets = written(_sets(source, more, width), "join-sets")
+        sets = written(_sets(source, more, classes.select("d", "raw"), width), "join-sets")
         both = more.join(sets.select(F.col("d").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("shingles").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), common.alias("m")).where((100 + percent) * F.col("m") >= percent * F.col("n")).select("a", "b")
+        both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), common.alias("m")).where((100 + percent) * F.col("m") >= percent * F.col("n")).select("a", "b").distinct()
         found = written(both if found is None else found.union(both), "join-links")
         tested = more if tested is None else tested.union(more)
+        discard(sets, crowd if labels is not None else None, shared if turn == 0 else None)
         labels = written(components(found), "join-labels")
 
     if labels is None:
