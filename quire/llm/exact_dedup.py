@@ -119,7 +119,8 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, raw."""
     rows = recipes_of(docs, id_col, text_col).groupBy("doc_id", "raw", "recipe", "text_sha256").agg(F.count("*").alias("n"))
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.max(F.struct(F.col("doc_id"), F.col("raw"))).alias("best"))
-    both = rows.join(groups, "recipe")
+    # written, so that both sides of the join are plain exchanges, which Spark can split
+    both = rows.join(written(groups, "groups"), "recipe")
     first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("raw") == F.col("best.raw"))
     return both.select("doc_id", "keep_id", "group_size", first.alias("first"), "text_sha256", "raw", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("turn")).select("doc_id", "keep_id", "group_size", (F.col("first") & (F.col("turn") == 1)).alias("kept"), "text_sha256", "raw")
 
