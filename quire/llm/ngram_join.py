@@ -6,8 +6,9 @@
    set that any partner at the threshold must meet, its size, and a parity sketch of the set.
 3. Classes join on prefix shingles. Length and position bounds are part of the join; the suffix
    filter bounds the Hamming distance of the sets from below by that of their sketches.
-4. Pairs that are left are verified on whole sets, once per pair. Sets are made again for the
-   classes in question only, whose texts are found through a bitmap of fixed size.
+4. Pairs that are left are verified on whole sets, once per pair. Only texts of the classes in
+   question are read again, found through a bitmap of fixed size; a wider sketch spares most
+   pairs that fail the move of their texts.
 
 A shingle shared by more than ``star`` classes does not emit all pairs: its classes are first
 compared with one leader, then (in further rounds, with other leaders) only with classes that are
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import TextBatch, components, discard, drop_marked, mix64, table, written
 
-COUNTER_BITS, SLICE_BITS = 18, 12
+COUNTER_BITS, SLICE_BITS = 20, 14
 NODE_BITS = 26
-LANES = 16
+LANES, WIDE = 16, 64
 SKETCH = [f"s{k}" for k in range(LANES)]
 _ODD = np.array([0x9E6C63D0876A9A99, 0xC2B2AE3D27D4EB4F, 0xB492B66FBE98F273, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0xA0761D6478BD642F], np.uint64)
 
@@ -75,9 +77,9 @@ def digest(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
+def sketch(shingles: np.ndarray, lanes: int = LANES) -> np.ndarray:
     """Parity bits: each differing shingle flips one, so distance never exceeds the sets'."""
-    bits = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (64 * LANES - 1), minlength=64 * LANES) & 1
+    bits = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (64 * lanes - 1), minlength=64 * lanes) & 1
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
@@ -89,6 +91,11 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("raw"), F.col(text_col).alias("text"))
 
 
+def _planes(counts: np.ndarray) -> bytes:
+    """32-bit counters, all lowest bytes first: the others are mostly zero and compress away."""
+    return counts.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
 def shingle_counters(source: DataFrame, width: int) -> np.ndarray:
     """Documents by hashed shingle. Summed in Spark by slice; 2**COUNTER_BITS numbers come back."""
     slices, span = 1 << (COUNTER_BITS - SLICE_BITS), 1 << SLICE_BITS
@@ -100,13 +107,13 @@ def shingle_counters(source: DataFrame, width: int) -> np.ndarray:
             for a, b in texts.groups():
                 found = [make.of(texts.text(i)) for i in range(a, b)]
                 counts += np.bincount((np.concatenate(found) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in counts.reshape(slices, span)], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([_planes(x) for x in counts.reshape(slices, span)], pa.binary())], names=["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint32).astype(np.uint64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint8).reshape(4, span).T.copy().view(np.uint32).ravel().astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
     parts = source.select("text").mapInArrow(count, "slice int, counts binary").repartition(slices, "slice").mapInArrow(add, "slice int, counts binary")
@@ -146,8 +153,10 @@ def prefixes(source: DataFrame, counters: np.ndarray, width: int, percent: int)
     return source.mapInArrow(run, f"doc_id {id_type}, raw long, d binary, n int, {', '.join(f'{c} long' for c in SKETCH)}, prefix array<long>")
 
 
-def _sets(source: DataFrame, pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(d, shingles) of the classes in ``pairs``; others may come along, none is left out.
+def _texts(source: DataFrame, pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(d, n, wide, body) of the classes in ``pairs``; others may come along, none is left out.
+
+    ``wide`` is a sketch of 64 * WIDE bits, ``body`` the text whose shingles the class has.
 
     A class with copies in several tasks comes once from each.
 
@@ -170,18 +179,58 @@ def _sets(source: DataFrame, pairs: DataFrame, texts: DataFrame, width: int) ->
             batch = batch.filter(pa.array((shared.value[place >> 3] >> (place & 7) & 1).astype(bool)))
             texts = TextBatch(batch.column("text"))
             for a, b in texts.groups():
-                d, sets = [], []
+                d, n, wide, bodies = [], [], [], []
                 for i in range(a, b):
-                    x = make.of(texts.text(i))
+                    body = texts.text(i)
+                    x = make.of(body)
                     name = digest(x)
                     if name is not None and name not in seen:
                         seen.add(name)
                         d.append(name)
-                        sets.append(x.view(np.int64))
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], names=["d", "shingles"])
+                        n.append(len(x))
+                        wide.append(sketch(x, WIDE).tolist())
+                        bodies.append(body)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(n, pa.int32()), pa.array(wide, pa.list_(pa.int64())), pa.array(bodies, pa.binary())], names=["d", "n", "wide", "body"])
+
+    return source.select("raw", "text").mapInArrow(digests, "d binary, n int, wide array<long>, body binary")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that reach the similarity.
+
+    A wide sketch of each end settles most of the pairs that do not; whole texts travel only for
+    the others, and their sets are compared as they are.
+    """
+    brief = texts.select("d", "n", "wide").dropDuplicates(["d"])
+    ends = pairs.join(brief.toDF("a", "na", "wa"), "a").join(brief.toDF("b", "nb", "wb"), "b")
+    distance = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = written(ends.where((100 + percent) * distance <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "join-near")
+    bodies = texts.groupBy("d").agg(F.first("body").alias("body"))
+    both = near.join(bodies.toDF("a", "x"), "a").join(bodies.toDF("b", "y"), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Shingler(width)
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                p, q = make.of(x.as_py()), make.of(y.as_py())
+                keep.append((100 + percent) * len(np.intersect1d(p, q, assume_unique=True)) >= percent * (len(p) + len(q)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    with _batches_of(pairs.sparkSession, 64):
+        return written(both.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary").distinct(), "join-verified")
+
 
-    return source.select("raw", "text").mapInArrow(digests, "d binary, shingles array<long>")
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int):
+    """Arrow batches of few rows while long texts travel in pairs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def _could_link(percent: int) -> Column:
@@ -244,13 +293,11 @@ def link_texts(docs: DataFrame, width: int = 3, percent: int = 90, star: int = 4
         more = written(more, "join-pairs")
         if more.isEmpty():
             continue
-        sets = written(_sets(source, more, classes.select("d", "raw"), width), "join-sets")
-        both = more.join(sets.select(F.col("d").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("shingles").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        both = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), common.alias("m")).where((100 + percent) * F.col("m") >= percent * F.col("n")).select("a", "b").distinct()
-        found = written(both if found is None else found.union(both), "join-links")
+        texts = written(_texts(source, more, classes.select("d", "raw"), width), "join-texts")
+        both = _verified(more, texts, width, percent)
+        found = both if found is None else written(found.union(both), "join-links")
         tested = more if tested is None else tested.union(more)
-        discard(sets, crowd if labels is not None else None, shared if turn == 0 else None)
+        discard(texts, crowd if labels is not None else None, shared if turn == 0 else None)
         labels = written(components(found), "join-labels")
 
     if labels is None:
