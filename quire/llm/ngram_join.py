@@ -49,7 +49,7 @@ class Shingler:
 
         class Words(dict):
             def __missing__(self, word: bytes) -> int:
-                if len(self) > 1_500_000:
+                if len(self) > 250_000:
                     self.clear()
                 self[word] = out = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
                 return out
