@@ -250,7 +250,8 @@ def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_
                         cells = [(e["h"] % blocks, -1)]
                     else:
                         own = x1 % e["parts"]
-                        cells = [(e["h"], min(own, k) * e["parts"] + max(own, k)) for k in range(e["parts"])]
+                        # a part's own cell is told by a negative number
+                        cells = [(e["h"], -2 - own if k == own else min(own, k) * e["parts"] + max(own, k)) for k in range(e["parts"])]
                     for k1, k2 in cells:
                         for column, value in zip(out, (k1, k2, x1, x2, e["lo"], piece), strict=True):
                             column.append(value)
@@ -261,7 +262,11 @@ def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_
             yield _passages(out)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held = (0, 0), []
+
+        def due() -> bool:
+            # one passage can repeat within itself: worked in its own cell, not again in cells of two parts
+            return len(held) > 1 or (len(held) == 1 and key[1] < 0)
 
         def work() -> pa.RecordBatch:
             found = list(zip(*block_spans(held, span), strict=True)) or [[]] * 4
@@ -270,11 +275,11 @@ def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_
         for batch in batches:
             for k1, k2, x1, x2, start, body in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "x1", "x2", "start", "body")), strict=True):
                 if (k1, k2) != key:
-                    if len(held) > 1:
+                    if due():
                         yield work()
                     key, held = (k1, k2), []
                 held.append((x1, x2, start, body))
-        if held:
+        if due():
             yield work()
 
     passages = texts.mapInArrow(cut, "k1 long, k2 long, x1 long, x2 long, start long, body binary")

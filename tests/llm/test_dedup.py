@@ -113,6 +113,17 @@ def test_repeats_with_hot_anchor_in_parts(spark, monkeypatch):
     assert got == {k: [(sum(y - x for x, y in r), len(r))] for k, r in enumerate(runs)}
 
 
+@pytest.mark.parametrize("block", [4000, 11_000])
+def test_repeats_within_one_passage_of_a_block(spark, monkeypatch, block):
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    rng = random.Random(5)
+    data = [(k, "".join(rng.choice("abcdefgh ") for _ in range(150 + 5 * k)) * 20 + f" {k}", "en", "a", 1) for k in range(24)]
+    runs = repeated_runs([t.encode() for _, t, *_ in data], 400)
+    assert all(runs)
+    got = by_id(repeats.find_repeats(spark.createDataFrame(data, DOCS)), "n_removed", "n_spans")
+    assert got == {k: [(sum(y - x for x, y in r), len(r))] for k, r in enumerate(runs)}
+
+
 def test_suffix_array_and_runs():
     rng = np.random.default_rng(0)
     parts = [rng.integers(1, 3, n) for n in (50, 1, 90, 30)]
