@@ -11,7 +11,7 @@
    leaves a task are link counts and a spanning forest of the links, never all pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components link with
-nothing; vectors of another length than the most common one link only if equal; a repeated id is
+nothing; vectors of different lengths never link, each length is searched by itself; a repeated id is
 one node of the link graph, its rows are counted singly; an empty table gives no rows; other
 columns are ignored.
 """
@@ -19,6 +19,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -161,12 +162,15 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 0.005, b
     rows = rows.withColumn("bad", F.coalesce(bad, F.lit(True))).withColumn("d1", F.when(~F.col("bad"), F.xxhash64("v", F.lit(1)))).withColumn("d2", F.when(~F.col("bad"), F.xxhash64("v", F.lit(2))))
     classes = rows.where("not bad").groupBy("d1", "d2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("v").alias("v"))
     classes = written(classes, "vec-classes")
-    dims = classes.groupBy(F.size("v").alias("d")).agg(F.sum("m").alias("m"), F.count("*").alias("n")).orderBy(F.desc("m"), "d").first()
+    # lengths that only one class has hold no pair
+    dims = classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).where("n > 1").orderBy("d").collect()
     same = classes.select("d1", "d2", "rep", "m")
-    if dims is None:
+    if not dims:
         counts, comps = same.select("d1", "d2", F.lit(0).cast("long").alias("links")), same.select(F.col("rep").alias("node"), F.col("rep").alias("component"))
     else:
-        counts, comps = _linked(classes.where(F.size("v") == dims["d"]), hashing or choose(dims["n"], dims["d"], cosine, miss), cosine, block)
+        fits = lambda d: hashing is not None and hashing.dim == d
+        found = reduce(DataFrame.union, [_linked(classes.where(F.size("v") == x["d"]), hashing if fits(x["d"]) else choose(x["n"], x["d"], cosine, miss), cosine, block) for x in dims])
+        counts, comps = found.groupBy("d1", "d2").agg(F.sum("links").alias("links")), components(found.select("a", "b"))
     same = same.join(counts, ["d1", "d2"], "left").join(comps, F.col("rep") == F.col("node"), "left")
     same = written(same.select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "vec-links")
     out = rows.drop("v").join(same, ["d1", "d2"], "left")
@@ -174,7 +178,8 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 0.005, b
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def _linked(classes: DataFrame, hashing: CrossPolytope, cosine: float, block: int) -> tuple[DataFrame, DataFrame]:
+def _linked(classes: DataFrame, hashing: CrossPolytope, cosine: float, block: int) -> DataFrame:
+    """(d1, d2, links, a, b): link counts and a spanning forest of classes of one length."""
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast(hashing)
     n_codes = hashing.tables * hashing.probes
@@ -255,8 +260,7 @@ def _linked(classes: DataFrame, hashing: CrossPolytope, cosine: float, block: in
         if held is not None and (out := work(held)) is not None:
             yield out
 
-    found = written(met.mapInArrow(compare, "d1 long, d2 long, links long, a long, b long"), "vec-found")
-    return found.groupBy("d1", "d2").agg(F.sum("links").alias("links")), components(found.select("a", "b"))
+    return written(met.mapInArrow(compare, "d1 long, d2 long, links long, a long, b long"), "vec-found")
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,6 +168,21 @@ def test_embeddings_against_all_pairs(spark, block):
     assert embedding_dedup.link_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_two_lengths(spark):
+    rng = np.random.default_rng(8)
+    data = []
+    for d, first, n in ((24, 0, 60), (10, 100, 20)):
+        base = rng.normal(size=(n // 2, d))
+        data += [(first + k, (base[k % (n // 2)] * (1 + k) + rng.normal(size=d) * 0.02).tolist()) for k in range(n)]
+    data.append((30, data[60 + 3][1]))  # one id with vectors of both lengths joins their components
+    got = {}
+    for r in embedding_dedup.link_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"), miss=1e-4).collect():
+        got.setdefault(r["vec_id"], []).append((r["n_links"], r["component_id"]))
+    assert all(got[100 + k] == [(1, 100 + k % 10)] for k in range(20) if k % 10 != 3)
+    assert all(got[k] == [(1, k % 30)] for k in range(60) if k % 30)
+    assert sorted(got[30]) == [(1, 0), (2, 0)] and got[103] == got[113] == [(2, 0)]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 150)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
