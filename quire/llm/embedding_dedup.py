@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import components, table, written
 
+MANY = 64
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast orthonormal Hadamard transform of the rows; their length is a power of two."""
@@ -86,7 +88,10 @@ class CrossPolytope:
 
 
 def choose(n: int, dim: int, cosine: float, miss: float, probes: int = 3, trials: int = 2000) -> CrossPolytope:
-    """Hash lengths for ``n`` vectors and as many tables as the allowed miss at ``cosine`` asks for."""
+    """Hash lengths for ``n`` vectors and as many tables as the allowed miss at ``cosine`` asks for.
+
+    Hashes are shortened until ``MANY`` tables are enough; single ones get all tables they need.
+    """
     width = 1 << max(0, dim - 1).bit_length()
     k = max(1, int(np.log(max(n, 2)) / np.log(2 * max(2, width))))
     rng = np.random.default_rng(5)
@@ -96,10 +101,16 @@ def choose(n: int, dim: int, cosine: float, miss: float, probes: int = 3, trials
     b -= (a * b).sum(1, keepdims=True) * a
     b /= np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
     b = cosine * a + np.sqrt(1 - cosine**2) * b
-    one = CrossPolytope(dim, k, 1, probes)
-    meet = (one.codes(a)[:, 0, :, None] == one.codes(b)[:, 0, None, :]).any(axis=(1, 2)).mean()
-    tables = int(np.ceil(np.log(miss) / np.log(max(1e-9, 1 - min(meet, 0.999)))))
-    return CrossPolytope(dim, k, min(64, max(2, tables)), probes)
+    while True:
+        one = CrossPolytope(dim, k, 1, probes)
+        meet = (one.codes(a)[:, 0, :, None] == one.codes(b)[:, 0, None, :]).any(axis=(1, 2)).mean()
+        tables = np.ceil(np.log(miss) / np.log1p(-min(meet, 0.999))) if meet > 0 else np.inf
+        if tables <= MANY or k == 1:
+            break
+        k -= 1
+    if tables == np.inf:
+        raise ValueError(f"pairs at cosine {cosine} meet in no bucket")
+    return CrossPolytope(dim, k, max(2, int(tables)), probes)
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

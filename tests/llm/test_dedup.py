@@ -183,6 +183,17 @@ def test_embeddings_of_two_lengths(spark):
     assert sorted(got[30]) == [(1, 0), (2, 0)] and got[103] == got[113] == [(2, 0)]
 
 
+@pytest.mark.parametrize("n, dim, cosine", [(10**9, 64, 0.9), (10**9, 64, 0.5), (10**9, 512, 0.2)])
+def test_tables_keep_the_stated_miss(n, dim, cosine):
+    lsh = embedding_dedup.choose(n, dim, cosine, 0.005)
+    rng = np.random.default_rng(21)
+    a, b = np.linalg.qr(rng.normal(size=(3000, dim, 2)))[0].transpose(2, 0, 1)
+    b = cosine * a + np.sqrt(1 - cosine**2) * b
+    one = embedding_dedup.CrossPolytope(dim, lsh.k, 1, lsh.probes)
+    meet = (one.codes(a)[:, 0, :, None] == one.codes(b)[:, 0, None, :]).any(axis=(1, 2)).mean()
+    assert (1 - meet) ** lsh.tables <= 0.01
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 150)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
