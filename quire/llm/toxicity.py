@@ -150,8 +150,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
 
         return around
 
-    # a context in which a hit says nothing about the label is no hit
-    phrases = _count(sample, contexts).where((F.col("neg") >= least_docs) & (weight <= 0.5)).orderBy(F.desc("neg"), "entry").limit(1000)
+    # a context in which a hit says nothing about the label is no hit; their number is bounded by
+    # the sample, as each is held by ``least_docs`` rows of it
+    phrases = _count(sample, contexts).where((F.col("neg") >= least_docs) & (weight <= 0.5)).orderBy(F.desc("neg"), "entry")
     model = ToxicModel(model.weights, [r["entry"] for r in phrases.collect()])
     final = sample.sparkSession.sparkContext.broadcast(model)
 

@@ -216,6 +216,16 @@ def test_toxicity_on_rows_held_out(spark):
     assert {r["predicted"] for r in toxicity.score(documents(spark), none).collect()} == {0}
 
 
+def test_toxicity_keeps_every_exception(spark):
+    name = lambda k: "".join("bcdfghjk"[k >> 3 * i & 7] for i in range(4))
+    benign = " ".join(f"{name(2 * k)} villain {name(2 * k + 1)}" for k in range(700))
+    data = [(k, benign if k < 30 else f"q{k} villain" if k % 2 else f"calm {k}", "en", "a", 1) for k in range(430)]
+    labels = [(k, 1, int(k >= 30 and k % 2)) for k in range(430)]
+    model = toxicity.train(spark.createDataFrame(data, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert " villain " in model.weights
+    assert {f" {name(2 * k)} villain " for k in range(700)} | {f" villain {name(2 * k + 1)} " for k in range(700)} <= set(model.exceptions)
+
+
 def test_toxicity_folds_and_spares():
     model = toxicity.ToxicModel({" idiot ": 3.0, " idio": 1.0}, [" no idiot "])
     found = model.automaton()
