@@ -32,8 +32,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix of sources takes them."""
-    return mixing.mix(docs)
+    """Rows as often as the mix of sources takes them, dealt to shards and shuffled within each."""
+    return mixing.mix(docs, placed=True).drop("shard")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,14 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert set(byte_bpe.tokenize.__annotations__) >= {"docs", "ranks", "pattern"}
 
 
+def test_mix_is_dealt_and_shuffled(spark, tmp_path):
+    docs = spark.read.parquet(f"{corpus(spark, tmp_path)}/documents.parquet")
+    got = corpus_pipeline.mixed(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    got, want, plain = ([r["doc_id"] for r in df.collect()] for df in (got, mixing.mix(docs, placed=True), mixing.mix(docs)))
+    assert got == want and sorted(got) == sorted(plain)
+
+
 def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
