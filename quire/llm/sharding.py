@@ -1,40 +1,46 @@
 """Minimum-cost-flow resharding: even out shards while moving the fewest bytes.
 
-1. Rows fall into blocks by the hash of their text, so equal texts share a block. Block sizes are
-   summed in Spark; a block above a sixteenth of a new shard (a hot text) is cut by document id.
-   The number of blocks is bounded by parameters, whatever the input.
+1. Rows fall into blocks by old shard and hash of their text. Block sizes are summed in Spark; a
+   block above a sixteenth of a new shard (a hot text) is cut by document id, as no shard could
+   take it whole: copies of such a text may part, all other equal texts of an old shard stay
+   together. The number of blocks is bounded by parameters, whatever the input.
 2. Old shard sizes and new capacities form a small flow network (old shard -> new shard, free
    for staying, one per byte for moving) that is solved on the driver.
 3. Whole blocks are chosen to carry each flow, largest first, each to the target with most room.
 4. Slots within a shard come from the block's offset plus a running number inside the block.
 
+Where the old shards are is told by a column of the rows (``old_col``), whose null or unknown
+values are rows of no shard, free to go anywhere; without one the layout is taken to be by hash.
+
 Defined results: a null text has size 1 and the checksum of no bytes; a null id is a value like
-any other; rows that repeat an id keep separate slots; an empty table gives no rows; extra
-columns are ignored by ``assign`` and kept by ``reshard_files``.
+any other; rows that repeat an id keep separate slots, and rows that tie in id and text take their
+slots in any order; an empty table gives no rows; extra columns are ignored by ``assign`` and kept
+by ``reshard_files``.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import table
 
 
-def solve_transfers(old_sizes: list[int], capacities: list[int]) -> list[list[int]]:
+def solve_transfers(old_sizes: list[int], capacities: list[int], loose: int | None = None) -> list[list[int]]:
     """Flow[i][j] of bytes from old shard i to new shard j of least moved bytes.
 
     Successive shortest augmenting paths on the transport network; capacities must cover the
-    sizes. Shard i staying shard i costs nothing, any other byte costs one.
+    sizes. Shard i staying shard i costs nothing, any other byte costs one; what ``loose`` holds
+    is in no shard yet and costs the same wherever it goes.
     """
     n, m = len(old_sizes), len(capacities)
     if sum(capacities) < sum(old_sizes):
         raise ValueError("capacities do not cover the shards")
     flow = [[0] * m for _ in range(n)]
     left, room = list(old_sizes), list(capacities)
-    cost = lambda i, j: 0 if i == j else 1
+    cost = lambda i, j: 0 if i == j and i != loose else 1
     while any(left):
         # nodes 0..n-1 old shards, n..n+m-1 new shards; costs can be negative on reverse arcs
         dist, came = [float("inf")] * (n + m), [-1] * (n + m)
@@ -84,10 +90,23 @@ def place_blocks(blocks: list[tuple[int, int, int]], flow: list[list[int]]) -> d
     return placed
 
 
-def plan(docs: DataFrame, n_old: int, n_new: int, id_col: str = "doc_id", text_col: str = "text", cells: int = 512, most_parts: int = 256) -> tuple[DataFrame, DataFrame, list[list[int]]]:
+def _old_shard(n_old: int, old_col: str | None, text: Column) -> Column:
+    if old_col is None:
+        return F.pmod(F.xxhash64(F.lit(1), text), F.lit(n_old)).cast("long")
+    known = F.col(old_col).cast("long")
+    return F.when(known.between(0, n_old - 1), known).otherwise(F.lit(n_old).cast("long"))
+
+
+def _cell(n_old: int, old_col: str | None, text_col: str, cells: int) -> Column:
+    text = F.col(text_col).cast("string")
+    return _old_shard(n_old, old_col, text) * cells + F.pmod(F.xxhash64(text), F.lit(cells))
+
+
+def plan(docs: DataFrame, n_old: int, n_new: int, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None, weights: list[float] | None = None, cells: int = 512, most_parts: int = 256) -> tuple[DataFrame, DataFrame, list[list[int]]]:
     """Rows with their block; blocks with their new shard and offset; the solved flow.
 
-    At most ``n_old * cells`` blocks and ``most_parts`` parts for each block that is above a
+    ``weights`` are the new shards' shares of all bytes (equal ones if not given). At most
+    ``(n_old + 1) * cells`` blocks and ``most_parts`` parts for each block that is above a
     sixteenth of a new shard; there are fewer than ``16 * n_new`` of those.
     """
     spark = docs.sparkSession
@@ -96,7 +115,7 @@ def plan(docs: DataFrame, n_old: int, n_new: int, id_col: str = "doc_id", text_c
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(n_old * cells)).alias("cell"),
+        _cell(n_old, old_col, text_col, cells).alias("cell"),
     )
     coarse = {r["cell"]: r["bytes"] for r in rows.groupBy("cell").agg(F.sum("size").alias("bytes")).collect()}
     step = max(1, sum(coarse.values()) // (n_new * 16))
@@ -106,11 +125,12 @@ def plan(docs: DataFrame, n_old: int, n_new: int, id_col: str = "doc_id", text_c
     rows = rows.join(F.broadcast(parts), "cell", "left").withColumn("block", F.col("cell") * most_parts + part).drop("parts")
     stats = sorted((r["block"], r["bytes"], r["n"]) for r in rows.groupBy("block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect())
     old_of = lambda block: block // most_parts // cells
-    old_sizes = [0] * n_old
+    old_sizes = [0] * (n_old + 1)
     for block, size, _ in stats:
         old_sizes[old_of(block)] += size
-    total = sum(old_sizes)
-    flow = solve_transfers(old_sizes, [total // n_new + (k < total % n_new) for k in range(n_new)])
+    shares = weights or [1.0] * n_new
+    ends = [round(sum(old_sizes) * (sum(shares[:k]) / sum(shares))) for k in range(n_new + 1)]
+    flow = solve_transfers(old_sizes, [b - a for a, b in zip(ends, ends[1:], strict=False)], loose=n_old)
     placed = place_blocks([(b, old_of(b), size) for b, size, _ in stats], flow)
     offset, out = [0] * n_new, []
     for block, _, n in stats:
@@ -119,9 +139,9 @@ def plan(docs: DataFrame, n_old: int, n_new: int, id_col: str = "doc_id", text_c
     return rows, spark.createDataFrame(out, "block long, shard int, offset long"), flow
 
 
-def assign(docs: DataFrame, n_old: int, n_new: int, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:
+def assign(docs: DataFrame, n_old: int, n_new: int, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None, **how) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    rows, blocks, _ = plan(docs, n_old, n_new, id_col, text_col, **sizes)
+    rows, blocks, _ = plan(docs, n_old, n_new, id_col, text_col, old_col, **how)
     inside = Window.partitionBy("block").orderBy("doc_id", "text_crc32", "size")
     return rows.join(F.broadcast(blocks), "block").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
@@ -130,19 +150,24 @@ def assign(docs: DataFrame, n_old: int, n_new: int, id_col: str = "doc_id", text
     )
 
 
-def reshard_files(docs: DataFrame, out: str, n_old: int, n_new: int, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> dict[int, bool]:
+def reshard_files(docs: DataFrame, out: str, n_old: int, n_new: int, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None, **how) -> dict[int, bool]:
     """Write the shards that change as ``out/shard=<k>``; tell for each whether it was rewritten.
 
-    A shard is affected if a flow enters or leaves it (or it is new); others stay where they are.
+    A shard is affected if a block enters or leaves it (or it is new); the files of others stay as
+    they are. ``old_col`` is not written, the folder says it.
     """
-    rows, blocks, flow = plan(docs, n_old, n_new, id_col, text_col, **sizes)
-    affected = {k: k >= n_old or any(flow[k][j] for j in range(n_new) if j != k) or any(flow[i][k] for i in range(n_old) if i != k) for k in range(n_new)}
-    mark = "__shard"
-    # copies of one id and text share a block, so one row of them says where all go
-    where = rows.join(F.broadcast(blocks), "block").select(F.col("doc_id").alias("__id"), F.col("cell").alias("__cell"), F.col("shard").alias(mark)).distinct()
-    source = docs.withColumn("__cell0", F.pmod(F.xxhash64(F.col(text_col).cast("string")), F.lit(n_old * sizes.get("cells", 512))))
-    moved = source.join(where, source[id_col].eqNullSafe(where["__id"]) & (source["__cell0"] == where["__cell"])).where(F.col(mark).isin([k for k, yes in affected.items() if yes]))
-    moved.select(*docs.columns, F.col(mark).alias("shard")).repartition("shard", F.pmod(F.xxhash64(id_col), F.lit(64))).write.partitionBy("shard").parquet(out)
+    rows, blocks, _ = plan(docs, n_old, n_new, id_col, text_col, old_col, **how)
+    most_parts, cells = how.get("most_parts", 256), how.get("cells", 512)
+    affected = {k: k >= n_old for k in range(n_new)}
+    for block, shard, _ in blocks.collect():  # bounded by the parameters of plan()
+        if (old := block // most_parts // cells) != shard:
+            affected |= {k: True for k in (old, shard) if k < n_new}
+    # copies of one id, text and old shard share a block, so one row of them says where all go
+    where = rows.join(F.broadcast(blocks), "block").select(F.col("doc_id").alias("__id"), F.col("cell").alias("__cell"), F.col("shard").alias("__shard")).distinct()
+    source = docs.withColumn("__cell0", _cell(n_old, old_col, text_col, cells))
+    moved = source.join(where, source[id_col].eqNullSafe(where["__id"]) & (source["__cell0"] == where["__cell"])).where(F.col("__shard").isin([k for k, yes in affected.items() if yes]))
+    kept = [c for c in docs.columns if c != old_col]
+    moved.select(*kept, F.col("__shard").alias("shard")).repartition("shard", F.pmod(F.xxhash64(id_col), F.lit(64))).write.partitionBy("shard").parquet(out)
     return affected
 
 
