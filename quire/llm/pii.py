@@ -3,21 +3,25 @@
 DataFrame and SQL functions only.
 
 1. Base spans: e-mail and IP addresses, card and phone numbers by pattern and validity.
-2. Base spans are seeds. A lexical pattern is a side (left or right), the word there, and the
-   rough form of the identifier beside it. Tokens of such a form that are no base span are
-   candidates. Patterns and the values they hold make a bipartite graph.
-3. Scores are passed to and fro: a pattern's confidence is the mean score of its values (with a
-   prior towards nothing), a candidate's score is the chance that any of its patterns is right.
+2. Seeds are the values of base spans and, for kind ``secret``, tokens with a published key prefix
+   or assigned to a credential's name. A lexical pattern is the two words to the left or to the
+   right with the form of the identifier between; for long hex and key-like forms also the form
+   alone or with its first four characters. Tokens that look like identifiers and are no base span
+   are candidates. Patterns and the different values they hold make a bipartite graph.
+3. Scores are passed to and fro. A pattern's trust in a kind is the summed score of its values of
+   that kind over all its values (with a prior towards nothing); only patterns that hold
+   ``least_seeds`` sure values of the kind count. A candidate's score is the chance that any of its
+   patterns is right; at ``confidence`` its value is sure and seeds patterns of the next round.
    Seeds stay at 1; number tokens that were tested and failed as a card stay at 0.
-4. Patterns that hold ``least_seeds`` seed values or more and reach ``confidence`` give their
-   candidates their kind.
+4. Candidates of sure value that stand in a pattern of ``confidence`` get its kind.
 
 All steps after the scan work on the few identifier-like tokens; the text is read once and not
 moved. Positions count code points, ends are exclusive.
 
 Defined results: a null text is empty and has no spans; rows that repeat an id are told apart by
-their text; rows that repeat both have the same spans; an empty table gives no rows; other columns
-are ignored.
+their text; rows that repeat both have the same spans; a pattern or value with equal trust in two
+kinds takes the one that is later in the alphabet; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from quire.llm.common import table, written
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of added spans, in the order of ``spans``.
+ALL_KINDS = (*KINDS, "secret")
 #: The leftmost matches of the base patterns. Possessive repeats and look-behinds only keep a
 #: search linear: they forbid starts inside a run whose own start has failed already.
 _LOCAL = "A-Za-z0-9._%+-"
@@ -38,9 +44,16 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "phone": "+"}
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_BLANK, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+#: Words with a digit or an at sign, and long words of capitals.
+TOKEN = rf"(?<!{_WORD})(?:[^\x20\x09-\x0D0-9@]*+[0-9@]{_WORD}*+|[A-Z]{{16,}}+)"
 EDGES = r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$"
+#: Published prefixes of access keys.
+KEY_SEED = "^(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|[sr]k_live_[0-9A-Za-z]{16,})$"
+#: Left contexts that give a value to a credential's name.
+NAME_SEED = "(?:^|[^a-z])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|secret[_-]?key) ?[=:]$"
 _SPAN = "array<struct<start:bigint,stop:bigint,value:string,left:string,right:string>>"
+_ADDED = "array<struct<kind:string,start:bigint,stop:bigint>>"
 
 
 def _once(x: Column, f) -> Column:
@@ -60,22 +73,28 @@ def _starts(z: Column) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """All matches with their places and the words beside them."""
-    word = r"[^\x20\x09-\x0D]+"
+    """All matches with their places and the two words on each side, other matches included."""
+    words = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), f"{_BLANK}+", " "), "[0-9]+", "0")
 
     def one(z: Column) -> Column:
+        before = F.concat(F.lit("^ ^ "), F.right(z["pl"], F.lit(48)), F.right(z["ml"], F.lit(48)), z["l"])
+        after = F.concat(F.left(z["r"], F.lit(96)), F.left(z["mr"], F.lit(48)), F.left(z["pr"], F.lit(48)), F.lit(" ^ ^"))
         return F.struct(
             z["s"].alias("start"),
             (z["s"] + F.length(z["m"])).alias("stop"),
             z["m"].alias("value"),
-            F.lower(F.regexp_extract(F.right(z["l"], F.lit(48)), rf"({word})[\x20\x09-\x0D]*$", 1)).alias("left"),
-            F.lower(F.regexp_extract(F.left(z["r"], F.lit(48)), rf"^[\x20\x09-\x0D]*({word})", 1)).alias("right"),
+            words(F.regexp_extract(F.right(before, F.lit(96)), rf"({_WORD}+{_BLANK}+{_WORD}+){_BLANK}*$", 1)).alias("left"),
+            words(F.regexp_extract(after, rf"^{_BLANK}*({_WORD}+{_BLANK}+{_WORD}+)", 1)).alias("right"),
         )
 
     def every(z: Column) -> Column:
-        right = F.slice(z["p"], F.lit(2), F.size(z["p"]))
-        zipped = F.arrays_zip(_starts(z).alias("s"), z["m"].alias("m"), z["p"].alias("l"), right.alias("r"))
-        return F.when(F.size(z["m"]) > 0, F.transform(F.filter(zipped, lambda x: x["m"].isNotNull()), one)).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
+        later = lambda x, k: F.slice(x, F.lit(k + 1), F.size(x))
+        first = F.array(F.lit(""))
+        zipped = F.arrays_zip(
+            _starts(z).alias("s"), z["m"].alias("m"), z["p"].alias("l"), F.concat(first, z["p"]).alias("pl"), F.concat(first, z["m"]).alias("ml"),
+            later(z["p"], 1).alias("r"), F.concat(later(z["m"], 1), first).alias("mr"), F.concat(later(z["p"], 2), first).alias("pr"),
+        )
+        return F.when(F.size(z["m"]) > 0, F.transform(F.filter(zipped, lambda x: x["m"].isNotNull() & x["s"].isNotNull()), one)).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
 
     return _once(F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")), every)
 
@@ -106,21 +125,31 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def form(value: Column) -> Column:
-    """Rough form of an identifier."""
-    return F.when(F.contains(value, F.lit("@")), "mail").when(value.rlike("[A-Za-z]"), "mixed").otherwise("number")
+    """Form of an identifier: what it is made of, and for long keys how long it is."""
+    long_key = F.length(value) >= 16
+    return (
+        F.when(F.contains(value, F.lit("@")), "mail")
+        .when(value.rlike(r"^[0-9 ().+-]+$"), "number")
+        .when(long_key & value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.concat(F.lit("hex"), F.length(value).cast("string")))
+        .when(long_key & value.rlike("^[A-Z0-9]*[0-9][A-Z0-9]*$"), F.concat(F.lit("key"), F.length(value).cast("string")))
+        .otherwise("mixed")
+    )
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, raw, base spans by kind, and candidate tokens. One pass, no shuffle."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("raw"), text.alias("t"))
-    out = rows.select("doc_id", "raw", *(base_spans(F.col("t"), kind).alias(kind) for kind in KINDS), F.when(F.col("t").rlike("[0-9@]"), located(F.col("t"), TOKEN)).otherwise(F.array().cast(_SPAN)).alias("tokens"))
+    out = rows.select("doc_id", "raw", *(base_spans(F.col("t"), kind).alias(kind) for kind in KINDS), F.when(F.col("t").rlike("[0-9@]|[A-Z]{16}"), located(F.col("t"), TOKEN)).otherwise(F.array().cast(_SPAN)).alias("tokens"))
     return out
 
 
-def _edges(found: Column, extra: list[Column]) -> list[Column]:
-    sides = F.array(F.struct(F.lit("l").alias("side"), found["left"].alias("word")), F.struct(F.lit("r").alias("side"), found["right"].alias("word")))
-    return [*extra, found["value"].alias("value"), found["start"].alias("start"), found["stop"].alias("stop"), form(found["value"]).alias("form"), F.explode(sides).alias("s")]
+def _patterns(x: Column) -> Column:
+    """The patterns that hold a found value: (side, word, form)."""
+    kind = form(x["value"])
+    place = lambda side, word: F.struct(F.lit(side).alias("side"), word.alias("word"), kind.alias("form"))
+    every = F.array(place("l", x["left"]), place("r", x["right"]), place("f", F.lit("-")), place("i", F.lower(F.left(x["value"], F.lit(4)))))
+    return F.filter(every, lambda y: (y["word"] != "") & (y["side"].isin("l", "r") | y["form"].rlike("^(hex|key)")))
 
 
 def _named(kind: str) -> Column:
@@ -136,10 +165,15 @@ def _places(spans: Column) -> Column:
 
 
 def extract(docs: DataFrame, least_seeds: int = 3, confidence: float = 0.8, prior: float = 1.0, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, counts of base spans, base_sha256, spans, n_added."""
+    """One row per document: doc_id, counts of base spans, base_sha256, spans, n_added, n_induced, n_spans.
+
+    ``n_added`` counts spans that are no base spans, ``n_induced`` those of them that no seed form
+    gives but a pattern.
+    """
     rows = written(scanned(docs, id_col, text_col), "pii-rows")
+    key = ["side", "word", "form"]
     named = F.concat(*(_named(kind) for kind in KINDS))
-    seeds = rows.select("doc_id", "raw", F.explode(named).alias("s")).select(*_edges(F.col("s.x"), [F.col("s.kind").alias("kind")])).select("kind", "value", "form", "s.*", F.lit(1.0).alias("fixed")).distinct()
+    seeds = rows.select(F.explode(named).alias("s")).select(F.col("s.kind").alias("kind"), F.col("s.x").alias("x"))
     # candidates: tokens without the marks around them, outside base spans
     token = F.col("x")
     lead = F.length(F.regexp_extract(token["value"], r"^([^A-Za-z0-9+]*)", 1))
@@ -147,42 +181,53 @@ def extract(docs: DataFrame, least_seeds: int = 3, confidence: float = 0.8, prio
     clear = F.filter("tokens", lambda x: ~F.exists(F.concat(*KINDS), lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
     free = rows.select("doc_id", "raw", F.explode(clear).alias("x"))
     free = free.select("doc_id", "raw", F.struct((token["start"] + lead).alias("start"), (token["start"] + lead + F.length(core)).alias("stop"), core.alias("value"), token["left"].alias("left"), token["right"].alias("right")).alias("x"))
-    free = free.where((F.length("x.value") >= 6) & F.col("x.value").rlike("[0-9@]"))
-    free = written(free.select(*_edges(F.col("x"), [F.col("doc_id"), F.col("raw")])).select("doc_id", "raw", "value", "start", "stop", "form", "s.*").where("word <> ''"), "pii-free")
-    failed = F.when(F.length(digits(F.col("value"))).between(16, 19) & (F.col("form") == "number"), F.lit(0.0))
-    others = free.select(F.lit(None).cast("string").alias("kind"), "value", "form", "side", "word", failed.alias("fixed")).distinct()
-    graph = written(seeds.where("word <> ''").unionByName(others), "pii-graph")
-    key = ["side", "word", "form"]
-    # only patterns that hold enough seeds can ever give a kind
-    able = graph.where("kind is not null").groupBy(*key, "kind").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= least_seeds)
-    able = written(able.groupBy(*key).agg(F.max_by("kind", F.struct("n", "kind")).alias("gives")), "pii-able")
-    graph = written(graph.join(able, key), "pii-edges")
-    scores = graph.select("value", "fixed").groupBy("value").agg(F.max("fixed").alias("fixed")).withColumn("score", F.coalesce("fixed", F.lit(0.0)))
-    trust = None
-    for _ in range(rounds if not able.isEmpty() else 0):
-        trust = graph.join(scores.select("value", "score"), "value").groupBy(*key, "gives").agg((F.sum("score") / (F.count("*") + prior)).alias("trust"))
+    free = free.where((F.length("x.value") >= 6) & F.col("x.value").rlike("[0-9@]|^[A-Z]{16,}$"))
+    value = F.col("x.value")
+    secret = value.rlike(KEY_SEED) | (F.col("x.left").rlike(NAME_SEED) & (F.length(value) >= 16) & value.rlike("[0-9]"))
+    failed = F.length(digits(value)).between(16, 19) & (form(value) == "number")
+    free = written(free.withColumn("kind", F.when(secret & ~failed, "secret")).withColumn("failed", failed), "pii-free")
+
+    both = seeds.select("kind", "x", F.lit(False).alias("failed")).union(free.select("kind", "x", "failed"))
+    edges = written(both.select(value.alias("value"), F.explode(_patterns(F.col("x"))).alias("e")).select("value", "e.*").distinct(), "pii-edges")
+    fixed = F.when(F.col("kind").isNotNull(), 1.0).when(F.col("failed"), 0.0)
+    known = written(both.groupBy(value.alias("value")).agg(F.max("kind").alias("kind"), F.max(fixed).alias("fixed")), "pii-values")
+    scores = known.withColumn("score", F.coalesce("fixed", F.lit(0.0)))
+    sure = None
+    for _ in range(rounds):
+        # growing tables meet by merging: neither is ever sent whole to every executor
+        held = edges.join(scores.hint("merge"), "value")
+        trust = held.groupBy(*key, "kind").agg(F.sum("score").alias("hits"), F.count_if(F.col("score") >= confidence).alias("n"), F.count("*").alias("of"))
+        trust = trust.groupBy(*key).agg(F.max(F.struct("hits", "kind", "n")).alias("x"), F.sum("of").alias("of"))
+        trust = trust.where(F.col("x.kind").isNotNull() & (F.col("x.n") >= least_seeds)).select(*key, F.col("x.kind").alias("gives"), (F.col("x.hits") / (F.col("of") + prior)).alias("trust"))
         trust = written(trust, "pii-trust")
-        doubt = graph.where("fixed is null").join(trust, [*key, "gives"]).groupBy("value").agg(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))).alias("doubt"))
-        scores = scores.join(doubt, "value", "left").select("value", "fixed", F.coalesce("fixed", 1 - F.exp("doubt"), F.lit(0.0)).alias("score"))
+        offers = edges.join(trust.hint("merge"), key).groupBy("value", "gives").agg(F.max("trust").alias("best"), F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))).alias("doubt"))
+        offers = offers.groupBy("value").agg(F.max(F.struct("best", "gives", (1 - F.exp("doubt")).alias("score"))).alias("o"))
+        scores = known.join(offers.hint("merge"), "value", "left").select("value", F.coalesce("kind", "o.gives").alias("kind"), "fixed", F.coalesce("fixed", "o.score", F.lit(0.0)).alias("score"))
         scores = written(scores, "pii-scores")
-    base = {kind: _places(F.col(kind)) for kind in KINDS}
-    if trust is None:
-        out = rows.withColumn("added", F.array().cast("array<struct<kind:string,start:bigint,stop:bigint>>"))
-    else:
-        sure = trust.where(F.col("trust") >= confidence)
-        found = free.join(sure, key).join(scores.where((F.col("fixed").isNull()) & (F.col("score") >= confidence)).select("value"), "value", "left_semi")
-        found = found.groupBy("doc_id", "raw", "start", "stop").agg(F.max_by("gives", F.struct("trust", "gives")).alias("kind"))
-        # a text's own spans only: bounded by its length
-        found = found.groupBy(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")).agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop"))).alias("added"))
-        out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("raw") == F.col("__raw")), "left").withColumn("added", F.coalesce("added", F.array().cast("array<struct<kind:string,start:bigint,stop:bigint>>")))
+        last, sure = sure, tuple(scores.where((F.col("score") >= confidence) & F.col("fixed").isNull()).agg(F.count("*"), F.sum(F.xxhash64("value", "kind").cast("decimal(20,0)"))).first())
+        if sure == last:
+            break
+    place = ["doc_id", "raw", F.col("x.start").alias("start"), F.col("x.stop").alias("stop")]
+    own = free.where("kind is not null").select(*place, "kind", F.lit(0).alias("induced"))
+    open_ = free.where("kind is null and not failed").select(*place, value.alias("value"), F.explode(_patterns(F.col("x"))).alias("e")).select("*", "e.*").drop("e")
+    found = open_.join(trust.where(F.col("trust") >= confidence).hint("merge"), key)
+    found = found.join(scores.where(F.col("fixed").isNull() & (F.col("score") >= confidence)).select("value").hint("merge"), "value", "left_semi")
+    found = found.groupBy("doc_id", "raw", "start", "stop").agg(F.max_by("gives", F.struct("trust", "gives")).alias("kind")).withColumn("induced", F.lit(1))
+    # a text's own spans only: bounded by its length
+    found = own.distinct().union(found).groupBy(F.col("doc_id").alias("__id"), F.col("raw").alias("__raw")).agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop"))).alias("added"), F.sum("induced").alias("n_induced"))
+    out = rows.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("raw") == F.col("__raw")), "left").withColumn("added", F.coalesce("added", F.array().cast(_ADDED)))
     said = lambda kind, xs: F.transform(xs, lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["stop"].cast("string")))
-    every = {kind: F.array_sort(F.concat(base[kind], _places(_of_kind(kind)))) for kind in KINDS}
+    base = {kind: _places(F.col(kind)) for kind in KINDS}
+    every = {kind: F.array_sort(F.concat(base[kind], _places(_of_kind(kind))) if kind in base else _places(_of_kind(kind))) for kind in ALL_KINDS}
+    n_base = sum((F.size(kind) for kind in KINDS), F.lit(0))
     return out.select(
         "doc_id",
         *(F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS),
         F.sha2(F.array_join(F.concat(*(said(k, base[k]) for k in KINDS)), ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(*(said(k, every[k]) for k in KINDS)), ",").alias("spans"),
+        F.array_join(F.concat(*(said(k, every[k]) for k in ALL_KINDS)), ",").alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        F.coalesce("n_induced", F.lit(0)).cast("long").alias("n_induced"),
+        (n_base + F.size("added")).cast("long").alias("n_spans"),
     )
 
 

@@ -95,6 +95,29 @@ def test_flow_moves_the_fewest_bytes():
         sharding.solve_transfers([5], [4])
 
 
+def test_reshard_of_a_real_layout(spark, tmp_path):
+    """Old shards 0 (too full), 1 (fits), 2 (too empty) and rows of no shard: little moves, 1 stays."""
+    at = lambda k: 0 if k < 500 else 1 if k < 800 else 2 if k < 900 else None
+    data = [(k, f"text {k:04d} " * 10, at(k), 7) for k in range(1000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, home int, cell long")
+    plain = sharding.solve_transfers([500, 300, 100, 100], [334, 333, 333], loose=3)
+    assert sum(plain[i][j] for i in range(3) for j in range(3) if i != j) == 166
+    found = {r["doc_id"]: r for r in sharding.assign(docs, 3, 3, old_col="home").collect()}
+    size = len("text 0000 " * 10) + 1
+    moved = sum(r["size"] for k, r in found.items() if at(k) is not None and r["shard"] != at(k))
+    assert 166 * size <= moved <= 180 * size
+    assert all(r["size"] == size for r in found.values()) and len(found) == 1000
+    shares = [0.0] * 3
+    for r in found.values():
+        shares[r["shard"]] += r["size"] / (1000 * size)
+    assert max(shares) - min(shares) < 0.02
+    affected = sharding.reshard_files(docs, str(tmp_path / "new"), 3, 3, old_col="home", weights=[500, 300, 200])
+    assert affected == {0: False, 1: False, 2: True}
+    written = spark.read.parquet(str(tmp_path / "new")).collect()
+    assert sorted(r["doc_id"] for r in written) == list(range(800, 1000)) and {r["shard"] for r in written} == {2}
+    assert set(written[0].asDict()) == {"doc_id", "text", "cell", "shard"}
+
+
 def test_reshard_files_writes_what_changed(spark, tmp_path):
     docs = documents(spark)
     affected = sharding.reshard_files(docs, str(tmp_path / "out"), 2, 3, cells=32)
@@ -267,14 +290,22 @@ def test_pii_base_against_plain(spark):
 
 def test_pii_bootstraps_unseen_identifiers(spark):
     data = [(k, f"please dial +1 (555) 123-40{k:02d} for help", "en", "a", 1) for k in range(12)]
-    data += [(100 + k, f"please dial 555-019{k} for help", "en", "a", 1) for k in range(3)]
+    data += [(100 + k, f"please dial 555-019{k} for help", "en", "a", 1) for k in range(8)]
+    # values found there make a pattern of the next round, which finds what no seed stands beside
+    data += [(110 + k, f"or ring up 555-019{k} by day", "en", "a", 1) for k in range(8)]
+    data += [(120, "or ring up 555-0777 by day", "en", "a", 1)]
     data += [(200 + k, f"room 101{k} on floor {k}", "en", "a", 1) for k in range(9)]
-    found = {r["doc_id"]: r for r in pii.extract(spark.createDataFrame(data, DOCS), confidence=0.7).collect()}
-    for k in range(3):
-        start = "please dial ".__len__()
-        assert found[100 + k]["spans"] == f"phone:{start}:{start + 8}" and found[100 + k]["n_phone"] == 0
+    data += [(300 + k, f"the key AKIA{k}BCDEFGHIJKLMNOP was lost", "en", "a", 1) for k in range(8)]
+    data += [(310, "the key AZZA1BCDEFGHIJKLMNO9 was lost", "en", "a", 1), (311, "a part Azza1BCDEFGHIJKLMNO8 was here", "en", "a", 1)]
+    data += [(320, "TOKEN = \"00112233445566778899\" 0123", "en", "a", 1), (321, "token = 4111111111111112", "en", "a", 1)]
+    found = {r["doc_id"]: r for r in pii.extract(spark.createDataFrame(data, DOCS)).collect()}
+    assert all(found[100 + k]["spans"] == "phone:12:20" and found[100 + k]["n_phone"] == 0 for k in range(8))
+    assert [found[d]["spans"] for d in (*range(110, 118), 120)] == ["phone:11:19"] * 9
     assert all(found[200 + k]["spans"] == "" for k in range(9))
-    assert all(found[k]["n_added"] == 0 and found[k]["n_phone"] == 1 for k in range(12))
+    assert all(found[k]["n_added"] == 0 and found[k]["n_phone"] == 1 and found[k]["n_spans"] == 1 for k in range(12))
+    assert all(found[300 + k]["spans"] == "secret:8:28" and found[300 + k]["n_induced"] == 0 for k in range(8))
+    assert found[310]["spans"] == "secret:8:28" and found[310]["n_induced"] == 1 and found[311]["spans"] == ""
+    assert found[320]["spans"] == "secret:9:29" and found[321]["spans"] == ""
 
 
 def test_pii_runs_no_python(spark):
