@@ -137,7 +137,8 @@ def splitting_tree(share: DataFrame, blocks: DataFrame, levels: int, seed: int =
 def mix(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = WEIGHTS, levels: int = 3, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", placed: bool = False) -> DataFrame:
     """The rows of the mix: each row of ``docs`` as often as it is taken, all columns.
 
-    ``placed`` adds ``shard`` and sorts rows by a seeded hash within their shard.
+    ``placed`` adds ``shard``; a task holds cuts of a shard's blocks, in the order of the permuted
+    blocks, and shuffles the rows of each.
     """
     share, blocks = shares(docs, most, weights, seed, id_col, text_col, source_col)
     k = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col).cast("string"))
@@ -148,8 +149,10 @@ def mix(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = WEIGHTS, leve
         return taken.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
     tree = splitting_tree(share, blocks, levels, seed).withColumnsRenamed({"source": "__s", "blk": "__b"})
     taken = taken.join(tree, F.col("source").eqNullSafe(F.col("__s")) & (F.col("blk") == F.col("__b")))
-    spread = taken.select("row", "k", F.posexplode(F.slice("shards", F.lit(1), F.col("copies"))).alias("copy", "shard"))
-    return spread.repartition("shard").sortWithinPartitions("shard", F.xxhash64("k", "copy", "shard")).select("row.*", "shard")
+    spread = taken.select("row", "blk", "k", F.posexplode(F.slice("shards", F.lit(1), F.col("copies"))).alias("copy", "shard"))
+    # a block's draws may be many rows: cut by row, so that no shard or block is one task's work
+    cut = F.pmod(F.xxhash64("k", "copy"), F.lit(64))
+    return spread.repartition("shard", "blk", cut).sortWithinPartitions("shard", "blk", F.xxhash64("k", "copy", "shard")).select("row.*", "shard")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
