@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import components, table, written
+from quire.llm.common import components, lean, table, written
 
 MANY = 64
 
@@ -164,7 +164,7 @@ def _groups_linked(g: dict[str, np.ndarray], starts: np.ndarray, cosine: float):
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def link_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 0.005, block: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", hashing: CrossPolytope | None = None) -> DataFrame:
+def link_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 0.005, block: int = 512, id_col: str = "vec_id", vec_col: str = "embedding", hashing: CrossPolytope | None = None) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     vec = F.col(vec_col).cast("array<double>")
@@ -211,7 +211,7 @@ def _linked(classes: DataFrame, hashing: CrossPolytope, cosine: float, block: in
                     names=["d1", "d2", "rep", "m", "unit", "codes"],
                 )
 
-    hashes = classes.select("d1", "d2", "rep", "m", "v").mapInArrow(hashed, "d1 long, d2 long, rep long, m long, unit binary, codes array<long>")
+    hashes = classes.select("d1", "d2", "rep", "m", "v").mapInArrow(lean(hashed), "d1 long, d2 long, rep long, m long, unit binary, codes array<long>")
     hashes = written(hashes, "vec-codes")
     at = F.posexplode("codes").alias("p", "code")
     placed = hashes.select("d1", "d2", "rep", "m", "unit", "codes", at).withColumn("t", F.floor(F.col("p") / hashing.probes).cast("int")).drop("p")
@@ -271,7 +271,7 @@ def _linked(classes: DataFrame, hashing: CrossPolytope, cosine: float, block: in
         if held is not None and (out := work(held)) is not None:
             yield out
 
-    return written(met.mapInArrow(compare, "d1 long, d2 long, links long, a long, b long"), "vec-found")
+    return written(met.mapInArrow(lean(compare), "d1 long, d2 long, links long, a long, b long"), "vec-found")
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
