@@ -3,7 +3,7 @@
 Every distinct pre-token of a batch becomes one row of a padded matrix whose width fits its
 length bucket. In each round every row finds the rank of each neighbouring pair by a hashed
 lookup, merges its leftmost pair of least rank, and closes the gap; finished rows leave the
-matrix. Encoded pre-tokens are kept in a bounded cache, so common words are merged once a task.
+matrix. Encoded pre-tokens are kept in caches bounded in bytes, so common words are merged once.
 
 Defined results: null text counts as empty and gives no ids; an empty id list decodes to no
 bytes; repeated rows each give their own row; ids that are not in the vocabulary raise.
@@ -24,14 +24,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import lean, small_batches, table
 
 NO_RANK = np.int32(1 << 30)
 LONG = 512
 BUCKETS = (4, 8, 16, 32, 64, 128, 256, LONG)
-CACHE = 900_000
-#: Codecs of this worker process by broadcast, kept from task to task.
-_CODECS: dict[str, "ByteBpe"] = {}
+#: Bytes of each of a codec's two caches, and of text that is worked at a time.
+CACHE, GROUP = 40 << 20, 1 << 20
+#: What a cache entry takes besides the characters and ids: two objects and a place in a dict.
+ENTRY = 180
 
 
 def parse_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -90,6 +91,32 @@ class PairTable:
         return out
 
 
+class Recent(dict):
+    """Encoded strings of two generations: what was not used for a whole one is forgotten."""
+
+    def __init__(self, most: int):
+        self.most, self.size, self.old = most // 2, 0, {}
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        self.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
+
+    def lacks(self, words: set[str]) -> set[str]:
+        """Those of ``words`` that neither generation has; the old one's are taken over."""
+        rest = words.difference(self)
+        if self.old:
+            self.keep({w: self.old[w] for w in rest & self.old.keys()})
+            rest.difference_update(self)
+        return rest
+
+    def age(self) -> None:
+        """To be called between groups, when nothing is being looked up."""
+        if self.size > self.most:
+            self.old = dict(self)
+            self.clear()
+            self.size = 0
+
+
 class ByteBpe:
     """Codec for one rank table and one pre-token pattern."""
 
@@ -102,9 +129,7 @@ class ByteBpe:
         self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
         if len(ranks) and self.single.min() < 0:
             raise ValueError("a byte-level vocabulary holds every single byte")
-        self.cache: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.gaps: set[str] = set()
+        self.cache, self.spaced = Recent(CACHE), Recent(CACHE)
 
     def _matrix(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Ids of each piece as little-endian 32-bit integers."""
@@ -173,45 +198,53 @@ class ByteBpe:
     def learn(self, words: Iterable[str]) -> None:
         """Encode the given distinct pre-tokens into the cache."""
         buckets: dict[int, list[tuple[str, bytes]]] = {}
+        found: dict[str, bytes] = {}
         for word in words:
             raw = word.encode("utf-8")
             if (whole := self.ranks.get(raw)) is not None:
-                self.cache[word] = whole.to_bytes(4, "little")
+                found[word] = whole.to_bytes(4, "little")
             elif len(raw) > LONG:
-                self.cache[word] = self._heap(raw).astype("<u4").tobytes()
+                found[word] = self._heap(raw).astype("<u4").tobytes()
             else:
                 buckets.setdefault(next(b for b in BUCKETS if len(raw) <= b), []).append((word, raw))
         for width, both in buckets.items():
-            step = max(1, (1 << 19) // width)
+            step = max(1, (1 << 18) // width)
             for k in range(0, len(both), step):
                 part = both[k : k + step]
-                for (word, _), ids in zip(part, self._matrix([raw for _, raw in part], width), strict=True):
-                    self.cache[word] = ids
+                found.update(zip([word for word, _ in part], self._matrix([raw for _, raw in part], width), strict=True))
+        self.cache.keep(found)
 
     def encode_bytes(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text, in order.
+        """Little-endian 32-bit ids of each text, in order; GROUP characters or one text at a time.
 
         No pre-token spans a single space between two characters that are not white space, so
         most texts are looked up by the parts between spaces; texts with other gaps are split
         as a whole.
         """
-        for k in range(0, len(texts), 1024):
-            group = [t or "" for t in texts[k : k + 1024]]
-            parts = [t.split(" ") for t in group]
-            if len(self.cache) + len(self.spaced) > CACHE:
-                self.cache.clear()
-                self.spaced.clear()
-                self.gaps.clear()
-            fresh = set().union(*parts).difference(self.spaced, self.gaps)
-            self.gaps.update(p for p in fresh if _gap(p))
-            new = {p: self.split.findall(" " + p) for p in fresh - self.gaps}
-            plain = [not _gap(p[0]) and self.gaps.isdisjoint(p) for p in parts]
-            whole = [self.split.findall(p[0] if ok else t) for t, p, ok in zip(group, parts, plain, strict=True)]
-            self.learn(set().union(*new.values(), *whole).difference(self.cache))
-            get, known = self.cache.__getitem__, self.spaced.__getitem__
-            self.spaced.update({p: b"".join(map(get, words)) for p, words in new.items()})
-            for p, ok, words in zip(parts, plain, whole, strict=True):
-                yield b"".join(map(get, words)) + (b"".join(map(known, p[1:])) if ok else b"")
+        group: list[str] = []
+        held = 0
+        for text in texts:
+            if group and held + len(text or "") > GROUP:
+                yield from self._encode(group)
+                group, held = [], 0
+            group.append(text or "")
+            held += len(group[-1])
+        yield from self._encode(group)
+
+    def _encode(self, group: list[str]) -> Iterator[bytes]:
+        self.cache.age()
+        self.spaced.age()
+        parts = [t.split(" ") for t in group]
+        fresh = self.spaced.lacks(set().union(*parts))
+        gaps = {p for p in fresh if _gap(p)}
+        new = {p: self.split.findall(" " + p) for p in fresh - gaps}
+        plain = [not _gap(p[0]) and gaps.isdisjoint(p) for p in parts]
+        whole = [self.split.findall(p[0] if ok else t) for t, p, ok in zip(group, parts, plain, strict=True)]
+        self.learn(self.cache.lacks(set().union(*new.values(), *whole)))
+        get, known = self.cache.__getitem__, self.spaced.__getitem__
+        self.spaced.keep({p: b"".join(map(get, words)) for p, words in new.items()})
+        for p, ok, words in zip(parts, plain, whole, strict=True):
+            yield b"".join(map(get, words)) + (b"".join(map(known, p[1:])) if ok else b"")
 
     def decode_bytes(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -233,15 +266,12 @@ def tokenize(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)
-    name = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
+    small_batches(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _CODECS:
-            _CODECS.clear()
-            _CODECS[name] = ByteBpe(shared.value, pattern)
-        codec = _CODECS[name]
+        codec = ByteBpe(shared.value, pattern)
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
@@ -253,7 +283,7 @@ def tokenize(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
                     kept.append(ids if keep_ids else b"")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())] + [pa.array(kept, pa.binary())] * keep_ids, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
 
-    return source.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+    return source.mapInArrow(lean(run), f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

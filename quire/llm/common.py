@@ -6,9 +6,11 @@ folder named by ``spark.checkpoint.dir``, so a lost executor costs a re-read and
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORK_KEY = "spark.checkpoint.dir"
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared scratch folder: the cluster's own setting; a local one only where it is unset."""
+    """Shared scratch folder: the cluster's own setting.
+
+    Where it is unset, a temporary folder serves a session that runs in one process; on a cluster
+    no such folder is shared, so it is an error there.
+    """
     folder = spark.conf.get(WORK_KEY, None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {WORK_KEY} to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quire-work-")
         spark.conf.set(WORK_KEY, folder)
     return folder.rstrip("/")
@@ -58,6 +68,28 @@ def discard(*tables: DataFrame | None) -> None:
         spark._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel in Arrow batches of BATCH_ROWS rows, unless the session says otherwise."""
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow, giving freed memory back at the end of each task.
+
+    Workers live on from task to task; what their allocators keep would add up to an executor's
+    limit over the stages of a pipeline.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return task
+
+
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import TextBatch, drop_marked, mix64, table, written
+from quire.llm.common import TextBatch, drop_marked, lean, mix64, small_batches, table, written
 
 MASK = np.uint32(2047)
 LEAST, MOST, WINDOW = 512, 16384, 16
@@ -61,7 +61,7 @@ def _chunked(source: DataFrame, id_type: str, key: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = TextBatch(batch.column("text"))
-            for a, b in texts.groups():
+            for a, b in texts.groups(1 << 20):
                 base, top = int(texts.bounds[a]), int(texts.bounds[b])
                 raw = texts.bytes[base:top]
                 data = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
@@ -99,11 +99,12 @@ def _chunked(source: DataFrame, id_type: str, key: bytes) -> DataFrame:
                     names=["doc_id", "raw", "text_sha256", "recipe", "chunks"],
                 )
 
-    return source.mapInArrow(run, f"doc_id {id_type}, raw long, text_sha256 string, recipe array<binary>, chunks array<struct<name: binary, body: binary>>")
+    return source.mapInArrow(lean(run), f"doc_id {id_type}, raw long, text_sha256 string, recipe array<binary>, chunks array<struct<name: binary, body: binary>>")
 
 
 def recipes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", attempts: int = 3) -> DataFrame:
     """One row per document: doc_id, raw (hash of the raw text), text_sha256, verified recipe."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("raw"), F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
     for attempt in range(attempts):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import TextBatch, components, discard, drop_marked, mix64, table, written
+from quire.llm.common import TextBatch, components, discard, drop_marked, lean, mix64, small_batches, table, written
 
 COUNTER_BITS, SLICE_BITS = 20, 14
 NODE_BITS = 26
@@ -104,7 +104,7 @@ def shingle_counters(source: DataFrame, width: int) -> np.ndarray:
         make, counts = Shingler(width), np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in batches:
             texts = TextBatch(batch.column("text"))
-            for a, b in texts.groups():
+            for a, b in texts.groups(1 << 20):
                 found = [make.of(texts.text(i)) for i in range(a, b)]
                 counts += np.bincount((np.concatenate(found) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([_planes(x) for x in counts.reshape(slices, span)], pa.binary())], names=["slice", "counts"])
@@ -116,7 +116,7 @@ def shingle_counters(source: DataFrame, width: int) -> np.ndarray:
                 sums[k] = sums.get(k, 0) + np.frombuffer(raw, np.uint8).reshape(4, span).T.copy().view(np.uint32).ravel().astype(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slice", "counts"])
 
-    parts = source.select("text").mapInArrow(count, "slice int, counts binary").repartition(slices, "slice").mapInArrow(add, "slice int, counts binary")
+    parts = source.select("text").mapInArrow(lean(count), "slice int, counts binary").repartition(slices, "slice").mapInArrow(add, "slice int, counts binary")
     out = np.zeros((slices, span), np.uint64)
     for row in parts.collect():
         out[row["slice"]] = np.frombuffer(row["counts"], np.uint64)
@@ -132,7 +132,7 @@ def prefixes(source: DataFrame, counters: np.ndarray, width: int, percent: int)
         make, counts = Shingler(width), shared.value
         for batch in batches:
             texts = TextBatch(batch.column("text"))
-            for a, b in texts.groups():
+            for a, b in texts.groups(1 << 20):
                 d, n, s, p = [], [], np.zeros((b - a, LANES), np.int64), []
                 for i in range(a, b):
                     x = make.of(texts.text(i))
@@ -150,7 +150,7 @@ def prefixes(source: DataFrame, counters: np.ndarray, width: int, percent: int)
                     names=["doc_id", "raw", "d", "n", *SKETCH, "prefix"],
                 )
 
-    return source.mapInArrow(run, f"doc_id {id_type}, raw long, d binary, n int, {', '.join(f'{c} long' for c in SKETCH)}, prefix array<long>")
+    return source.mapInArrow(lean(run), f"doc_id {id_type}, raw long, d binary, n int, {', '.join(f'{c} long' for c in SKETCH)}, prefix array<long>")
 
 
 def _texts(source: DataFrame, pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -178,7 +178,7 @@ def _texts(source: DataFrame, pairs: DataFrame, texts: DataFrame, width: int) ->
             place = batch.column("raw").to_numpy() & np.int64((1 << NODE_BITS) - 1)
             batch = batch.filter(pa.array((shared.value[place >> 3] >> (place & 7) & 1).astype(bool)))
             texts = TextBatch(batch.column("text"))
-            for a, b in texts.groups():
+            for a, b in texts.groups(1 << 20):
                 d, n, wide, bodies = [], [], [], []
                 for i in range(a, b):
                     body = texts.text(i)
@@ -192,7 +192,7 @@ def _texts(source: DataFrame, pairs: DataFrame, texts: DataFrame, width: int) ->
                         bodies.append(body)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(n, pa.int32()), pa.array(wide, pa.list_(pa.int64())), pa.array(bodies, pa.binary())], names=["d", "n", "wide", "body"])
 
-    return source.select("raw", "text").mapInArrow(digests, "d binary, n int, wide array<long>, body binary")
+    return source.select("raw", "text").mapInArrow(lean(digests), "d binary, n int, wide array<long>, body binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -218,7 +218,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with _batches_of(pairs.sparkSession, 64):
-        return written(both.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary").distinct(), "join-verified")
+        return written(both.select("a", "b", "x", "y").mapInArrow(lean(compare), "a binary, b binary").distinct(), "join-verified")
 
 
 @contextmanager
@@ -254,6 +254,7 @@ def _pairs(joined: DataFrame) -> DataFrame:
 
 def link_texts(docs: DataFrame, width: int = 3, percent: int = 90, star: int = 4, star_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, raw, n_shingles, component_id, grp (names the component)."""
+    small_batches(docs.sparkSession)
     source = _source(docs, id_col, text_col)
     whole = written(prefixes(source, shingle_counters(source, width), width, percent), "join-prefixes")
     rows = written(whole.select("doc_id", "raw", "d", "n"), "join-rows")
@@ -283,7 +284,8 @@ def link_texts(docs: DataFrame, width: int = 3, percent: int = 90, star: int = 4
             order = F.col("l.d") < F.col("r.d")
         else:
             lead = crowd.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "d").alias("o"), "d", "lab", "n", "pos", *SKETCH)).alias("x"))
-            right, order = lead.select("h", "x.*"), F.lit(True)
+            # written, so that leaders are combined before their shuffle and Spark can split the join
+            right, order = written(lead.select("h", "x.*"), "join-leaders"), F.lit(True)
         meets = (F.col("l.h") == F.col("r.h")) & (F.col("l.lab") != F.col("r.lab")) & order & _could_link(percent) & _near_sketch(percent)
         more = _pairs(left.join(right.alias("r"), meets))
         if turn == 0:

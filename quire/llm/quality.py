@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import TextBatch, table
+from quire.llm.common import TextBatch, lean, small_batches, table
 from quire.llm.labels import held_out, training_rows
 
 FEATURES = ("log_bytes", "log_words", "word_length", "upper", "symbols", "digits", "stops", "distinct_words", "echoed_words", "distinct_lines", "lines_per_word", "lone_symbols")
@@ -39,7 +39,7 @@ _KIND[[9, 10, 11, 12, 13, 32]] = 5
 def features(texts: TextBatch) -> np.ndarray:
     """One row of FEATURES for each text."""
     out = np.zeros((len(texts), len(FEATURES)))
-    for a, b in texts.groups():
+    for a, b in texts.groups(1 << 20):
         base = texts.bounds[a]
         kinds = _KIND[texts.bytes[base : texts.bounds[b]]]
         ends = texts.bounds[a : b + 1] - base
@@ -163,13 +163,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows:
             x = features(TextBatch(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(c) for c in x.T)], names=["y", *FEATURES])
 
-    sample = training_rows(docs, labels, label, most_rows, id_col, text_col).mapInArrow(run, "y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    small_batches(docs.sparkSession)
+    sample = training_rows(docs, labels, label, most_rows, id_col, text_col).mapInArrow(lean(run), "y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     sample = sample.sort_values(list(FEATURES) + ["y"])  # the order of rows must not matter
     return fit(sample[list(FEATURES)].to_numpy(float), sample["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: AdditiveModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
@@ -179,11 +181,12 @@ def score(docs: DataFrame, model: AdditiveModel, threshold: float = 0.5, id_col:
             p = shared.value.score(features(TextBatch(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return source.mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    return source.mapInArrow(lean(run), f"doc_id {id_type}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that score ``threshold`` or more."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
@@ -191,7 +194,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.5, tex
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score(features(TextBatch(batch.column(place)))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

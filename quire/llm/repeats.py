@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import TextBatch, mix64, table, written
+from quire.llm.common import TextBatch, lean, mix64, small_batches, table, written
 
 GRAM = 128
 BLOCK = 2 << 20
@@ -207,6 +207,7 @@ def block_spans(rows: list[tuple[int, int, int, bytes]], span: int) -> Iterator[
 
 def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("x1"), F.xxhash64(F.lit(span), text).alias("x2"), text.alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
@@ -221,7 +222,7 @@ def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (name, lo.astype(np.int32), hi.astype(np.int32), count.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "x1", "x2")), pa.array(np.diff(texts.bounds[a : b + 1])), pa.array(shas, pa.string()), *lists], names=["doc_id", "x1", "x2", "n_bytes", "sha", "h", "lo", "hi", "c"])
 
-    rows = written(source.mapInArrow(scan, f"doc_id {id_type}, x1 long, x2 long, n_bytes long, sha string, h array<long>, lo array<int>, hi array<int>, c array<int>"), "repeat-rows")
+    rows = written(source.mapInArrow(lean(scan), f"doc_id {id_type}, x1 long, x2 long, n_bytes long, sha string, h array<long>, lo array<int>, hi array<int>, c array<int>"), "repeat-rows")
     classes = rows.groupBy("x1", "x2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("owner"), *(F.first(c).alias(c) for c in ("h", "lo", "hi", "c")))
     classes = written(classes, "repeat-classes")
     entries = classes.select("x1", "x2", "owner", F.explode(F.arrays_zip("h", "lo", "hi", "c")).alias("e")).select("x1", "x2", "owner", "e.*")
@@ -282,8 +283,8 @@ def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_
         if due():
             yield work()
 
-    passages = texts.mapInArrow(cut, "k1 long, k2 long, x1 long, x2 long, start long, body binary")
-    spans = passages.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(mark, "x1 long, x2 long, start long, stop long")
+    passages = texts.mapInArrow(lean(cut), "k1 long, k2 long, x1 long, x2 long, start long, body binary")
+    spans = passages.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(lean(mark), "x1 long, x2 long, start long, stop long")
     spans = written(spans.distinct(), "repeat-spans").groupBy("x1", "x2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +309,7 @@ def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_
                 merged.append(runs)
             yield pa.RecordBatch.from_arrays([batch.column("x1"), batch.column("x2"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(shas, pa.string()), pa.array(merged, pa.list_(pa.list_(pa.int64())))], names=["x1", "x2", "removed", "count", "kept", "runs"])
 
-    cuts = texts.select("x1", "x2", "text").join(spans, ["x1", "x2"]).mapInArrow(remove, "x1 long, x2 long, removed long, count long, kept string, runs array<array<long>>")
+    cuts = texts.select("x1", "x2", "text").join(spans, ["x1", "x2"]).mapInArrow(lean(remove), "x1 long, x2 long, removed long, count long, kept string, runs array<array<long>>")
     # a class with two owners of one id would give its row twice
     cuts = cuts.groupBy("x1", "x2").agg(*(F.first(c).alias(c) for c in ("removed", "count", "kept", "runs")))
     by_class = written(classes.select("x1", "x2", "copies").join(cuts, ["x1", "x2"], "left"), "repeat-cuts")

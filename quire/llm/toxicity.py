@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table, written
+from quire.llm.common import lean, small_batches, table, written
 from quire.llm.labels import held_out, training_rows
 
 #: Look-alikes of Latin letters, then digits and signs used for letters.
@@ -118,10 +118,11 @@ def _count(sample: DataFrame, make) -> DataFrame:
             names = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][n] for n in names], pa.int64()), pa.array([counts[0][n] for n in names], pa.int64())], names=["entry", "pos", "neg"])
 
-    return sample.mapInArrow(run, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return sample.mapInArrow(lean(run), "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 20_000, most_entries: int = 5_000, least_docs: int = 6, least_weight: float = 1.5, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
+    small_batches(docs.sparkSession)
     sample = written(training_rows(docs, labels, label, most_rows, id_col, text_col), "toxic-sample")
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
@@ -162,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: i
             m = np.array([measures(found, fold(t)) for t in batch.column("text").to_pylist()]).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(c) for c in m.T)], names=["y", "a", "b", "c"])
 
-    rows = sample.mapInArrow(run, "y int, a double, b double, c double").toPandas().sort_values(["a", "b", "c", "y"])
+    rows = sample.mapInArrow(lean(run), "y int, a double, b double, c double").toPandas().sort_values(["a", "b", "c", "y"])
     return ToxicModel(model.weights, model.exceptions, _logistic(rows[["a", "b", "c"]].to_numpy(float), rows["y"].to_numpy(float)))
 
 
@@ -182,6 +183,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
@@ -195,7 +197,7 @@ def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.7, id_col: st
                 p = 1 / (1 + np.exp(-np.clip(b[0] + m @ b[1:], -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return source.mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    return source.mapInArrow(lean(run), f"doc_id {id_type}, held_out boolean, score double, predicted int")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
