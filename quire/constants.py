@@ -159,3 +159,37 @@ PATH_GENRES = (
     ("Путешествия и география", "путешест|географ|travel"),
     ("Спорт", "спорт|sport"),
 )
+
+# Published signatures of file kinds, as (first byte, hexadecimal bytes, extension, MIME type).
+KIND_SIGNATURES = (
+    (0, "25504446", "pdf", "application/pdf"),
+    (30, "6D696D65747970656170706C69636174696F6E2F657075622B7A6970", "epub", "application/epub+zip"),
+    (60, "424F4F4B4D4F4249", "mobi", "application/x-mobipocket-ebook"),
+    (0, "7B5C727466", "rtf", "application/rtf"),
+    (0, "504B0304", "zip", "application/zip"),
+    (0, "504B0506", "zip", "application/zip"),
+    (0, "526172211A07", "rar", "application/x-rar-compressed"),
+    (0, "377ABCAF271C", "7z", "application/x-7z-compressed"),
+    (0, "1F8B08", "gz", "application/gzip"),
+    (0, "425A68", "bz2", "application/x-bzip2"),
+    (0, "FD377A585A00", "xz", "application/x-xz"),
+    (257, "7573746172", "tar", "application/x-tar"),
+    (0, "89504E470D0A1A0A", "png", "image/png"),
+    (0, "FFD8FF", "jpg", "image/jpeg"),
+    (0, "474946383761", "gif", "image/gif"),
+    (0, "474946383961", "gif", "image/gif"),
+    (8, "57454250", "webp", "image/webp"),
+    (0, "49492A00", "tif", "image/tiff"),
+    (0, "4D4D002A", "tif", "image/tiff"),
+    (0, "494433", "mp3", "audio/mpeg"),
+    (0, "664C6143", "flac", "audio/x-flac"),
+    (0, "4F676753", "ogg", "audio/ogg"),
+    (8, "57415645", "wav", "audio/x-wav"),
+    (8, "41564920", "avi", "video/x-msvideo"),
+    (4, "66747970", "mp4", "video/mp4"),
+    (0, "1A45DFA3", "mkv", "video/x-matroska"),
+    (0, "7F454C46", "elf", "application/x-executable"),
+    (0, "53514C69746520666F726D6174203300", "sqlite", "application/x-sqlite3"),
+    (0, "774F4646", "woff", "application/font-woff"),
+    (0, "774F4632", "woff2", "application/font-woff"),
+)

@@ -113,6 +113,16 @@ def magic(content: Column) -> Column:
     return F.when(content.isNull(), "").otherwise(out)
 
 
+def kind_of(content: Column) -> Column:
+    """struct(ext, mime) by the signature in the first bytes, empty if none is known."""
+    head = F.coalesce(F.hex(F.substring(content, 1, 320)), F.lit(""))
+    kind = lambda ext, mime: F.struct(F.lit(ext).alias("ext"), F.lit(mime).alias("mime"))
+    out = kind("", "")
+    for first, sign, ext, mime in reversed(C.KIND_SIGNATURES):
+        out = F.when(F.substring(head, 2 * first + 1, len(sign)) == sign, kind(ext, mime)).otherwise(out)
+    return out
+
+
 def is_archive(path: Column, content: Column, mime: Column) -> Column:
     ext = T.suffix_of(path)
     head = F.coalesce(F.hex(F.substring(content, 1, 8)), F.lit(""))

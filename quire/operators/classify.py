@@ -72,7 +72,10 @@ def verdict(path: Column, size: Column, head_text: Column, has_sidecar: Column,
 
 
 def classify(files: DataFrame) -> DataFrame:
-    """Adds is_book and reason to files with path, size_bytes and content."""
-    rows = with_sidecar(files).withColumn("__head", B.snippet(F.col("content"), F.col("path"), 1200))
-    rows = rows.withColumn("__binary", B.looks_binary(F.substring("content", 1, 4096))).withColumn("__v", verdict(F.col("path"), F.col("size_bytes"), F.col("__head"), F.col("has_sidecar"), F.col("__binary"), B.magic(F.col("content"))))
-    return rows.select("*", "__v.*").drop("__head", "__binary", "__v", "has_sidecar")
+    """Adds is_book and reason to files with path, size_bytes and content.
+
+    File kinds are told by signature; what has none is judged by name, text and bytes.
+    """
+    rows = with_sidecar(files).withColumn("__kind", B.kind_of(F.col("content"))).withColumn("__head", B.snippet(F.col("content"), F.col("path"), 1200))
+    rows = rows.withColumn("__binary", B.looks_binary(F.substring("content", 1, 4096))).withColumn("__v", verdict(F.col("path"), F.col("size_bytes"), F.col("__head"), F.col("has_sidecar"), F.col("__binary"), B.magic(F.col("content")), F.col("__kind.ext"), F.col("__kind.mime")))
+    return rows.select("*", "__v.*").drop("__kind", "__head", "__binary", "__v", "has_sidecar")

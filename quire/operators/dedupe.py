@@ -39,21 +39,53 @@ def latest(events: DataFrame, key: str, order: list[str], values: list[str]) ->
     return events.groupBy(key).agg(last.alias("__v")).select(key, "__v.*")
 
 
+def _numbered(rows: DataFrame, group: list[str], turn: str, taken: DataFrame) -> DataFrame:
+    """Adds ``__free``: the ``turn``-th whole number from 1 on that is not ``taken`` in the group.
+
+    ``taken`` has the group's columns and ``__t``. Before the j-th taken number b there are b - j
+    free ones, so a running count of taken numbers, in the order of that difference, is what a
+    row has to skip.
+    """
+    blocked = taken.distinct().withColumn("__at", F.col("__t") - F.row_number().over(Window.partitionBy(*group).orderBy("__t"))).withColumn("__b", F.lit(1)).drop("__t")
+    both = rows.withColumn("__at", F.col(turn).cast("long")).withColumn("__b", F.lit(0)).unionByName(blocked, allowMissingColumns=True)
+    skip = F.sum("__b").over(Window.partitionBy(*group).orderBy("__at", "__b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("__free", F.col("__at") + skip).where("__b = 0").drop("__at", "__b")
+
+
+def _numbers_in_names(rows: DataFrame, pattern: str, groups: int) -> DataFrame:
+    """Different names whose stem fits ``pattern``: what it numbers, then its other groups."""
+    g = lambda k: F.regexp_extract("__stem", pattern, k)
+    names = rows.select("__stem", "__end").distinct().where(F.col("__stem").rlike(pattern))
+    return names.select(F.concat(g(1), F.col("__end")).alias("__dest"), *(g(k).alias(f"__g{k}") for k in range(2, groups + 1)))
+
+
 def unique_names(rows: DataFrame, dest: str, order: list[str], stem: Column, suffix: Column) -> DataFrame:
-    """Adds ``unique_dest``: first the name itself, then stem_1, stem_2, ..."""
+    """Adds ``unique_dest``: the name for its first row, then stem_1, stem_2, ... that are free.
+
+    A number is free if no row asks for that name itself, so no two rows get one name.
+    """
     n = F.row_number().over(Window.partitionBy(dest).orderBy(*order)) - 1
-    return rows.withColumn("__n", n).withColumn("unique_dest", F.when(F.col("__n") == 0, F.col(dest)).otherwise(F.concat(stem, F.lit("_"), F.col("__n").cast("string"), suffix))).drop("__n")
+    named = rows.withColumn("__stem", stem).withColumn("__end", suffix).withColumn("__dest", F.col(dest)).withColumn("__n", n)
+    taken = _numbers_in_names(named, "^(.*)_([1-9][0-9]{0,17})$", 2).select("__dest", F.col("__g2").try_cast("long").alias("__t"))
+    out = _numbered(named, ["__dest"], "__n", taken)
+    unique = F.when(F.col("__n") == 0, F.col(dest)).otherwise(F.concat("__stem", F.lit("_"), F.col("__free").cast("string"), "__end"))
+    return out.withColumn("unique_dest", unique).drop("__stem", "__end", "__dest", "__n", "__free")
 
 
 def unique_names_by_hash(rows: DataFrame, dest: str, digest: str, order: list[str], stem: Column, suffix: Column) -> DataFrame:
     """The same with stem_<hash8>, then stem_<hash8>_1, ... for further rows of one hash."""
     n = F.row_number().over(Window.partitionBy(dest).orderBy(*order))
     eight = F.left(F.coalesce(F.nullif(F.col(digest), F.lit("")), F.lit("x")), F.lit(8))
-    out = rows.withColumn("__n", n).withColumn("__h", eight)
-    m = F.row_number().over(Window.partitionBy(dest, "__h").orderBy("__n")) - 1 - F.max((F.col("__n") == 1).cast("int")).over(Window.partitionBy(dest, "__h"))
-    out = out.withColumn("__m", m)
-    again = F.when(F.col("__m") > 0, F.concat(F.lit("_"), F.col("__m").cast("string"))).otherwise("")
-    return out.withColumn("unique_dest", F.when(F.col("__n") == 1, F.col(dest)).otherwise(F.concat(stem, F.lit("_"), F.col("__h"), again, suffix))).drop("__n", "__h", "__m")
+    named = rows.withColumn("__stem", stem).withColumn("__end", suffix).withColumn("__dest", F.col(dest)).withColumn("__n", n).withColumn("__h", eight)
+    own = Window.partitionBy("__dest", "__h")
+    named = named.withColumn("__m", F.row_number().over(own.orderBy("__n")) - F.max((F.col("__n") == 1).cast("int")).over(own))
+    # stem_<hash8> is number 1 of its hash, stem_<hash8>_i is number i + 1
+    plain = _numbers_in_names(named, "^(.*)_([^_]{1,8})$", 2).select("__dest", F.col("__g2").alias("__h"), F.lit(1).cast("long").alias("__t"))
+    further = _numbers_in_names(named, "^(.*)_([^_]{1,8})_([1-9][0-9]{0,16})$", 3).select("__dest", F.col("__g2").alias("__h"), (F.col("__g3").try_cast("long") + 1).alias("__t"))
+    out = _numbered(named, ["__dest", "__h"], "__m", plain.union(further))
+    again = F.when(F.col("__free") > 1, F.concat(F.lit("_"), (F.col("__free") - 1).cast("string"))).otherwise("")
+    unique = F.when(F.col("__n") == 1, F.col(dest)).otherwise(F.concat("__stem", F.lit("_"), "__h", again, "__end"))
+    return out.withColumn("unique_dest", unique).drop("__stem", "__end", "__dest", "__n", "__h", "__m", "__free")
 
 
 def last_events(events: DataFrame, order: list[str], n: int = 10) -> DataFrame:

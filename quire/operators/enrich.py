@@ -1,11 +1,13 @@
 """Outside lookups: distinct keys, a cache, a provider in Arrow batches, and joining back.
 
 A provider is any callable from a list of requests to a list of answers (JSON text or null). It is
-called for keys that the cache lacks, once each; negative answers are kept too.
+called for keys that the cache lacks, once each; negative answers are kept too, but for those that
+a provider refused for their rate.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,10 +17,48 @@ from pyspark.sql import functions as F
 from quire.functions import genre as G
 from quire.functions import isbn as I
 from quire.functions import text as T
+from quire.sources.state import settled
 
 Provider = Callable[[list[str]], list[str | None]]
 
 
+#: An answer that is none and must not be kept: ask again another time.
+RATE_LIMITED = "rate limited"
+
+
+def first_of(*providers: Provider) -> Provider:
+    """Providers in order of trust: the first that knows a request answers it."""
+
+    def ask(requests: list[str]) -> list[str | None]:
+        out: list[str | None] = [None] * len(requests)
+        for provider in providers:
+            open_ = [k for k, a in enumerate(out) if a in (None, RATE_LIMITED)]
+            for k, answer in zip(open_, provider([requests[k] for k in open_]) if open_ else [], strict=True):
+                if answer is not None:
+                    out[k] = answer
+        return out
+
+    return ask
+
+
+def paced(provider: Provider, seconds: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Provider:
+    """One request every ``seconds``: a slot is reserved, then waited for. For one task at a time."""
+    free = [float("-inf")]
+
+    def ask(requests: list[str]) -> list[str | None]:
+        out = []
+        for request in requests:
+            now = clock()
+            slot = max(now, free[0])
+            free[0] = slot + seconds
+            if slot > now:
+                sleep(slot - now)
+            out += provider([request])
+        return out
+
+    return ask
+
+
 def stub_provider(requests: list[str]) -> list[str | None]:
     """Answers nothing; stands in where there is no network."""
     return [None] * len(requests)
@@ -31,17 +71,20 @@ def cache_key(kind: str, request: Column) -> Column:
 def lookup(rows: DataFrame, request: str, kind: str, provider: Provider, cache: DataFrame, parallel: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``rows`` with ``answer_json``, and the new cache rows (cache_key, payload_json).
 
-    ``parallel`` bounds how many calls run at a time (1: a global rate limit can hold).
+    The provider runs here and now, and its answers are written before anything reads them, so it
+    is called once for each key however often the results are used. ``parallel`` bounds how many
+    calls run at a time (1: a global rate limit can hold); the steps before stay parallel.
     """
     keyed = rows.withColumn("cache_key", F.when(F.col(request).isNotNull(), cache_key(kind, F.col(request))))
     wanted = keyed.where("cache_key is not null").groupBy("cache_key").agg(F.first(request).alias("request")).join(cache, "cache_key", "left_anti")
-    wanted = wanted if parallel is None else wanted.coalesce(parallel)
+    wanted = wanted if parallel is None else wanted.repartition(parallel)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"cache_key": batch["cache_key"], "payload_json": provider(batch["request"].tolist())})
 
-    fresh = wanted.mapInPandas(call, "cache_key string, payload_json string")
+    fresh = settled(wanted.mapInPandas(call, "cache_key string, payload_json string"), "answers")
+    fresh = fresh.where(F.coalesce("payload_json", F.lit("")) != RATE_LIMITED)
     known = cache.select("cache_key", "payload_json").unionByName(fresh)
     return keyed.join(known.withColumnRenamed("payload_json", "answer_json"), "cache_key", "left").drop("cache_key"), fresh
 

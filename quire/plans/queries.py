@@ -220,10 +220,15 @@ def metadata_from_path(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", m.alias("m")).select("p_partkey", "m.*")
 
 
-@query("""select p_partkey, case when n = 0 then p_name || '.zip' else p_name || '_' || n || '.zip' end as unique_dest
-from (select p_partkey, p_name, row_number() over (partition by p_name order by p_partkey) - 1 as n from part)""")
+_NUMBERED = "'^(.*)_([1-9][0-9]*)$'"
+_ASKED = "case when p_partkey % 5 = 0 then p_name || '_1' else p_name end"
+
+
+@query(f"""with v as (select p_partkey, {_ASKED} as stem from part), n as (select *, row_number() over (partition by stem order by p_partkey) - 1 as r from v),
+t as (select regexp_extract(stem, {_NUMBERED}, 1) as base, list(distinct cast(regexp_extract(stem, {_NUMBERED}, 2) as bigint)) as l from v where regexp_matches(stem, {_NUMBERED}) group by 1)
+select p_partkey, case when r = 0 then stem else stem || '_' || list_filter(range(1, r + 2 + coalesce(len(l), 0)), lambda i: not list_contains(coalesce(l, []), i))[r] end || '.zip' as unique_dest from n left join t on base = stem""")
 def unique_names(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(".zip")).alias("dest"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.expr(_ASKED), F.lit(".zip")).alias("dest"))
     return dedupe.unique_names(rows, "dest", ["p_partkey"], F.regexp_replace("dest", r"\.zip$", ""), F.lit(".zip")).select("p_partkey", "unique_dest")
 
 

@@ -12,7 +12,7 @@ import io
 import lzma
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quire import constants as C
 
-_PACKED = {".gz": gzip.decompress, ".bz2": bz2.decompress, ".xz": lzma.decompress}
+_PACKED = {".gz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}
 _TARS = (".tar", ".tgz", ".tbz", ".tbz2", ".txz", ".tar.gz", ".tar.bz2", ".tar.xz")
 _BROKEN = (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, lzma.LZMAError, RuntimeError, NotImplementedError, ValueError)
 
@@ -37,21 +37,40 @@ def archive_like(name: str, head: bytes) -> bool:
     return ext in C.ARCHIVE_EXTENSIONS or any(head.startswith(bytes.fromhex(s)) for s in C.ARCHIVE_MAGIC)
 
 
-def members(name: str, raw: bytes) -> Iterator[tuple[str, bytes]]:
-    """(member, content) of one archive level; names are read, never used as paths."""
+class TooLarge(Exception):
+    """A member that goes beyond the bytes an archive may unpack to."""
+
+
+def read_up_to(stream, most: int, piece: int = 1 << 20) -> bytes:
+    """All of ``stream``, read in pieces, so that nothing far beyond ``most`` is ever held."""
+    out = bytearray()
+    while part := stream.read(piece):
+        out += part
+        if len(out) > most:
+            raise TooLarge
+    return bytes(out)
+
+
+def members(name: str, raw: bytes, most: Callable[[], int] = lambda: 1 << 62) -> Iterator[tuple[str, bytes]]:
+    """(member, content) of one archive level; names are read, never used as paths.
+
+    ``most`` tells how many bytes the next member may have.
+    """
     low = name.lower()
     if raw[:4] == b"PK\x03\x04" or raw[:4] == b"PK\x05\x06":
         with zipfile.ZipFile(io.BytesIO(raw)) as box:
             for info in box.infolist():
                 if not info.is_dir():
-                    yield info.filename, box.read(info)
+                    with box.open(info) as stream:
+                        yield info.filename, read_up_to(stream, most())
     elif low.endswith(_TARS):
         with tarfile.open(fileobj=io.BytesIO(raw)) as box:
             for info in box:
                 if info.isfile():
-                    yield info.name, box.extractfile(info).read()
+                    yield info.name, read_up_to(box.extractfile(info), most())
     elif (ext := _suffix(name)) in _PACKED:
-        yield name.rpartition("/")[2][: -len(ext)], _PACKED[ext](raw)
+        with _PACKED[ext](io.BytesIO(raw)) as stream:
+            yield name.rpartition("/")[2][: -len(ext)], read_up_to(stream, most())
     else:
         raise ValueError("unsupported archive")
 
@@ -63,7 +82,7 @@ def walk(name: str, raw: bytes, most_depth: int, most_members: int, most_bytes:
         chain, body = todo.pop()
         try:
             empty = True
-            for member, content in members(chain[-1], body):
+            for member, content in members(chain[-1], body, lambda: most_bytes - size):
                 empty = False
                 seen, size = seen + 1, size + len(content)
                 if seen > most_members or size > most_bytes:
@@ -78,6 +97,9 @@ def walk(name: str, raw: bytes, most_depth: int, most_members: int, most_bytes:
                     yield chain, member, content, ""
             if empty:
                 yield chain, "", None, "empty_archive"
+        except TooLarge:
+            yield chain, "", None, "limit_reached"
+            return
         except _BROKEN as error:
             yield chain, "", None, f"bad_archive:{type(error).__name__}"
 

@@ -1,7 +1,8 @@
 """Versioned Parquet snapshots and the opt-in ZIP sink.
 
-A snapshot is written to a new folder and named in a pointer file only when it is whole, so a
-reader never sees half of one and a failed job changes nothing.
+A snapshot is written to a new folder and then named by a marker file of its own, made in one
+step. Markers are never changed or deleted by a writer, and the highest one counts: whenever a job
+fails, readers keep the version before.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -25,10 +28,12 @@ def _fs(spark: SparkSession, path: str):
 
 
 def current_version(spark: SparkSession, root: str) -> int:
-    fs, place = _fs(spark, f"{root}/CURRENT")
+    """Number of the last whole version, 0 if there is none."""
+    fs, place = _fs(spark, root)
     if not fs.exists(place):
         return 0
-    return int(spark.read.text(f"{root}/CURRENT").first()[0])
+    names = [str(x.getPath().getName()) for x in fs.listStatus(place)]
+    return max((int(n.removeprefix("DONE.")) for n in names if n.startswith("DONE.")), default=0)
 
 
 def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
@@ -39,17 +44,39 @@ def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
 def write_snapshot(df: DataFrame, root: str) -> int:
     spark = df.sparkSession
     v = current_version(spark, root) + 1
-    df.write.mode("overwrite").parquet(f"{root}/v={v}")
-    fs, temp = _fs(spark, f"{root}/.CURRENT.tmp")
-    out = fs.create(temp, True)
-    out.write(str(v).encode())
-    out.close()
-    final = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    fs.delete(final, False)
-    fs.rename(temp, final)
+    df.write.mode("overwrite").parquet(f"{root}/v={v}")  # what a failed writer left goes
+    publish(spark, root, v)
     return v
 
 
+def publish(spark: SparkSession, root: str, v: int) -> None:
+    fs, mark = _fs(spark, f"{root}/DONE.{v}")
+    fs.create(mark, False).close()
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once and read back, so that what made it never runs twice.
+
+    It lies in the folder of spark.checkpoint.dir, shared by driver and executors; only a session
+    that runs in one process may do without that setting.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="quire-")
+    path = f"{folder.rstrip('/')}/quire/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def migrated(events: DataFrame) -> DataFrame:
+    """Status rows of old runs: a duplicate whose path lies in a temporary folder is ``duplicate_temp``."""
+    temporary = F.col("source_path").like("%_TempPipeline%")
+    return events.withColumn("status", F.when((F.col("status") == "duplicate") & temporary, "duplicate_temp").otherwise(F.col("status")))
+
+
 def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 

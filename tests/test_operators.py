@@ -1,3 +1,4 @@
+import gzip
 import io
 import os
 import tarfile
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import content as B
-from quire.operators import classify, dedupe, enrich, index_sync, metrics
+from quire.operators import classify, dedupe, enrich, index_sync, metrics, model
 from quire.operators import metadata as M
 from quire.plans import catalogue
 from quire.sources import archives, files, state
@@ -79,9 +80,9 @@ def test_archives_explode_nested(spark, library):
 def test_classify_in_order(spark, library):
     got = {os.path.basename(r["path"]): (r["is_book"], r["reason"]) for r in classify.classify(files.scan(spark, [library])).collect()}
     assert got["_hidden.txt"] == (True, "text_book_signals") and got[".dot.txt"] == (False, "text_no_book_signals")
-    assert got["empty.txt"] == (False, "empty_file") and got["12345"] == (True, "book_magic:pdf") and got["nul"] == (False, "tiny_unknown_binary:no_ext")
+    assert got["empty.txt"] == (False, "empty_file") and got["12345"] == (True, "book_filetype:application/pdf") and got["nul"] == (False, "tiny_unknown_binary:no_ext")
     assert got["pic.jpg"] == (False, "nonbook_ext:.jpg") and got["t.fb2"] == (True, "book_ext:.fb2") and got["side.txt"] == (True, "text_fbd_sidecar")
-    assert got["book.epub"] == (True, "book_ext:.epub") and got["side.fbd"] == (False, "nonbook_ext:.fbd")
+    assert got["book.epub"] == (True, "book_filetype:application/zip") and got["side.fbd"] == (False, "nonbook_ext:.fbd")
 
 
 def test_kinds(spark):
@@ -131,6 +132,85 @@ def test_unique_names(spark):
     assert got == ["x.zip", "x_aaaaaaaa.zip", "x_aaaaaaaa_1.zip", "x_bbbbbbbb.zip", "y.zip"]
 
 
+def test_unique_names_that_are_asked_for(spark):
+    rows = spark.createDataFrame([(d, "abcdefgh9", k) for k, d in enumerate(["a.zip", "a.zip", "a_1.zip", "a.zip", "a_3.zip", "a_1.zip", "a_abcdefgh.zip", "a_abcdefgh_1.zip", "b_.zip", "b_.zip"])], "d string, h string, n int")
+    stem, end = F.regexp_replace("d", r"\.zip$", ""), F.lit(".zip")
+    got = [r["unique_dest"] for r in dedupe.unique_names(rows, "d", ["n"], stem, end).orderBy("n").collect()]
+    assert got == ["a.zip", "a_2.zip", "a_1.zip", "a_4.zip", "a_3.zip", "a_1_1.zip", "a_abcdefgh.zip", "a_abcdefgh_1.zip", "b_.zip", "b__1.zip"]
+    got = [r["unique_dest"] for r in dedupe.unique_names_by_hash(rows, "d", "h", ["n"], stem, end).orderBy("n").collect()]
+    assert got == ["a.zip", "a_abcdefgh_2.zip", "a_1.zip", "a_abcdefgh_3.zip", "a_3.zip", "a_1_abcdefgh.zip", "a_abcdefgh.zip", "a_abcdefgh_1.zip", "b_.zip", "b__abcdefgh.zip"]
+
+
+def test_snapshot_survives_a_crash(spark, tmp_path):
+    root = str(tmp_path / "s")
+    assert state.read_snapshot(spark, root, "k string").count() == 0
+    assert state.write_snapshot(spark.createDataFrame([("a",)], "k string"), root) == 1
+    spark.createDataFrame([("half",)], "k string").write.parquet(f"{root}/v=2")  # died before its marker
+    assert [r["k"] for r in state.read_snapshot(spark, root, "k string").collect()] == ["a"]
+    assert state.write_snapshot(spark.createDataFrame([("b",)], "k string"), root) == 2
+    assert [r["k"] for r in state.read_snapshot(spark, root, "k string").collect()] == ["b"]
+    events = spark.createDataFrame([("/x/_TempPipeline/a", "duplicate"), ("/x/a", "duplicate"), ("/x/_TempPipeline/b", "packed")], "source_path string, status string")
+    assert [r["status"] for r in state.migrated(events).collect()] == ["duplicate_temp", "duplicate", "packed"]
+
+
+def test_archive_bomb_stops(spark):
+    bomb = gzip.compress(b"\0" * (64 << 20))
+    assert [n for *_, n in archives.walk("x.gz", bomb, 8, 100, 1 << 20)] == ["limit_reached"]
+    assert [(m, c) for _, m, c, _ in archives.walk("x.txt.gz", gzip.compress(b"hi"), 8, 100, 1 << 20)] == [("x.txt", b"hi")]
+
+
+def test_model_flow(spark):
+    cache = spark.createDataFrame([], "cache_key string, payload_json string")
+    strong, weak = '{"title": "Dune", "genre": "poetry", "confidence": 4.5}', '{"title": "", "genre": "", "confidence": 1}'
+    data = [("strong", "x" * 30, "full"), ("weak", "x" * 30, "full"), ("none", "x" * 30, "full"), ("none2", "12", "full"), ("g", "", "genre_only"), ("g0", "", "genre_only"), ("s", "", "skip:metadata_sufficient")]
+    rows = spark.createDataFrame([(c, s, d, "Old", "A", "Unknown", 0.3, "filename") for c, s, d in data], "context string, snippet string, lm_decision string, title string, author string, genre string, confidence double, source string")
+    fast = lambda rs: [strong if r == "strong" else weak if r == "weak" else None for r in rs]
+    asking = model.Asking(fast=fast, full=lambda rs: [strong if r.startswith("x") else None for r in rs], genre=lambda rs: ['{"genre": "poetry"}' if r == "g" else None for r in rs])
+    out, fresh = model.ask(rows, asking, cache)
+    got = {r["context"]: r for r in out.collect()}
+    assert got["strong"]["lm_stats"] == ["fast_request", "fast_ok", "processed"] and got["strong"]["title"] == "Dune" and got["strong"]["genre"] == "Поэзия"
+    assert got["weak"]["lm_stats"] == ["fast_request", "fast_fallback", "full_request", "full_ok", "processed"]
+    assert got["none"]["lm_stats"] == ["fast_request", "fast_no_result", "full_request", "full_ok", "processed"]
+    assert got["none2"]["lm_stats"][2:] == ["full_request", "full_no_result", "processed"] and got["none2"]["title"] == "Old"
+    assert got["g"]["lm_stats"] == ["genre_only_request", "genre_only_ok", "processed"] and got["g"]["genre"] == "Поэзия"
+    assert got["g0"]["lm_stats"][1] == "genre_only_no_result" and got["s"]["lm_stats"] == ["skipped", "processed"]
+    # four contexts, one snippet, the context of none2 again, two genre requests
+    assert fresh.count() == 8
+    pieces = rows.withColumn("pieces", F.array(F.lit("p1"), F.lit("p2"), F.lit("p3")))
+    slow = model.iterative_provider(lambda ps: '{"title": "I", "genre": "poetry", "confidence": %d, "need_more_text": true}' % (2 * len(ps) + 1))
+    out, _ = model.ask(pieces, model.Asking(fast=None, iterative=slow), cache)
+    assert {r["context"]: r["lm_stats"] for r in out.collect()}["weak"] == ["iter_request", "iter_ok", "processed"]
+    assert slow(['["a", "b", "c"]']) == ['{"title": "I", "genre": "poetry", "confidence": 5, "need_more_text": true}']
+    none, _ = model.ask(rows, model.Asking(fast=None, context_allowed=False), cache)
+    assert {r["context"]: r["lm_stats"] for r in none.collect()}["none2"] == ["full_skipped_no_input", "processed"]
+    assert model.stats_counters(out).where("lm_outcome = 'processed'").first()["n"] == 7
+
+
+def test_providers(spark):
+    sent = []
+
+    def post(body):
+        sent.append(body)
+        return (400, "") if "response_format" in body else (200, "no" if len(sent) < 3 else '{"title": "T"}')
+
+    ask = model.chat_provider(post, "m", "system")
+    assert ask(["q"]) == ['{"title": "T"}'] and [("response_format" in b, len(b["messages"])) for b in sent] == [(True, 2), (False, 2), (True, 4), (False, 4)]
+    assert model.chat_provider(lambda b: (500, ""), "m", "s")(["q"]) == [None]
+    one, two = lambda rs: [enrich.RATE_LIMITED if r == "l" else None for r in rs], lambda rs: ["2" if r == "b" else None for r in rs]
+    assert enrich.first_of(one, two)(["a", "b", "l"]) == [None, "2", enrich.RATE_LIMITED]
+    now, slept = [0.0], []
+    paced = enrich.paced(lambda rs: rs, 10, lambda: now[0], lambda t: (slept.append(t), now.__setitem__(0, now[0] + t)))
+    assert paced(["a", "b", "c"]) == ["a", "b", "c"] and slept == [10, 10]
+    cache = spark.createDataFrame([], "cache_key string, payload_json string")
+    out, fresh = enrich.lookup(spark.createDataFrame([("a",), ("l",)], "q string"), "q", "k", enrich.first_of(one), cache)
+    assert fresh.count() == 1 and out.where("answer_json is null").count() == 2
+    names = spark.createDataFrame([("Dune", "Herbert"), ("Дюна", "Герберт")], "title string, author string")
+    told, asked = model.translate_names(names, lambda rs: ['{"title": "Дюна", "author": ""}' for _ in rs], cache, "ru")
+    assert {tuple(r) for r in told.collect()} == {("Дюна", "Herbert"), ("Дюна", "Герберт")} and asked.count() == 1
+    row = spark.createDataFrame([("T", "Unknown", "")], "title string, author string, genre string").select(model.brief("title", "author", "genre").alias("b")).first()
+    assert row["b"] == '{"title":"T"}'
+
+
 def test_index_refresh(spark):
     listing = spark.createDataFrame([("a", 1, 1), ("b", 2, 2), ("c", 3, 3)], "path_key string, size_bytes long, mtime_ns long")
     index = spark.createDataFrame([("a", 1, 1, "ha", "ok", ""), ("b", 9, 2, "hb", "ok", ""), ("z", 1, 1, "hz", "ok", "")], "path_key string, size_bytes long, mtime_ns long, xxh64 string, status string, note string")
@@ -164,8 +244,7 @@ def test_lookup_calls_once_and_caches(spark, tmp_path):
     cache = spark.createDataFrame([], "cache_key string, payload_json string")
     rows = spark.createDataFrame([("1",), ("1",), ("2",), (None,)], "isbn string")
     out, fresh = enrich.lookup(rows, "isbn", "isbn", provider, cache, parallel=1)
-    fresh = fresh.persist()
-    assert fresh.count() == 2 and sorted(open(log).read().split()) == ["1", "2"]
+    assert out.count() == 4 and fresh.count() == 2 and sorted(open(log).read().split()) == ["1", "2"]
     again, none = enrich.lookup(rows, "isbn", "isbn", provider, fresh)
     assert none.count() == 0 and again.where("answer_json is not null").count() == 2
     book = again.where("isbn = '1'").select(enrich.open_library(F.col("answer_json")).alias("b")).first()["b"]
