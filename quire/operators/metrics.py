@@ -86,3 +86,9 @@ def largest_member(members: DataFrame, archive: str, path: str = "member", size:
     """The largest member of each archive, books before others, the first of equals."""
     rank = F.struct(T.suffix_of(F.col(path)).isin(C.BOOK_EXTENSIONS).alias("b"), F.col(size).alias("s"), (-F.col(place)).alias("p"))
     return members.groupBy(archive).agg(F.max_by(F.struct(path, size), rank).alias("m")).select(archive, "m.*")
+
+
+def model_result_kinds(lines: DataFrame, line: str = "value") -> DataFrame:
+    """How often a log names each kind of model result that comes with an object."""
+    kind = F.regexp_extract(line, r"A6 (full_ok|iter_ok|fast_ok|fast_fallback) .*?\{.*\}", 1)
+    return lines.select(kind.alias("kind")).where("kind <> ''").groupBy("kind").agg(F.count("*").alias("n"))

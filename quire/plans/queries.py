@@ -17,7 +17,7 @@ from quire.functions import genre as G
 from quire.functions import isbn as I
 from quire.functions import payload as P
 from quire.functions import text as T
-from quire.operators import classify, dedupe, index_sync, metrics
+from quire.operators import classify, dedupe, index_sync, metrics, model
 from quire.operators import metadata as M
 from quire.operators.enrich import route
 
@@ -511,9 +511,12 @@ def payload_shape(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", *(s[c].alias(c) for c in ("title", "author", "genre", "confidence")))
 
 
-@query()
+@query("""select p_partkey, p_name as title, case when p_partkey % 3 = 2 then 'sf' else 'poetry' end as genre from part""")
 def payload_parse(spark, sf_dir):
-    text = F.concat(F.lit("```json\n{'title': '"), "p_name", F.lit("', 'genre': 'poetry',}\n```"))
+    fenced = F.concat(F.lit("```json\n{'title': '"), "p_name", F.lit("', 'genre': 'poetry',}\n```"))
+    lines = F.concat(F.lit("Название: "), "p_name", F.lit("\nжанр - poetry\n"))
+    nested = F.concat(F.lit('Sure: {"results": [{"title": "'), "p_name", F.lit('", "genre": "x", "genre_analysis": {"primary_genre": "sf"}}]} done'))
+    text = F.element_at(F.array(fenced, lines, nested), (F.col("p_partkey") % 3 + 1).cast("int"))
     return read(spark, sf_dir, "part").select("p_partkey", P.parse_payload(text).alias("p")).select("p_partkey", "p.title", "p.genre")
 
 
@@ -524,4 +527,127 @@ def xxh64_content(spark, sf_dir):
 
 @query("select doc_id, text as decoded from documents")
 def smart_decode(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", B.smart_decode(F.col("text").cast("binary")).alias("decoded"))
+    marked = F.concat(F.unhex(F.lit("EFBBBF")), F.col("text").cast("binary"))
+    raw = F.element_at(F.array(F.col("text").cast("binary"), F.encode("text", "UTF-16"), marked), (F.col("doc_id") % 3 + 1).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", B.smart_decode(raw).alias("decoded"))
+
+
+# --- names, paths and metadata of derived files ---------------------------------------------------
+_FILE = "select p_partkey, '/lib/' || p_type || '/' || p_brand || ' - ' || p_name || case p_partkey % 4 when 0 then '.txt' when 1 then '.epub' when 2 then '.jpg' else '.pdf' end as path, case when p_partkey % 3 = 0 then '/in/box.zip' end as archive, p_brand, p_name, p_type from part"
+
+
+@query("select p_partkey, case when length(p_name) > 12 then left(p_name, 9) || '...' else p_name end as short from part")
+def truncate_names(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", T.truncate(F.col("p_name"), 12).alias("short"))
+
+
+@query(f"select p_partkey, case when p_partkey % 2 = 0 then substring(path, 6) else regexp_extract(path, '[^/]*$') end as rel from ({_FILE})")
+def relative_path(spark, sf_dir):
+    base = F.when(F.col("p_partkey") % 2 == 0, "/lib").otherwise("/elsewhere")
+    return _sql(spark, sf_dir, _FILE, "part").select("p_partkey", T.relative(F.col("path"), base).alias("rel"))
+
+
+@query(f"select p_partkey, '/dupes/' || left(md5(p_name), 12) || '/' || case when archive is not null then 'box__' else '' end || regexp_extract(path, '[^/]*$') as dest from ({_FILE})")
+def duplicate_path(spark, sf_dir):
+    return _sql(spark, sf_dir, _FILE, "part").select("p_partkey", T.duplicate_path("/dupes", F.md5("p_name"), F.col("path"), F.col("archive")).alias("dest"))
+
+
+@query(f"""select p_partkey, case when archive is not null then '/no/FromArchives/b.zip__c.zip__d.zip/' || regexp_extract(path, '[^/]*$') else '/no/' || substring(path, 6) end as dest from ({_FILE})""")
+def nobook_path(spark, sf_dir):
+    chain = F.when(F.col("archive").isNotNull(), F.array(*map(F.lit, ("a.zip", "b.zip", "c.zip", "d.zip")))).otherwise(F.array().cast("array<string>"))
+    return _sql(spark, sf_dir, _FILE, "part").select("p_partkey", T.nobook_path("/no", F.col("path"), F.lit("/lib"), chain, True).alias("dest"))
+
+
+@query(f"""select p_partkey, left({clean_sql("'Filename: ' || regexp_extract(path, '[^/]*$') || ' Stem: ' || p_brand || ' - ' || p_name || ' Suffix: ' || regexp_extract(path, '[.][^.]*$') || ' Parent: ' || p_type || case when archive is not null then ' Archive chain: box.zip -> in.zip' else '' end || ' Possible author from filename: ' || p_brand || ' Possible title from filename: ' || p_name")}, 90) as context from ({_FILE})""")
+def fallback_context(spark, sf_dir):
+    chain = F.when(F.col("archive").isNotNull(), F.array(F.lit("box.zip"), F.lit("in.zip"))).otherwise(F.array().cast("array<string>"))
+    return _sql(spark, sf_dir, _FILE, "part").select("p_partkey", T.fallback_context(F.col("path"), chain, 90).alias("context"))
+
+
+@query(f"""select p_partkey, case when p_partkey % 2 = 0 then 'Known title' else p_name end as title, case when p_partkey % 3 = 1 then 'Known author' else p_brand end as author from ({_FILE})""")
+def best_names(spark, sf_dir):
+    key, none = F.col("p_partkey"), F.array().cast("array<string>")
+    title, author = F.when(key % 2 == 0, "Known title").otherwise("665224"), F.when(key % 3 == 1, "Known author").otherwise("Unknown")
+    return _sql(spark, sf_dir, _FILE, "part").select("p_partkey", M.best_title(title, F.col("path"), none).alias("title"), M.best_author(author, F.col("path"), none).alias("author"))
+
+
+_CODE = "case when p_partkey % 4 = 0 then '978-0-306-40615-7' when p_partkey % 4 = 1 then '0306406152' else '' end"
+
+
+@query(f"""select p_partkey, case when p_partkey % 4 = 0 then '9780306406157' when p_partkey % 4 = 1 then '0306406152' when p_partkey % 4 = 2 then '080442957X' else '' end as isbn,
+    p_partkey % 4 <> 3 and (p_partkey % 5 = 0 or p_partkey % 7 = 0) as lookup from part""")
+def isbn_lookup(spark, sf_dir):
+    key = F.col("p_partkey")
+    text = F.when(key % 4 == 2, "see ISBN 0-8044-2957-X there").otherwise("no number")
+    found = M.isbn_candidates(F.lit("/a/book.txt"), [F.concat(F.lit("ISBN "), F.expr(_CODE))], text)
+    title, author = F.when(key % 5 == 0, "").otherwise("A title"), F.when(key % 7 == 0, "Unknown").otherwise("An author")
+    return read(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.get(found, F.lit(0)), F.lit("")).alias("isbn"), M.isbn_lookup_needed(found, title, author).alias("lookup"))
+
+
+@query("select p_partkey, p_partkey % 2 = 0 and p_partkey % 3 <> 0 and p_partkey % 5 >= 3 as strong from part")
+def strong_answers(spark, sf_dir):
+    key = F.col("p_partkey")
+    title, genre = F.when(key % 2 == 0, F.col("p_name")).otherwise("Unknown"), F.when(key % 3 == 0, "Unknown").otherwise("poetry")
+    confidence = by_turn(key, ["", "x", "3.9", "4.0", "5"])
+    return read(spark, sf_dir, "part").select("p_partkey", M.strong_answer(title, genre, confidence).alias("strong"))
+
+
+@query(f"""select count(*) filter (where p_partkey % 4 <> 2) as provisional, count(*) filter (where p_partkey % 4 < 2) as seen, count(*) filter (where p_partkey % 4 < 2 and p_partkey % 3 = 0) as done,
+    cast(sum(p_size) as bigint) as bytes_seen, cast(sum(case when p_partkey % 3 = 0 then p_size end) as bigint) as bytes_done from part""")
+def book_counters(spark, sf_dir):
+    key = F.col("p_partkey")
+    rows = _sql(spark, sf_dir, _FILE, "part").join(read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("size_bytes")), "p_partkey")
+    return metrics.book_counters(rows.withColumn("is_book", key % 4 < 2).withColumn("result", F.when(key % 3 == 0, "packed")))
+
+
+_HEADS = [("25504446", "pdf"), ("504B0304", "zip"), ("89504E470D0A1A0A", "png"), ("1F8B08", "gz"), ("FFD8FF", "jpg"), ("00", "")]
+
+
+@query(f"""select p_partkey, {by_turn_sql('p_partkey', [k for _, k in _HEADS])} as kind, p_partkey % {len(_HEADS)} in (0, 2, 4) as settled,
+    p_partkey % {len(_HEADS)} in (1, 3) as archive, case p_partkey % {len(_HEADS)} when 0 then 'pdf' else '' end as magic from part""")
+def file_kinds(spark, sf_dir):
+    content = F.unhex(F.concat(by_turn(F.col("p_partkey"), [h for h, _ in _HEADS]), F.hex("p_name")))
+    kind = B.kind_of(content)
+    is_book, is_nonbook = classify.kind_is_book(kind["ext"], kind["mime"], F.lit("")), classify.kind_is_nonbook(kind["ext"], kind["mime"], F.lit(""))
+    return read(spark, sf_dir, "part").select("p_partkey", kind["ext"].alias("kind"), (is_book | is_nonbook).alias("settled"), classify.kind_is_archive(kind["ext"], kind["mime"]).alias("archive"), B.magic(content).alias("magic"))
+
+
+@query("""select p_partkey, p_partkey % 3 = 1 as is_binary, p_partkey % 2 = 1 as is_archive from part""")
+def byte_checks(spark, sf_dir):
+    key = F.col("p_partkey")
+    head = F.when(key % 3 == 1, F.concat(F.unhex(F.lit("00")), F.col("p_name").cast("binary"))).otherwise(F.col("p_name").cast("binary"))
+    path = F.concat(F.lit("/a/x"), F.when(key % 2 == 1, ".zip").otherwise(".epub"))
+    return read(spark, sf_dir, "part").select("p_partkey", B.looks_binary(head).alias("is_binary"), B.is_archive(path, head, F.lit(None).cast("string")).alias("is_archive"))
+
+
+@query("select o_orderpriority as genre, count(*) as n from orders group by 1 order by n desc, genre limit 3")
+def top_genres(spark, sf_dir):
+    return metrics.genre_histogram(read(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "genre")).limit(3)
+
+
+# --- model requests ------------------------------------------------------------------------------
+def _fake_model(requests: list[str]) -> list[str | None]:
+    """Answers by the length of the request: none, a weak or a strong answer."""
+    strong, weak = '{"title": "New title", "genre": "poetry", "confidence": 4.5}', '{"title": "Weak title", "genre": "", "confidence": 1}'
+    return [(None, weak, strong)[len(r) % 3] for r in requests]
+
+
+@query("""with r as (select p_partkey % 4 as d, length(p_name) % 3 as f, case when length(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) >= 20 then length(p_type) else length(p_name) end % 3 as s from part),
+o as (select case when d < 2 then list_concat(['processed', 'fast_request', case f when 0 then 'fast_no_result' when 1 then 'fast_fallback' else 'fast_ok' end],
+        case when f = 2 then [] else ['full_request', case s when 0 then 'full_no_result' else 'full_ok' end] end)
+    when d = 2 then ['processed', 'genre_only_request', case f when 0 then 'genre_only_no_result' else 'genre_only_ok' end] else ['processed', 'skipped'] end as l from r)
+select lm_outcome, count(*) as n from (select unnest(l) as lm_outcome from o) group by 1""")
+def model_outcomes(spark, sf_dir):
+    key = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").select(F.col("p_name").alias("context"), F.col("p_type").alias("snippet"), F.when(key % 4 < 2, "full").when(key % 4 == 2, "genre_only").otherwise("skip:metadata_sufficient").alias("lm_decision"), F.lit("Old title").alias("title"), F.lit("Old author").alias("author"), F.lit("Unknown").alias("genre"), F.lit(0.35).alias("confidence"), F.lit("filename").alias("source"))
+    asking = model.Asking(fast=_fake_model, full=_fake_model, genre=_fake_model, least_letters=20)
+    asked, _ = model.ask(rows, asking, spark.createDataFrame([], "cache_key string, payload_json string"))
+    return model.stats_counters(asked)
+
+
+_LOG = ["A6 full_ok path=/a data={}", "x A6 fast_ok path=/a data={\"t\": 1}", "A6 iter_ok path=/a", "A6 fast_fallback path=/b conf=1 data={}", "other {}"]
+
+
+@query(f"""select regexp_extract(l, 'A6 (full_ok|iter_ok|fast_ok|fast_fallback) .*?[{{].*[}}]', 1) as kind, count(*) as n from (select {by_turn_sql('p_partkey', _LOG)} as l from part) where regexp_extract(l, 'A6 (full_ok|iter_ok|fast_ok|fast_fallback) .*?[{{].*[}}]', 1) <> '' group by 1""")
+def model_result_kinds(spark, sf_dir):
+    return metrics.model_result_kinds(read(spark, sf_dir, "part").select(by_turn(F.col("p_partkey"), _LOG).alias("value")))

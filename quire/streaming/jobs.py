@@ -17,19 +17,25 @@ def arriving(spark: SparkSession, folder: str, schema: str, files_per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def unique_stream(rows: DataFrame, key: str) -> DataFrame:
-    """First row of each key over the whole stream; state is keyed, so it spreads with the keys."""
-    return rows.dropDuplicates([key])
+def unique_stream(rows: DataFrame, key: str, event_time: str | None = None, keep: str = "1 day") -> DataFrame:
+    """First row of each key; state is keyed, so it spreads with the keys.
 
+    Over the whole stream without ``event_time``. With it a key is remembered for ``keep`` after
+    its row's time, which bounds the state; what is older is settled by the published snapshot.
+    """
+    if event_time is None:
+        return rows.dropDuplicates([key])
+    return rows.withWatermark(event_time, keep).dropDuplicatesWithinWatermark([key])
 
-def run_unique(rows: DataFrame, key: str, known_root: str, known_schema: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+
+def run_unique(rows: DataFrame, key: str, known_root: str, known_schema: str, sink: Callable[[DataFrame, int], None], checkpoint: str, event_time: str | None = None, keep: str = "1 day") -> StreamingQuery:
     """Unique rows that no published snapshot holds, batch by batch, until the input is used up."""
 
     def each(batch: DataFrame, number: int) -> None:
         known = state.read_snapshot(batch.sparkSession, known_root, known_schema)
         sink(batch.join(known.select(key), key, "left_anti"), number)
 
-    return unique_stream(rows, key).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return unique_stream(rows, key, event_time, keep).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def rollup_stream(children: DataFrame, archive: str = "archive_source") -> DataFrame:
