@@ -1,24 +1,29 @@
 """Removal of long repeated passages with a run-length compressed suffix index.
 
 1. Equal texts become one class; of a text held twice every byte is repeated.
-2. Each window of ``span`` bytes names as its anchor the place of the least hash of ``GRAM`` bytes
+2. Each window of ``least`` bytes names as its anchor the place of the least hash of ``GRAM`` bytes
    in it. Equal windows name equal anchors, so a passage can only repeat where an anchor does.
-3. The windows of repeated anchors go, by anchor, to blocks of bounded size. A hot anchor is cut
+3. The windows of repeated anchors, each with the ``span`` bytes from its start on, go by anchor to
+   blocks of bounded size. A hot anchor is cut
    into parts that meet pairwise, so no block gathers a whole group.
 4. A block's passages are sorted into a suffix array; its Burrows-Wheeler transform is run-length
    compressed, and the matching statistics are streamed from the sampled run ends: a match inside
    a run is the tail of the match one byte to the left, so the matches at run ends, at full
-   length, cover all others. Matches of ``span`` bytes or more are marked at both places.
-5. Marks are joined by document and the bytes cut.
-
-Defined results: null counts as the empty text; texts under ``span`` bytes keep all bytes; a
-passage that overlaps its own copy is marked; repeated rows are copies of each other; an empty
+   length, cover all others. Matches of ``span`` bytes or more are marked at both places for
+   removal, those of ``least`` bytes or more as repeats.
+5. Marks are joined by document and the bytes cut. Maximal runs of repeats that hold ``words``
+   whole words (bytes between white space) or more are passages: they tell of a repeat that is
+   long in words but too short in bytes to be removed.
+
+Defined results: null counts as the empty text; texts under ``span`` bytes keep all bytes, and
+those under ``least`` bytes hold no passage; a passage that overlaps its own copy is marked; repeated rows are copies of each other; an empty
 table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +33,12 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import TextBatch, lean, mix64, small_batches, table, written
 
-GRAM = 128
+GRAM = 64
 BLOCK = 2 << 20
 _BYTE = mix64(np.arange(1000, 1256, dtype=np.uint64))
 _STEP = 0x9D8A7B6C5F4E3D21
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -56,20 +63,20 @@ def window_anchors(h: np.ndarray, width: int) -> np.ndarray:
     return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def anchors(texts: TextBatch, a: int, b: int, span: int) -> tuple[np.ndarray, ...]:
+def anchors(texts: TextBatch, a: int, b: int, least: int, span: int) -> tuple[np.ndarray, ...]:
     """(row, hash, first window, last window, windows' anchors) of rows a..b, merged by hash.
 
-    Windows of one anchor hash that overlap within a row are one entry.
+    Windows of one anchor hash less than ``span`` bytes apart within a row are one entry.
     """
     base, ends = texts.bounds[a], texts.bounds[a : b + 1] - texts.bounds[a]
     data = texts.bytes[base : texts.bounds[b]]
     empty = np.zeros(0, np.int64)
     h = gram_hashes(data)
-    at = window_anchors(h, span - GRAM + 1)
+    at = window_anchors(h, least - GRAM + 1)
     if not len(at):
         return empty, empty, empty, empty, empty
     row = np.searchsorted(ends, np.arange(len(at)), side="right") - 1
-    start = np.flatnonzero(np.arange(len(at)) + span <= ends[row + 1])
+    start = np.flatnonzero(np.arange(len(at)) + least <= ends[row + 1])
     if not len(start):
         return empty, empty, empty, empty, empty
     place, row = at[start], row[start]
@@ -87,6 +94,23 @@ def anchors(texts: TextBatch, a: int, b: int, span: int) -> tuple[np.ndarray, ..
     return who[first], name[first], lo[first] - ends[who[first]], hi[last] - ends[who[first]], last - first + 1
 
 
+def word_counts(texts: TextBatch, a: int, b: int) -> np.ndarray:
+    """Number of words of each row a..b."""
+    ends = texts.bounds[a : b + 1] - texts.bounds[a]
+    inside = ~_SPACES[texts.bytes[texts.bounds[a] : texts.bounds[b]]]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = ends[:-1][ends[:-1] < len(inside)]
+    begins[first] = inside[first]
+    return np.diff(np.concatenate(([0], np.cumsum(begins)))[ends])
+
+
+def whole_words(body: bytes, a: int, b: int) -> int:
+    """Number of words that lie in body[a:b] from end to end."""
+    found = [m.span() for m in _WORD.finditer(body, max(0, a - 1), b + 1)]
+    return sum(x >= a and y <= b for x, y in found)
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix array by prefix doubling over the suffixes that are still tied.
 
@@ -156,8 +180,8 @@ def match_lengths(text: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return length
 
 
-def repeated(passages: list[bytes], span: int) -> list[np.ndarray]:
-    """For each passage, whether each byte lies in a match of ``span`` bytes with another place."""
+def repeated(passages: list[bytes], *spans: int) -> list[tuple[np.ndarray, ...]]:
+    """For each passage and span, whether each byte lies in a match of that many bytes with another place."""
     lengths = np.fromiter(map(len, passages), np.int64, len(passages))
     starts = np.concatenate(([0], np.cumsum(lengths + 1)))
     text = np.zeros(int(starts[-1]), np.int16)
@@ -166,13 +190,15 @@ def repeated(passages: list[bytes], span: int) -> list[np.ndarray]:
     text[inside] = np.frombuffer(b"".join(passages), np.uint8).astype(np.int16) + 1
     p, q = run_ends(text, suffix_array(text))
     length = match_lengths(text, p, q)
-    far = length >= span
-    edge = np.zeros(len(text) + 1, np.int64)
-    for at in (p[far], q[far]):
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + length[far], -1)
-    covered = np.cumsum(edge)[:-1] > 0
-    return [covered[s : s + n] for s, n in zip(starts[:-1].tolist(), lengths.tolist(), strict=True)]
+    marks = []
+    for span in spans:
+        far = length >= span
+        edge = np.zeros(len(text) + 1, np.int64)
+        for at in (p[far], q[far]):
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + length[far], -1)
+        marks.append(np.cumsum(edge)[:-1] > 0)
+    return [tuple(covered[s : s + n] for covered in marks) for s, n in zip(starts[:-1].tolist(), lengths.tolist(), strict=True)]
 
 
 def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +206,12 @@ def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def block_spans(rows: list[tuple[int, int, int, bytes]], span: int) -> Iterator[tuple[int, int, int, int]]:
-    """Repeated (x1, x2, start, end) of one block's passages (x1, x2, start, body)."""
+def block_spans(rows: list[tuple[int, int, int, bytes]], least: int, span: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """Repeated (x1, x2, start, end, wide) of one block's passages (x1, x2, start, body).
+
+    Wide runs are covered by matches of ``span`` bytes, the others by matches of ``least`` bytes;
+    a run that is both is given as a wide one only.
+    """
     joined: list[tuple[int, int, int, bytes]] = []
     for x1, x2, start, body in sorted(rows):
         if joined and joined[-1][:2] == (x1, x2) and start <= joined[-1][2] + len(joined[-1][3]):
@@ -193,20 +223,26 @@ def block_spans(rows: list[tuple[int, int, int, bytes]], span: int) -> Iterator[
     for k, row in enumerate(joined):
         places.setdefault(row[3], []).append(k)
     bodies = list(places)
-    for body, marks in zip(bodies, repeated(bodies, span), strict=True):
+    for body, marks in zip(bodies, repeated(bodies, span, least), strict=True):
         owners = places[body]
-        if len(owners) > 1 and len(body) >= span:  # the same passage at two places or more
-            runs = [(0, len(body))]
-        else:
-            runs = list(zip(*(x.tolist() for x in _runs(marks)), strict=True))
+        twice = len(owners) > 1  # the same passage at two places or more
+        wide, all_runs = ([(0, len(body))] if twice and len(body) >= size else list(zip(*(x.tolist() for x in _runs(m)), strict=True)) for size, m in zip((span, least), marks, strict=True))
+        runs = [(a, b, True) for a, b in wide] + [(a, b, False) for a, b in all_runs if (a, b) not in wide]
         for k in owners:
             x1, x2, start, _ = joined[k]
-            for a, b in runs:
-                yield x1, x2, start + a, start + b
+            for a, b, far in runs:
+                yield x1, x2, start + a, start + b, far
 
 
-def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans."""
+def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_col: str = "text", least: int = 200, words: int = 51) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, spans, passages.
+
+    ``spans`` are the runs that ``n_removed`` counts; ``passages`` the runs covered by strings of
+    ``least`` bytes that also start anywhere else, where they hold ``words`` words or more.
+    """
+    least = min(least, span)
+    if least < GRAM:
+        raise ValueError(f"least and span must be {GRAM} or more")
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("x1"), F.xxhash64(F.lit(span), text).alias("x2"), text.alias("text"))
@@ -216,13 +252,13 @@ def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_
         for batch in batches:
             texts = TextBatch(batch.column("text"))
             for a, b in texts.groups(1 << 20):
-                who, name, lo, hi, count = anchors(texts, a, b, span)
+                who, name, lo, hi, count = anchors(texts, a, b, least, span)
                 ends = pa.array(np.searchsorted(who, np.arange(b - a + 1)).astype(np.int32))
                 shas = [hashlib.sha256(texts.text(i)).hexdigest() for i in range(a, b)]
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (name, lo.astype(np.int32), hi.astype(np.int32), count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "x1", "x2")), pa.array(np.diff(texts.bounds[a : b + 1])), pa.array(shas, pa.string()), *lists], names=["doc_id", "x1", "x2", "n_bytes", "sha", "h", "lo", "hi", "c"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "x1", "x2")), pa.array(np.diff(texts.bounds[a : b + 1])), pa.array(word_counts(texts, a, b)), pa.array(shas, pa.string()), *lists], names=["doc_id", "x1", "x2", "n_bytes", "n_words", "sha", "h", "lo", "hi", "c"])
 
-    rows = written(source.mapInArrow(lean(scan), f"doc_id {id_type}, x1 long, x2 long, n_bytes long, sha string, h array<long>, lo array<int>, hi array<int>, c array<int>"), "repeat-rows")
+    rows = written(source.mapInArrow(lean(scan), f"doc_id {id_type}, x1 long, x2 long, n_bytes long, n_words long, sha string, h array<long>, lo array<int>, hi array<int>, c array<int>"), "repeat-rows")
     classes = rows.groupBy("x1", "x2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("owner"), *(F.first(c).alias(c) for c in ("h", "lo", "hi", "c")))
     classes = written(classes, "repeat-classes")
     entries = classes.select("x1", "x2", "owner", F.explode(F.arrays_zip("h", "lo", "hi", "c")).alias("e")).select("x1", "x2", "owner", "e.*")
@@ -270,8 +306,8 @@ def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_
             return len(held) > 1 or (len(held) == 1 and key[1] < 0)
 
         def work() -> pa.RecordBatch:
-            found = list(zip(*block_spans(held, span), strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["x1", "x2", "start", "stop"])
+            found = list(zip(*block_spans(held, least, span), strict=True)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found[:4]), pa.array(found[4], pa.bool_())], names=["x1", "x2", "start", "stop", "wide"])
 
         for batch in batches:
             for k1, k2, x1, x2, start, body in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "x1", "x2", "start", "body")), strict=True):
@@ -284,21 +320,16 @@ def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_
             yield work()
 
     passages = texts.mapInArrow(lean(cut), "k1 long, k2 long, x1 long, x2 long, start long, body binary")
-    spans = passages.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(lean(mark), "x1 long, x2 long, start long, stop long")
-    spans = written(spans.distinct(), "repeat-spans").groupBy("x1", "x2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s"))
+    spans = passages.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(lean(mark), "x1 long, x2 long, start long, stop long, wide boolean")
+    spans = written(spans.distinct(), "repeat-spans").groupBy("x1", "x2").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "wide"))).alias("s"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             views = TextBatch(batch.column("text"))
-            removed, count, shas, merged = [], [], [], []
+            removed, count, shas, merged, passages = [], [], [], [], []
             for i, found in enumerate(batch.column("s").to_pylist()):
-                body, runs = views.text(i), []
-                for s in found:
-                    if runs and s["start"] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s["stop"])
-                    else:
-                        runs.append([s["start"], s["stop"]])
-                kept, last = hashlib.sha256(), 0
+                body, kept, last = views.text(i), hashlib.sha256(), 0
+                runs = _merged((f["start"], f["stop"]) for f in found if f["wide"])
                 for a, b in runs:
                     kept.update(body[last:a])
                     last = b
@@ -307,28 +338,47 @@ def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_
                 count.append(len(runs))
                 shas.append(kept.hexdigest())
                 merged.append(runs)
-            yield pa.RecordBatch.from_arrays([batch.column("x1"), batch.column("x2"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(shas, pa.string()), pa.array(merged, pa.list_(pa.list_(pa.int64())))], names=["x1", "x2", "removed", "count", "kept", "runs"])
+                passages.append([r for r in _merged((f["start"], f["stop"]) for f in found) if whole_words(body, *r) >= words])
+            lists = (pa.array(x, pa.list_(pa.list_(pa.int64()))) for x in (merged, passages))
+            yield pa.RecordBatch.from_arrays([batch.column("x1"), batch.column("x2"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(shas, pa.string()), *lists], names=["x1", "x2", "removed", "count", "kept", "runs", "long"])
 
-    cuts = texts.select("x1", "x2", "text").join(spans, ["x1", "x2"]).mapInArrow(lean(remove), "x1 long, x2 long, removed long, count long, kept string, runs array<array<long>>")
+    cuts = texts.select("x1", "x2", "text").join(spans, ["x1", "x2"]).mapInArrow(lean(remove), "x1 long, x2 long, removed long, count long, kept string, runs array<array<long>>, long array<array<long>>")
     # a class with two owners of one id would give its row twice
-    cuts = cuts.groupBy("x1", "x2").agg(*(F.first(c).alias(c) for c in ("removed", "count", "kept", "runs")))
+    cuts = cuts.groupBy("x1", "x2").agg(*(F.first(c).alias(c) for c in ("removed", "count", "kept", "runs", "long")))
     by_class = written(classes.select("x1", "x2", "copies").join(cuts, ["x1", "x2"], "left"), "repeat-cuts")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= span)
+    twice = F.col("copies") > 1
+    whole = twice & (F.col("n_bytes") >= span)
+    told = twice & (F.col("n_bytes") >= least) & (F.col("n_words") >= words)
     nothing = hashlib.sha256(b"").hexdigest()
-    return rows.select("doc_id", "x1", "x2", "n_bytes", "sha").join(by_class, ["x1", "x2"]).select(
+    none = F.array().cast("array<array<bigint>>")
+    all_bytes = F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))
+    return rows.select("doc_id", "x1", "x2", "n_bytes", "n_words", "sha").join(by_class, ["x1", "x2"]).select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("count", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(nothing)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-        F.when(whole, F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))).otherwise(F.coalesce("runs", F.array().cast("array<array<bigint>>"))).alias("spans"),
+        F.when(told, 1).otherwise(F.coalesce(F.size("long"), F.lit(0))).cast("long").alias("n_passages"),
+        F.when(whole, all_bytes).otherwise(F.coalesce("runs", none)).alias("spans"),
+        F.when(told, all_bytes).otherwise(F.coalesce("long", none)).alias("passages"),
     )
 
 
+def _merged(runs: Iterator[tuple[int, int]]) -> list[list[int]]:
+    """Sorted runs, those that meet or overlap joined."""
+    out: list[list[int]] = []
+    for a, b in runs:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def _passages(out: list[list]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["k1", "k2", "x1", "x2", "start", "body"])
 
 
 def op10_rindex_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_repeats(table(spark, sf_dir, "documents")).drop("spans")
+    return find_repeats(table(spark, sf_dir, "documents")).drop("spans", "passages")

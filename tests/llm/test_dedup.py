@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -103,6 +104,28 @@ def test_repeats_against_plain(spark, span):
     assert repeats.find_repeats(nothing(spark), span).count() == 0
 
 
+@pytest.mark.parametrize("words", [51, 20])
+def test_repeated_passages_by_words_against_plain(spark, words):
+    rng = random.Random(9)
+    fresh = lambda n: " ".join("".join(rng.choice("bcdfgh") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    shared = [fresh(n) for n in (55, 60, 50, 30, 110)]
+    data = [(100 + k, f"{fresh(40)} {shared[k % 5]} {fresh(30 + k)}", "en", "a", 1) for k in range(20)]
+    data += [(200, "x" + shared[0], "en", "a", 1), (201, "a " * 260, "en", "a", 1), (202, shared[1][:230] + "\n" + shared[1][:230], "en", "a", 1)]
+    texts = [(t or "").encode() for _, t, *_ in rows() + data]
+
+    def told(body, runs):
+        spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", body)]
+        return sum(sum(a <= x and y <= b for x, y in spans) >= words for a, b in runs)
+
+    want = {}
+    for (doc_id, *_), body, runs, removed in zip(rows() + data, texts, repeated_runs(texts, 200), repeated_runs(texts, 400), strict=True):
+        want.setdefault(doc_id, []).append((told(body, runs), sum(b - a for a, b in removed)))
+    got = by_id(repeats.find_repeats(documents(spark, data), words=words), "n_passages", "n_removed")
+    assert got == {k: sorted(v, key=str) for k, v in want.items()}
+    assert 3 < sum(n > 0 for v in got.values() for n, _ in v) < len(texts)
+    assert any(n and not gone for v in got.values() for n, gone in v)
+
+
 def test_repeats_with_hot_anchor_in_parts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", 4000)
     rng = random.Random(2)
