@@ -18,6 +18,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from quire import constants as C
+from quire.functions import pdf
 from quire.functions import text as T
 
 _TAG, _ZERO = re.compile(r"<[^>]+>"), str.maketrans("", "", "﻿​")
@@ -161,6 +162,8 @@ def text_of(raw: bytes | None, ext: str | None, most: int, whole: bool = False)
             return clean_py(decode(raw[: most * 4]))[:most]
         if ext in (".docx", ".epub"):
             return _pages(raw, ext, most, whole)
+        if ext == ".pdf":
+            return clean_py(pdf.text(raw, most, whole))[:most]
     except (zipfile.BadZipFile, KeyError, OSError, RuntimeError, UnicodeError):
         return ""
     return ""
@@ -189,6 +192,8 @@ def tags_of(raw: bytes | None, ext: str | None) -> dict[str, str]:
             t = decode(raw[:600_000])
             one = lambda tag: _group(t, rf"<{tag}>(.*?)</{tag}>")
             return {"title": one("book-title"), "author": " ".join(x for x in (one("first-name"), one("last-name")) if x), "genre": one("genre")}
+        if ext == ".pdf":
+            return none | {k: clean_py(v) for k, v in pdf.tags(raw).items()}
         if ext not in (".epub", ".docx"):
             return none
         with zipfile.ZipFile(io.BytesIO(raw)) as box:
