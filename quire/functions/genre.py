@@ -16,8 +16,8 @@ from quire import constants as C
 from quire.functions.text import WS, clean, let, text_of
 
 
-def _any_of(keys: str) -> str:
-    return "|".join(re.escape(k).replace("\\ ", " ") for k in keys.split("|"))
+def _any_of(keys: tuple[str, ...]) -> str:
+    return "|".join(re.escape(k).replace("\\ ", " ") for k in keys)
 
 
 def _first_rule(hits: list[tuple[Column, str]], default: str) -> Column:

@@ -259,7 +259,7 @@ _RAW = [
 
 
 def _rules_sql(pairs, default: str, hit) -> str:
-    return "case " + " ".join(f"when {' or '.join(hit(k) for k in keys.split('|'))} then {quoted(out)}" for out, keys in pairs) + f" else {quoted(default)} end"
+    return "case " + " ".join(f"when {' or '.join(hit(k) for k in keys)} then {quoted(out)}" for out, keys in pairs) + f" else {quoted(default)} end"
 
 
 def _genre_sql(x: str) -> str:
@@ -473,7 +473,7 @@ def payload_argmax(spark, sf_dir):
 
 
 # --- metadata -----------------------------------------------------------------------------------
-_META = "select d.doc_id, left(text, 40) as title, case doc_id % 3 when 0 then 'Unknown' when 1 then '' else 'A. Writer' end as author, case doc_id % 2 when 0 then 'Unknown' else 'История' end as genre, case doc_id % 5 when 0 then 'tags' else 'filename' end as source, case doc_id % 7 when 0 then 0.8 else 0.35 end as confidence from documents d"
+_META = "select d.doc_id, text as title, case doc_id % 3 when 0 then 'Unknown' when 1 then '' else 'A. Writer' end as author, case doc_id % 2 when 0 then 'Unknown' else 'История' end as genre, case doc_id % 5 when 0 then 'tags' else 'filename' end as source, case doc_id % 7 when 0 then 0.8 else 0.35 end as confidence from documents d"
 
 
 @query(f"""with m as ({_META}), n as (select *, {_garbage_sql('title')} as bad from m)
@@ -484,10 +484,10 @@ def lm_decision(spark, sf_dir):
     return rows.select("doc_id", M.decision(*(F.col(c) for c in ("title", "author", "genre", "source", "confidence"))).alias("decision"))
 
 
-@query(rf"""select doc_id, case when doc_id % 3 = 0 then 'skip' when length(regexp_replace({clean_sql('left(text, 60)')}, '[^\p{{L}}]', '', 'g')) >= 24 then 'snippet' else 'fallback_context' end as lm_route from documents""")
+@query(rf"""select doc_id, case when doc_id % 3 = 0 then 'skip' when length(regexp_replace({clean_sql('text')}, '[^\p{{L}}]', '', 'g')) >= 24 then 'snippet' else 'fallback_context' end as lm_route from documents""")
 def enrichment_route(spark, sf_dir):
     wanted = F.when(F.col("doc_id") % 3 == 0, "skip:metadata_sufficient").otherwise("full")
-    return read(spark, sf_dir, "documents").select("doc_id", route(wanted, F.left("text", F.lit(60))).alias("lm_route"))
+    return read(spark, sf_dir, "documents").select("doc_id", route(wanted, F.col("text")).alias("lm_route"))
 
 
 _ANSWER = "select doc_id, 'Old title' as title, 'Old author' as author, case doc_id % 2 when 0 then 'Unknown' else 'История' end as genre, 0.35D as confidence, 'filename' as source"
