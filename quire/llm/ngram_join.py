@@ -268,10 +268,15 @@ def link_texts(docs: DataFrame, width: int = 3, percent: int = 90, star: int = 4
     discard(classes)
     classes = slim
     slim = classes.select("d", "n", *SKETCH)
-    crowded = written(shared.where(F.col("c") > star).drop("c").join(slim.drop("n"), "d"), "join-crowded")
+    # sides that may be small are written before they meet the sketches: Spark then knows their size
+    # and moves the sketches only where it must
+    bare = written(shared.where(F.col("c") > star).drop("c"), "join-crowded")
+    crowded = written(bare.join(slim.drop("n"), "d"), "join-sketched")
+    discard(bare)
 
     few = shared.where(F.col("c") <= star)
     near = _pairs(few.alias("l").join(few.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.d") < F.col("r.d")) & _could_link(percent)))
+    near = written(near, "join-few")
     near = near.join(slim.alias("l"), F.col("a") == F.col("l.d")).join(slim.alias("r"), F.col("b") == F.col("r.d")).where(_near_sketch(percent)).select("a", "b")
 
     found, tested, labels = None, None, None
@@ -281,11 +286,15 @@ def link_texts(docs: DataFrame, width: int = 3, percent: int = 90, star: int = 4
         crowd = crowd if labels is None else written(crowd, "join-crowd")
         left, right = crowd.alias("l"), crowd
         if last:
-            order = F.col("l.d") < F.col("r.d")
+            # a shingle whose classes are all connected has no pair left
+            open_h = crowd.groupBy("h").agg(F.min("lab").alias("x"), F.max("lab").alias("y")).where("x <> y").select("h")
+            right = written(crowd.join(written(open_h, "join-open"), "h", "left_semi"), "join-rest")
+            left, order = right.alias("l"), F.col("l.d") < F.col("r.d")
         else:
-            lead = crowd.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "d").alias("o"), "d", "lab", "n", "pos", *SKETCH)).alias("x"))
+            lead = crowd.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "d").alias("o"), "d", "lab", "n", "pos")).alias("x"))
             # written, so that leaders are combined before their shuffle and Spark can split the join
-            right, order = written(lead.select("h", "x.*"), "join-leaders"), F.lit(True)
+            lead = written(lead.select("h", "x.*"), "join-leaders")
+            right, order = written(lead.join(slim.drop("n"), "d"), "join-sketched"), F.lit(True)
         meets = (F.col("l.h") == F.col("r.h")) & (F.col("l.lab") != F.col("r.lab")) & order & _could_link(percent) & _near_sketch(percent)
         more = _pairs(left.join(right.alias("r"), meets))
         if turn == 0:
