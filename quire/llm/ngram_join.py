@@ -268,15 +268,11 @@ def link_texts(docs: DataFrame, width: int = 3, percent: int = 90, star: int = 4
     discard(classes)
     classes = slim
     slim = classes.select("d", "n", *SKETCH)
-    # sides that may be small are written before they meet the sketches: Spark then knows their size
-    # and moves the sketches only where it must
-    bare = written(shared.where(F.col("c") > star).drop("c"), "join-crowded")
-    crowded = written(bare.join(slim.drop("n"), "d"), "join-sketched")
-    discard(bare)
+    crowded = written(shared.where(F.col("c") > star).drop("c").join(slim.drop("n"), "d"), "join-crowded")
 
     few = shared.where(F.col("c") <= star)
     near = _pairs(few.alias("l").join(few.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.d") < F.col("r.d")) & _could_link(percent)))
-    near = written(near, "join-few")
+    near = written(near, "join-few")  # so that Spark knows its size before sketches move for it
     near = near.join(slim.alias("l"), F.col("a") == F.col("l.d")).join(slim.alias("r"), F.col("b") == F.col("r.d")).where(_near_sketch(percent)).select("a", "b")
 
     found, tested, labels = None, None, None
