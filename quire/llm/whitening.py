@@ -149,10 +149,11 @@ def tridiagonal(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     q = np.eye(n)
     for k in range(n - 2):
         x = a[k + 1 :, k].copy()
-        norm = math.sqrt(float(x @ x))
-        if norm == 0.0:
+        top = float(np.abs(x).max())
+        if top == 0.0:
             continue
-        x[0] += math.copysign(norm, x[0])
+        x /= top  # squares of tiny numbers would lose digits
+        x[0] += math.copysign(math.sqrt(float(x @ x)), x[0])
         x /= math.sqrt(float(x @ x))
         part = a[k + 1 :, k + 1 :]
         p = part @ x
