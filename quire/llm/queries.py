@@ -11,6 +11,7 @@ from quire.llm.byte_bpe import op3_byte_bpe
 from quire.llm.exact_dedup import op8_exact_dedup
 from quire.llm.embedding_dedup import op9_embedding_dedup
 from quire.llm.filter_audit import op12_filter_audit
+from quire.llm.fingerprints import op11_fingerprints
 from quire.llm.mixing import op6_mixing
 from quire.llm.ngram_join import op5_ngram_join
 from quire.llm.pii import op4_pii
@@ -35,6 +36,7 @@ def queries() -> dict[str, Query]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_rindex_repeats": op10_rindex_repeats,
+        "op11_fingerprints": op11_fingerprints,
         "op12_filter_audit": op12_filter_audit,
         "op13_whitening": op13_whitening,
     }
