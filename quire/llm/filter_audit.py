@@ -27,7 +27,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import table, written
 
 FILTERS = "ABCDE"
 CELLS = 1 << len(FILTERS)
@@ -56,11 +56,14 @@ def masks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = sum((F.when(fails[f], 1 << k).otherwise(0) for k, f in enumerate(FILTERS[:4])), F.lit(0))
     rows = rows.select("id", "part", own.alias("own"), F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("digest"), F.length("t").alias("chars"))
     first = rows.groupBy(F.col("digest").alias("__d"), F.col("chars").alias("__c")).agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
+    # written, so that both sides of the join are exchanged and a text that many rows hold can be split
+    first = written(first, "audit-copies")
     rows = rows.join(first, (F.col("digest") == F.col("__d")) & (F.col("chars") == F.col("__c")), "left")
     copy = F.coalesce(F.col("id") > F.col("least"), F.lit(False))
     rows = rows.select("id", "part", (F.col("own") + F.when(copy, 1 << 4).otherwise(0)).alias("mask"))
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"))
     known = known.agg(F.coalesce(F.max((F.col("quality") == 1).cast("int")), F.lit(0)).alias("good"), F.coalesce(F.max((F.col("toxic") == 1).cast("int")), F.lit(0)).alias("toxic")).where("good = 1 or toxic = 1")
+    known = written(known, "audit-labels")
     return rows.join(known, F.col("id") == F.col("__id"), "left").select("part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
 
 
