@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import dedupe, metrics
+from quire.sources import files, live
 from quire.streaming import keyed
 
 CHILD = "archive_source string, child string, is_book boolean, result string, size_bytes long"
@@ -109,3 +110,81 @@ def test_first_writers_forget(spark, tmp_path, few_partitions):
         drain(stream(), tmp_path / "out", tmp_path / "ck")
         time.sleep(1.5)
     assert sorted((r["path"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("p0", "unique"), ("p1", "unique")]
+
+
+def put(folder, sizes):
+    for name, size in sizes.items():
+        path = folder / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * size)
+
+
+def followed(spark, roots, where, seconds=4.0, **how):
+    """Run a live scan until it is idle; the sizes of each batch's files."""
+    stream = live.live_scan(spark, [str(r) for r in roots], str(where / "log"), **how)
+    query = stream.drop("content").writeStream.format("parquet").option("path", str(where / "out")).option("checkpointLocation", str(where / "ck"))
+    query = query.trigger(processingTime="200 milliseconds").start()
+    try:
+        assert live.until_idle(query, seconds, 90)
+    finally:
+        query.stop()
+    return [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+
+
+def seen(spark, where):
+    return sorted((r["path"].rsplit("/", 1)[1], r["size_bytes"]) for r in spark.read.parquet(str(where / "out")).collect())
+
+
+def test_live_scan_cuts_batches_by_bytes_and_restarts(spark, tmp_path):
+    put(tmp_path / "a", {"1": 10, "2": 10, "3": 10, "d/4": 100, "d/e/5": 5, "d/e/_6": 5, "d/.7": 0})
+    assert followed(spark, [tmp_path / "a"], tmp_path, max_bytes=20) == [2, 2, 1, 2]
+    first = seen(spark, tmp_path)
+    assert first == sorted([("1", 10), ("2", 10), ("3", 10), ("4", 100), ("5", 5), ("_6", 5), (".7", 0)])
+    # a restart goes on from the checkpoint; a root added by name is seen too
+    put(tmp_path / "a", {"d/8": 1})
+    put(tmp_path / "b", {"9": 2})
+    live.add_root(str(tmp_path / "log"), str(tmp_path / "b"))
+    assert followed(spark, [tmp_path / "a"], tmp_path, max_bytes=20) == [2]
+    assert seen(spark, tmp_path) == sorted([*first, ("8", 1), ("9", 2)])
+
+
+def test_live_reader_replays_and_merges_its_log(tmp_path, monkeypatch):
+    put(tmp_path / "a", {f"{k:02}": k for k in range(9)})
+    options = {"path": str(tmp_path / "a"), "log": str(tmp_path / "log"), "maxfiles": "2"}
+    reader = live._LiveReader(options)
+    offsets = [reader.latestOffset()["batch"] for _ in range(3)]
+    assert offsets == [1, 2, 3]
+    names = lambda r, a, b: sorted(f[1][-2:] for load in r.partitions({"batch": a}, {"batch": b}) for f in load.files)
+    assert names(reader, 1, 3) == ["02", "03", "04", "05"]
+    # another reader, as after a crash, gives the same files for the same offsets and goes on behind them
+    again = live._LiveReader(options)
+    assert again.latestOffset() == {"batch": 4} and names(again, 1, 3) == ["02", "03", "04", "05"] and names(again, 3, 4) == ["06", "07"]
+    monkeypatch.setattr(live, "MERGED", 3)
+    again.commit({"batch": 4})
+    assert again._entries("batch") == [4] and again._entries("done") == [3]
+    third = live._LiveReader(options)
+    assert third.latestOffset() == {"batch": 5} and names(third, 4, 5) == ["08"]
+    assert third.latestOffset() == {"batch": 5}
+    put(tmp_path / "a", {"new": 1})
+    assert third.latestOffset() == {"batch": 6} and names(third, 5, 6) == ["ew"]
+
+
+def test_loads_are_even():
+    files = [["r", str(k), s] for k, s in enumerate([100, 1, 1, 1, 30, 30, 40, 0])]
+    loads = live.packed(files, 60)
+    assert sorted(f[1] for load in loads for f in load) == [str(k) for k in range(8)]
+    assert sorted(sum(f[2] for f in load) for load in loads)[-1] == 100 and len(loads) == 4
+
+
+def test_balanced_scan_equals_the_walk(spark, tmp_path):
+    put(tmp_path / "a", {f"deep/{'d/' * (k % 5)}f{k}": 100 * k for k in range(40)} | {"_x": 3, ".y/z": 4})
+    (tmp_path / "a" / "link").symlink_to(tmp_path / "a" / "deep")
+    columns = ["path", "source_root", "size_bytes", "mtime_ns", "content"]
+    want = sorted(map(tuple, files.scan(spark, [str(tmp_path / "a")]).select(columns).collect()))
+    got = files.balanced_scan(spark, [str(tmp_path / "a")], task_bytes=9000)
+    assert sorted(map(tuple, got.select(columns).collect())) == want and len(want) == 42
+    loads = [sum(len(r["content"]) for r in part) for part in got.rdd.glom().collect()]
+    assert sum(x > 0 for x in loads) >= 9 and max(loads) <= 9000
+    few = files.listing(spark, [str(tmp_path / "a")], rounds=2)  # the last round walks on
+    assert sorted(r["path"] for r in few.collect()) == [r[0] for r in want]
+    assert files.balanced_scan(spark, [str(tmp_path / "none")]).count() == 0
