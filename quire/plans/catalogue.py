@@ -68,8 +68,8 @@ def run(spark: SparkSession, roots: list[str], state_dir: str, config: Config |
     config = config or Config()
     known = state.read_snapshot(spark, f"{state_dir}/hash_index", HASH_SCHEMA)
     result = actions(roots, spark, config, known.withColumnRenamed("canonical_zip", "canonical"))
-    v = state.write_snapshot(result, f"{state_dir}/actions")
-    result = spark.read.parquet(f"{state_dir}/actions/v={v}")
+    state.write_snapshot(result, f"{state_dir}/actions")
+    result = state.read_snapshot(spark, f"{state_dir}/actions", result.schema)
     new = result.where("status = 'packed'").select("xxh64", F.col("dest").alias("canonical_zip"), "title", "author", "genre")
     state.write_snapshot(known.unionByName(new.join(known.select("xxh64"), "xxh64", "left_anti")), f"{state_dir}/hash_index")
     return result

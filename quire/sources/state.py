@@ -1,14 +1,16 @@
 """Versioned Parquet snapshots and the opt-in ZIP sink.
 
-A snapshot is written to a new folder and then named by a marker file of its own, made in one
-step. Markers are never changed or deleted by a writer, and the highest one counts: whenever a job
-fails, readers keep the version before.
+A snapshot is written to a folder of its own and then named by a marker file, made by whoever comes
+first. Markers are never changed or deleted by a writer, and the highest whole one counts: whenever
+a job fails, readers keep the version before, and of two writers that began with one version the
+second is told so.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import json
 import os
 import tempfile
 import uuid
@@ -27,31 +29,71 @@ def _fs(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def current_version(spark: SparkSession, root: str) -> int:
-    """Number of the last whole version, 0 if there is none."""
+class Conflict(RuntimeError):
+    """Another writer published the version meant to be written."""
+
+
+def _marks(spark: SparkSession, root: str) -> dict[int, str]:
+    """Numbers of all markers, whole or not, with their paths."""
     fs, place = _fs(spark, root)
     if not fs.exists(place):
-        return 0
+        return {}
     names = [str(x.getPath().getName()) for x in fs.listStatus(place)]
-    return max((int(n.removeprefix("DONE.")) for n in names if n.startswith("DONE.")), default=0)
+    return {int(n.removeprefix("DONE.")): f"{root}/{n}" for n in names if n.startswith("DONE.")}
 
 
-def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    v = current_version(spark, root)
-    return spark.read.schema(schema).parquet(f"{root}/v={v}") if v else spark.createDataFrame([], schema)
+def _said(spark: SparkSession, path: str) -> dict | None:
+    """What a marker says; nothing if its writer did not finish it. An empty one names the folder v=<number>."""
+    fs, place = _fs(spark, path)
+    size = int(fs.getFileStatus(place).getLen())
+    if not size:
+        return {"data": f"v={path.rpartition('.')[2]}"}
+    stream = fs.open(place)
+    try:
+        text = bytes(stream.readNBytes(size)).decode()
+    finally:
+        stream.close()
+    return json.loads(text) if text.endswith("\n") else None
 
 
-def write_snapshot(df: DataFrame, root: str) -> int:
-    spark = df.sparkSession
-    v = current_version(spark, root) + 1
-    df.write.mode("overwrite").parquet(f"{root}/v={v}")  # what a failed writer left goes
-    publish(spark, root, v)
-    return v
+def current(spark: SparkSession, root: str) -> tuple[int, dict]:
+    """Number and contents of the last whole version, 0 if there is none."""
+    for v, path in sorted(_marks(spark, root).items(), reverse=True):
+        if (said := _said(spark, path)) is not None:
+            return v, said
+    return 0, {}
+
+
+def current_version(spark: SparkSession, root: str) -> int:
+    return current(spark, root)[0]
 
 
-def publish(spark: SparkSession, root: str, v: int) -> None:
+def publish(spark: SparkSession, root: str, after: int, said: dict) -> int:
+    """Make the version that follows ``after``; Conflict if another writer has made one since."""
+    v = max([after, *_marks(spark, root)]) + 1
+    if current_version(spark, root) != after:
+        raise Conflict(f"{root} has a version after {after}")
     fs, mark = _fs(spark, f"{root}/DONE.{v}")
-    fs.create(mark, False).close()
+    try:
+        stream = fs.create(mark, False)  # fails where the marker stands
+    except Exception as error:
+        raise Conflict(f"{root} has a version {v}") from error
+    stream.write(bytearray((json.dumps(said) + "\n").encode()))
+    stream.close()
+    return v
+
+
+def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    v, said = current(spark, root)
+    return spark.read.schema(schema).parquet(f"{root}/{said['data']}") if v else spark.createDataFrame([], schema)
+
+
+def write_snapshot(df: DataFrame, root: str) -> int:
+    spark = df.sparkSession
+    v = current_version(spark, root)
+    data = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{data}")
+    return publish(spark, root, v, {"data": data})
 
 
 def settled(df: DataFrame, tag: str) -> DataFrame:
@@ -77,10 +119,6 @@ def migrated(events: DataFrame) -> DataFrame:
     return events.withColumn("status", F.when((F.col("status") == "duplicate") & temporary, "duplicate_temp").otherwise(F.col("status")))
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").parquet(path)
-
-
 def source_key(roots: list[str]) -> str:
     """Name of the state of a set of source folders, whatever their order."""
     import xxhash

@@ -145,10 +145,17 @@ def test_snapshot_survives_a_crash(spark, tmp_path):
     root = str(tmp_path / "s")
     assert state.read_snapshot(spark, root, "k string").count() == 0
     assert state.write_snapshot(spark.createDataFrame([("a",)], "k string"), root) == 1
-    spark.createDataFrame([("half",)], "k string").write.parquet(f"{root}/v=2")  # died before its marker
+    spark.createDataFrame([("half",)], "k string").write.parquet(f"{root}/data-half")  # died before its marker
+    with pytest.raises(state.Conflict):
+        state.publish(spark, root, 0, {"data": "data-half"})  # began before the first version
     assert [r["k"] for r in state.read_snapshot(spark, root, "k string").collect()] == ["a"]
     assert state.write_snapshot(spark.createDataFrame([("b",)], "k string"), root) == 2
     assert [r["k"] for r in state.read_snapshot(spark, root, "k string").collect()] == ["b"]
+    with open(f"{root}/DONE.3", "w") as f:
+        f.write('{"data": "data-ha')  # died in its marker
+    assert [r["k"] for r in state.read_snapshot(spark, root, "k string").collect()] == ["b"]
+    assert state.write_snapshot(spark.createDataFrame([("c",)], "k string"), root) == 4
+    assert [r["k"] for r in state.read_snapshot(spark, root, "k string").collect()] == ["c"]
     events = spark.createDataFrame([("/x/_TempPipeline/a", "duplicate"), ("/x/a", "duplicate"), ("/x/_TempPipeline/b", "packed")], "source_path string, status string")
     assert [r["status"] for r in state.migrated(events).collect()] == ["duplicate_temp", "duplicate", "packed"]
 
