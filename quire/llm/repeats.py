@@ -1,23 +1,25 @@
 """Removal of long repeated passages with a run-length compressed suffix index.
 
 1. Equal texts become one class; of a text held twice every byte is repeated.
-2. Each window of ``least`` bytes names as its anchor the place of the least hash of ``GRAM`` bytes
-   in it. Equal windows name equal anchors, so a passage can only repeat where an anchor does.
-3. The windows of repeated anchors, each with the ``span`` bytes from its start on, go by anchor to
-   blocks of bounded size. A hot anchor is cut
-   into parts that meet pairwise, so no block gathers a whole group.
+2. Windows are the strings of ``span`` bytes, and those of ``words`` whole words that are shorter. Each
+   names as its anchor the place of the least hash of ``GRAM`` bytes in it. Equal windows name
+   equal anchors, so a window can only repeat where an anchor does.
+3. The windows of repeated anchors go by anchor to blocks of bounded size. Pieces of a hot anchor
+   that are equal become one; what differs is cut into parts that meet pairwise, so no block gathers
+   a whole group.
 4. A block's passages are sorted into a suffix array; its Burrows-Wheeler transform is run-length
    compressed, and the matching statistics are streamed from the sampled run ends: a match inside
    a run is the tail of the match one byte to the left, so the matches at run ends, at full
-   length, cover all others. Matches of ``span`` bytes or more are marked at both places for
-   removal, those of ``least`` bytes or more as repeats.
-5. Marks are joined by document and the bytes cut. Maximal runs of repeats that hold ``words``
-   whole words (bytes between white space) or more are passages: they tell of a repeat that is
-   long in words but too short in bytes to be removed.
+   length, cover all others. Matches of ``span`` bytes or more are marked at both places. Windows of
+   words that lie in a match are compared by digest, each with all others of the block.
+5. Marks are joined by document and the bytes cut. Maximal runs of marks of either kind that hold ``words`` whole
+   words (bytes between white space) or more are passages: they tell of a repeat that is
+   long in words but may be too short in bytes to be removed.
 
 Defined results: null counts as the empty text; texts under ``span`` bytes keep all bytes, and
-those under ``least`` bytes hold no passage; a passage that overlaps its own copy is marked; repeated rows are copies of each other; an empty
-table gives no rows; other columns are ignored.
+those under ``words`` words hold no passage; a passage that overlaps its own copy is marked; repeated rows are copies of each other; an empty
+table gives no rows; other columns are ignored. Memory and time of a task grow with the longest text
+that repeats itself throughout, as its pieces are one passage.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +66,39 @@ def window_anchors(h: np.ndarray, width: int) -> np.ndarray:
     return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def anchors(texts: TextBatch, a: int, b: int, least: int, span: int) -> tuple[np.ndarray, ...]:
-    """(row, hash, first window, last window, windows' anchors) of rows a..b, merged by hash.
+def word_windows(data: np.ndarray, ends: np.ndarray, words: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the strings of ``words`` whole words and under ``span`` bytes, each within a row."""
+    inside = ~_SPACES[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[ends] = True
+    begins = inside & np.concatenate(([True], ~inside[:-1] | edge[1:-1]))
+    stops = inside & np.concatenate((~inside[1:] | edge[1:-1], [True]))
+    begins, stops = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    if len(begins) < words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = begins[: len(begins) - words + 1], stops[words - 1 :]
+    row = np.searchsorted(ends, a, side="right")
+    fits = (b - a < span) & (b - a >= GRAM) & (b <= ends[row])
+    return a[fits], b[fits]
+
+
+def range_anchors(h: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Leftmost place of the least hash in each range of ``widths`` places, by two overlapping powers of two."""
+    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    out = np.zeros(len(starts), np.uint64)
+    have = 1
+    while len(starts):
+        own = (widths >= have) & (widths < 2 * have)
+        out[own] = np.minimum(key[starts[own]], key[starts[own] + widths[own] - have])
+        if have * 2 > int(widths.max()):
+            break
+        key = np.minimum(key[:-have], key[have:])
+        have *= 2
+    return (out & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def anchors(texts: TextBatch, a: int, b: int, span: int, words: int) -> tuple[np.ndarray, ...]:
+    """(row, hash, first window, last window, anchors) of rows a..b, merged by hash.
 
     Windows of one anchor hash less than ``span`` bytes apart within a row are one entry.
     """
@@ -72,19 +106,22 @@ def anchors(texts: TextBatch, a: int, b: int, least: int, span: int) -> tuple[np
     data = texts.bytes[base : texts.bounds[b]]
     empty = np.zeros(0, np.int64)
     h = gram_hashes(data)
-    at = window_anchors(h, least - GRAM + 1)
-    if not len(at):
-        return empty, empty, empty, empty, empty
+    at = window_anchors(h, span - GRAM + 1)
     row = np.searchsorted(ends, np.arange(len(at)), side="right") - 1
-    start = np.flatnonzero(np.arange(len(at)) + least <= ends[row + 1])
+    start = np.flatnonzero(np.arange(len(at)) + span <= ends[row + 1]) if len(at) else empty
+    place = at[start]
+    if words and len(h):
+        first, stop = word_windows(data, ends, words, span)
+        start = np.concatenate((start, first))
+        place = np.concatenate((place, range_anchors(h, first, stop - first - GRAM + 1)))
     if not len(start):
         return empty, empty, empty, empty, empty
-    place, row = at[start], row[start]
-    new = np.ones(len(start), bool)
-    new[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    lo, hi, who, name = start[first], start[last], row[first], h[place[first]].view(np.int64)
+    # windows by anchor; a place lies in one row
+    order = np.argsort(place, kind="stable")
+    place, start = place[order], start[order]
+    head = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    lo, hi, place = np.minimum.reduceat(start, head), np.maximum.reduceat(start, head), place[head]
+    who, name = np.searchsorted(ends, place, side="right") - 1, h[place].view(np.int64)
     order = np.lexsort((lo, name, who))
     lo, hi, who, name = lo[order], hi[order], who[order], name[order]
     new = np.ones(len(lo), bool)
@@ -180,8 +217,8 @@ def match_lengths(text: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return length
 
 
-def repeated(passages: list[bytes], *spans: int) -> list[tuple[np.ndarray, ...]]:
-    """For each passage and span, whether each byte lies in a match of that many bytes with another place."""
+def repeated(passages: list[bytes], span: int) -> list[np.ndarray]:
+    """For each passage, whether each byte lies in a match of ``span`` bytes with another place."""
     lengths = np.fromiter(map(len, passages), np.int64, len(passages))
     starts = np.concatenate(([0], np.cumsum(lengths + 1)))
     text = np.zeros(int(starts[-1]), np.int16)
@@ -190,15 +227,13 @@ def repeated(passages: list[bytes], *spans: int) -> list[tuple[np.ndarray, ...]]
     text[inside] = np.frombuffer(b"".join(passages), np.uint8).astype(np.int16) + 1
     p, q = run_ends(text, suffix_array(text))
     length = match_lengths(text, p, q)
-    marks = []
-    for span in spans:
-        far = length >= span
-        edge = np.zeros(len(text) + 1, np.int64)
-        for at in (p[far], q[far]):
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + length[far], -1)
-        marks.append(np.cumsum(edge)[:-1] > 0)
-    return [tuple(covered[s : s + n] for covered in marks) for s, n in zip(starts[:-1].tolist(), lengths.tolist(), strict=True)]
+    far = length >= span
+    edge = np.zeros(len(text) + 1, np.int64)
+    for at in (p[far], q[far]):
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + length[far], -1)
+    covered = np.cumsum(edge)[:-1] > 0
+    return [covered[s : s + n] for s, n in zip(starts[:-1].tolist(), lengths.tolist(), strict=True)]
 
 
 def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,43 +241,50 @@ def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def block_spans(rows: list[tuple[int, int, int, bytes]], least: int, span: int) -> Iterator[tuple[int, int, int, int, bool]]:
-    """Repeated (x1, x2, start, end, wide) of one block's passages (x1, x2, start, body).
+Passage = tuple[int, int, int, bytes, bytes]
+
+
+def block_spans(rows: list[Passage], span: int) -> Iterator[tuple[int, int, int, int, bool]]:
+    """Repeated (x1, x2, start, end, wide) of one block's passages (x1, x2, start, body, windows).
 
-    Wide runs are covered by matches of ``span`` bytes, the others by matches of ``least`` bytes;
-    a run that is both is given as a wide one only.
+    Wide runs are covered by matches of ``span`` bytes, the others are windows of words; ``windows``
+    holds their starts and stops within the body.
     """
     joined: list[tuple[int, int, int, bytes]] = []
-    for x1, x2, start, body in sorted(rows):
+    held: dict[bytes, set[tuple[int, int, int, int]]] = {}
+    for x1, x2, start, body, packed in sorted(rows):
         if joined and joined[-1][:2] == (x1, x2) and start <= joined[-1][2] + len(joined[-1][3]):
             _, _, s, have = joined[-1]
             joined[-1] = (x1, x2, s, have + body[max(0, s + len(have) - start) :])
         else:
             joined.append((x1, x2, start, body))
-    places: dict[bytes, list[int]] = {}
+        for a, b in np.frombuffer(packed, np.int32).reshape(-1, 2).tolist():
+            held.setdefault(xxhash.xxh3_128_digest(body[a:b]), set()).add((x1, x2, start + a, start + b))
+    for places in held.values():
+        if len(places) > 1:
+            yield from ((*place, False) for place in places)
+    owners: dict[bytes, list[int]] = {}
     for k, row in enumerate(joined):
-        places.setdefault(row[3], []).append(k)
-    bodies = list(places)
-    for body, marks in zip(bodies, repeated(bodies, span, least), strict=True):
-        owners = places[body]
-        twice = len(owners) > 1  # the same passage at two places or more
-        wide, all_runs = ([(0, len(body))] if twice and len(body) >= size else list(zip(*(x.tolist() for x in _runs(m)), strict=True)) for size, m in zip((span, least), marks, strict=True))
-        runs = [(a, b, True) for a, b in wide] + [(a, b, False) for a, b in all_runs if (a, b) not in wide]
-        for k in owners:
+        owners.setdefault(row[3], []).append(k)
+    bodies = list(owners)
+    for body, marks in zip(bodies, repeated(bodies, span), strict=True):
+        twice = len(owners[body]) > 1 and len(body) >= span  # the same passage at two places or more
+        runs = [(0, len(body))] if twice else list(zip(*(x.tolist() for x in _runs(marks)), strict=True))
+        for k in owners[body]:
             x1, x2, start, _ = joined[k]
-            for a, b, far in runs:
-                yield x1, x2, start + a, start + b, far
+            for a, b in runs:
+                yield x1, x2, start + a, start + b, True
 
 
-def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_col: str = "text", least: int = 200, words: int = 51) -> DataFrame:
+def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_col: str = "text", words: int = 51) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, spans, passages.
 
-    ``spans`` are the runs that ``n_removed`` counts; ``passages`` the runs covered by strings of
-    ``least`` bytes that also start anywhere else, where they hold ``words`` words or more.
+    ``spans`` are the runs that ``n_removed`` counts. ``passages`` are the maximal runs, with ``words``
+    words or more, that are covered by strings which also start anywhere else: strings of ``span``
+    bytes, or of ``words`` whole words with GRAM to ``span`` bytes, whole at both places.
     """
-    least = min(least, span)
-    if least < GRAM:
-        raise ValueError(f"least and span must be {GRAM} or more")
+    if span < GRAM:
+        raise ValueError(f"span must be {GRAM} or more")
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("x1"), F.xxhash64(F.lit(span), text).alias("x2"), text.alias("text"))
@@ -252,7 +294,7 @@ def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_
         for batch in batches:
             texts = TextBatch(batch.column("text"))
             for a, b in texts.groups(1 << 20):
-                who, name, lo, hi, count = anchors(texts, a, b, least, span)
+                who, name, lo, hi, count = anchors(texts, a, b, span, words)
                 ends = pa.array(np.searchsorted(who, np.arange(b - a + 1)).astype(np.int32))
                 shas = [hashlib.sha256(texts.text(i)).hexdigest() for i in range(a, b)]
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (name, lo.astype(np.int32), hi.astype(np.int32), count.astype(np.int32))]
@@ -263,64 +305,92 @@ def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_
     classes = written(classes, "repeat-classes")
     entries = classes.select("x1", "x2", "owner", F.explode(F.arrays_zip("h", "lo", "hi", "c")).alias("e")).select("x1", "x2", "owner", "e.*")
     size = F.col("hi") - F.col("lo") + span
-    often = entries.groupBy("h").agg(F.sum("c").alias("n"), F.sum(size).alias("bytes")).where("n > 1").select("h", F.ceil(F.col("bytes") / (BLOCK // 2)).cast("int").alias("parts"))
+    often = entries.groupBy("h").agg(F.sum("c").alias("n"), F.sum(size).alias("bytes")).where("n > 1").select("h", (F.col("bytes") > BLOCK // 2).alias("hot"))
     wanted = written(entries.join(often, "h"), "repeat-wanted")
     total = wanted.agg(F.sum(size)).first()[0] or 0
     blocks = total // BLOCK + 1
     # a text's own entries only: bounded by its length
-    needs = wanted.groupBy("x1", "x2", "owner").agg(F.collect_list(F.struct("h", "lo", "hi", "parts")).alias("e"))
+    needs = wanted.groupBy("x1", "x2", "owner").agg(F.collect_list(F.struct("h", "lo", "hi", "hot")).alias("e"))
     needs = needs.withColumnsRenamed({"x1": "y1", "x2": "y2"})
     texts = source.join(needs, (F.col("x1") == F.col("y1")) & (F.col("x2") == F.col("y2")) & F.col("doc_id").eqNullSafe(F.col("owner"))).select("x1", "x2", "text", "e")
     texts = written(texts, "repeat-texts")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            views = TextBatch(batch.column("text"))
-            x1s, x2s, es = (batch.column(c).to_pylist() for c in ("x1", "x2", "e"))
-            out: list[list] = [[] for _ in range(6)]
-            held = 0
-            for i, (x1, x2, entry) in enumerate(zip(x1s, x2s, es, strict=True)):
-                body = views.text(i)
-                for e in entry:
-                    piece = body[e["lo"] : e["hi"] + span]
-                    if e["parts"] < 2:
-                        cells = [(e["h"] % blocks, -1)]
-                    else:
-                        own = x1 % e["parts"]
-                        # a part's own cell is told by a negative number
-                        cells = [(e["h"], -2 - own if k == own else min(own, k) * e["parts"] + max(own, k)) for k in range(e["parts"])]
-                    for k1, k2 in cells:
-                        for column, value in zip(out, (k1, k2, x1, x2, e["lo"], piece), strict=True):
+    def cut(hot: bool):
+        """Pieces of the texts: those of hot anchors under their digest, the others under their block."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                views = TextBatch(batch.column("text"))
+                x1s, x2s, es = (batch.column(c).to_pylist() for c in ("x1", "x2", "e"))
+                out: list[list] = [[] for _ in range(7)]
+                held = 0
+                for i, (x1, x2, entry) in enumerate(zip(x1s, x2s, es, strict=True)):
+                    body = views.text(i)
+                    own = [e for e in entry if e["hot"] == hot]
+                    if not own:
+                        continue
+                    data = np.frombuffer(body, np.uint8)
+                    first, stop = word_windows(data, np.array([0, len(body)]), words, span)
+                    for e in own:
+                        lo, hi = e["lo"], e["hi"]
+                        piece = body[lo : hi + span]
+                        a, b = np.searchsorted(first, lo), np.searchsorted(first, hi, side="right")
+                        windows = np.stack((first[a:b], stop[a:b]), axis=1) - lo
+                        key = (e["h"], 0) if hot else (e["h"] % blocks, 0)
+                        for column, value in zip(out, (*key, x1, x2, lo, piece, windows.astype(np.int32).tobytes()), strict=True):
                             column.append(value)
                         held += len(piece)
-                if held > 4 << 20:
-                    yield _passages(out)
-                    out, held = [[] for _ in range(6)], 0
-            yield _passages(out)
+                    if held > 4 << 20:
+                        yield _passages(out)
+                        out, held = [[] for _ in range(7)], 0
+                yield _passages(out)
+
+        return lean(run)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = (0, 0), []
 
         def due() -> bool:
-            # one passage can repeat within itself: worked in its own cell, not again in cells of two parts
-            return len(held) > 1 or (len(held) == 1 and key[1] < 0)
+            # one passage can repeat within itself: worked in a cell of its own part, not again in cells of two
+            return len(held) > 1 or (len(held) == 1 and key[1] <= 0)
 
         def work() -> pa.RecordBatch:
-            found = list(zip(*block_spans(held, least, span), strict=True)) or [[]] * 5
+            found = list(zip(*block_spans(held, span), strict=True)) or [[]] * 5
             return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found[:4]), pa.array(found[4], pa.bool_())], names=["x1", "x2", "start", "stop", "wide"])
 
+        names = ("k1", "k2", "x1", "x2", "start", "body", "windows")
         for batch in batches:
-            for k1, k2, x1, x2, start, body in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "x1", "x2", "start", "body")), strict=True):
+            for k1, k2, *passage in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if (k1, k2) != key:
-                    if due():
+                    if held and due():
                         yield work()
                     key, held = (k1, k2), []
-                held.append((x1, x2, start, body))
-        if due():
+                held.append(tuple(passage))
+        if held and due():
             yield work()
 
-    passages = texts.mapInArrow(lean(cut), "k1 long, k2 long, x1 long, x2 long, start long, body binary")
-    spans = passages.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(lean(mark), "x1 long, x2 long, start long, stop long, wide boolean")
+    passage = "k1 long, k2 long, x1 long, x2 long, start long, body binary, windows binary"
+    found = "x1 long, x2 long, start long, stop long, wide boolean"
+    worked = lambda rows: rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(lean(mark), found)
+    spans = worked(texts.mapInArrow(cut(False), passage))
+    # hot anchors: equal pieces are one, and the parts of different ones meet pairwise
+    pieces = texts.mapInArrow(cut(True), passage).select("k1", F.xxhash64("body").alias("d1"), F.xxhash64(F.lit(span), "body").alias("d2"), "x1", "x2", "start", "body", "windows")
+    pieces = written(pieces, "repeat-pieces")
+    same = ["k1", "d1", "d2"]
+    apart = written(pieces.groupBy(*same).agg(F.count("*").alias("copies"), F.first("body").alias("body"), F.first("windows").alias("windows")), "repeat-apart")
+    parts = written(apart.groupBy("k1").agg(F.ceil(F.sum(F.octet_length("body")) / (BLOCK // 2)).cast("int").alias("parts")), "repeat-parts")
+    own = F.pmod("d1", "parts")
+    # a part's own cell is told by a negative number
+    cell = F.when(F.col("k") == F.col("own"), -1 - F.col("own")).otherwise(F.least("own", "k") * F.col("parts") + F.greatest("own", "k"))
+    dealt = apart.join(parts, "k1").withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("k1", cell.cast("long").alias("k2"), F.col("d1").alias("x1"), F.col("d2").alias("x2"), F.lit(0).cast("long").alias("start"), "body", "windows")
+    apart_spans = worked(dealt)
+    # of pieces that stand several times, all bytes and all windows are repeats
+    whole = apart.where("copies > 1").select(F.col("d1").alias("x1"), F.col("d2").alias("x2"), "body", "windows").mapInArrow(lean(_all_of(span)), found)
+    told = written(apart_spans.union(whole).distinct(), "repeat-hot").withColumnsRenamed({"x1": "d1", "x2": "d2", "start": "a", "stop": "b"})
+    members = pieces.select("d1", "d2", "x1", "x2", "start").distinct()
+    hot_spans = members.join(told, ["d1", "d2"]).select("x1", "x2", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("stop"), "wide")
+    spans = spans.union(hot_spans)
     spans = written(spans.distinct(), "repeat-spans").groupBy("x1", "x2").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "wide"))).alias("s"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +418,7 @@ def find_repeats(docs: DataFrame, span: int = 400, id_col: str = "doc_id", text_
     by_class = written(classes.select("x1", "x2", "copies").join(cuts, ["x1", "x2"], "left"), "repeat-cuts")
     twice = F.col("copies") > 1
     whole = twice & (F.col("n_bytes") >= span)
-    told = twice & (F.col("n_bytes") >= least) & (F.col("n_words") >= words)
+    told = twice & (F.col("n_bytes") >= GRAM) & (F.col("n_words") >= words)
     nothing = hashlib.sha256(b"").hexdigest()
     none = F.array().cast("array<array<bigint>>")
     all_bytes = F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))
@@ -375,9 +445,24 @@ def _merged(runs: Iterator[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def _all_of(span: int):
+    """Spans of pieces that stand at several places: all bytes, if enough, and all windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x1, x2, body, packed in zip(*(batch.column(c).to_pylist() for c in ("x1", "x2", "body", "windows")), strict=True):
+                out += [(x1, x2, 0, len(body), True)] if len(body) >= span else []
+                out += [(x1, x2, a, b, False) for a, b in np.frombuffer(packed, np.int32).reshape(-1, 2).tolist()]
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(columns[4], pa.bool_())], names=["x1", "x2", "start", "stop", "wide"])
+
+    return run
+
+
 def _passages(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["k1", "k2", "x1", "x2", "start", "body"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["k1", "k2", "x1", "x2", "start", "body", "windows"])
 
 
 def op10_rindex_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

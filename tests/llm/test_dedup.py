@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -113,19 +114,46 @@ def test_repeated_passages_by_words_against_plain(spark, words):
     data += [(200, "x" + shared[0], "en", "a", 1), (201, "a " * 260, "en", "a", 1), (202, shared[1][:230] + "\n" + shared[1][:230], "en", "a", 1)]
     texts = [(t or "").encode() for _, t, *_ in rows() + data]
 
-    def told(body, runs):
+    def windows(body):
         spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", body)]
+        pairs = [(x[0], y[1]) for x, y in zip(spans, spans[words - 1 :], strict=False)]
+        return spans, [(x, y) for x, y in pairs if repeats.GRAM <= y - x < 400]
+
+    seen = Counter(body[a:b] for body in texts for a, b in windows(body)[1])
+
+    def told(body, removed):
+        spans, own = windows(body)
+        runs = repeats._merged(iter(sorted([tuple(r) for r in removed] + [(a, b) for a, b in own if seen[body[a:b]] > 1])))
         return sum(sum(a <= x and y <= b for x, y in spans) >= words for a, b in runs)
 
     want = {}
-    for (doc_id, *_), body, runs, removed in zip(rows() + data, texts, repeated_runs(texts, 200), repeated_runs(texts, 400), strict=True):
-        want.setdefault(doc_id, []).append((told(body, runs), sum(b - a for a, b in removed)))
+    for (doc_id, *_), body, removed in zip(rows() + data, texts, repeated_runs(texts, 400), strict=True):
+        want.setdefault(doc_id, []).append((told(body, removed), sum(b - a for a, b in removed)))
     got = by_id(repeats.find_repeats(documents(spark, data), words=words), "n_passages", "n_removed")
     assert got == {k: sorted(v, key=str) for k, v in want.items()}
     assert 3 < sum(n > 0 for v in got.values() for n, _ in v) < len(texts)
     assert any(n and not gone for v in got.values() for n, gone in v)
 
 
+def test_equal_pieces_of_a_hot_anchor(spark, monkeypatch):
+    """Many copies of one passage, short and long, amid different texts and at the ends of texts."""
+    monkeypatch.setattr(repeats, "BLOCK", 3000)
+    rng = random.Random(11)
+    fresh = lambda n: " ".join("".join(rng.choice("bcdfgh") for _ in range(rng.randint(2, 5))) for _ in range(n))
+    short, long = fresh(54), fresh(260)
+    data = [(k, [f"{fresh(6)} {short} {fresh(7)}", short, f"{long} {fresh(3)}", f"{fresh(9)} {long}", f"x {long} {long}"][k % 5] + f" {k % 3}", "en", "a", 1) for k in range(40)]
+    texts = [t.encode() for _, t, *_ in data]
+    spans = lambda b: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+    windows = lambda b: [(x[0], y[1]) for x, y in zip(spans(b), spans(b)[50:], strict=False) if y[1] - x[0] < 400]
+    seen = Counter(b[x:y] for b in texts for x, y in windows(b))
+    want = {}
+    for k, (b, runs) in enumerate(zip(texts, repeated_runs(texts, 400), strict=True)):
+        held = repeats._merged(iter(sorted([tuple(r) for r in runs] + [w for w in windows(b) if seen[b[slice(*w)]] > 1])))
+        want[k] = [(sum(y - x for x, y in runs), len(runs), sum(sum(x <= s and e <= y for s, e in spans(b)) >= 51 for x, y in held))]
+    got = by_id(repeats.find_repeats(spark.createDataFrame(data, DOCS)), "n_removed", "n_spans", "n_passages")
+    assert got == want
+
+
 def test_repeats_with_hot_anchor_in_parts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK", 4000)
     rng = random.Random(2)
