@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources import buckets
+
 
 def changes(listing: DataFrame, index: DataFrame) -> DataFrame:
     """Adds ``change`` to the listing: cached if size, time, hash and status agree, else pending."""
@@ -47,3 +49,23 @@ def refreshed(listing: DataFrame, index: DataFrame, hashed: DataFrame) -> DataFr
         F.when(kept | F.col("__x").isNotNull(), "ok").otherwise("failed").alias("status"),
         F.when(kept, "").otherwise(F.coalesce("__n", F.lit(""))).alias("note"),
     )
+
+
+INDEX = "path_key string, size_bytes long, mtime_ns long, xxh64 string, status string, note string"
+
+
+def publish_changes(spark: SparkSession, root: str, listing: DataFrame, hashed: DataFrame, n: int = 64) -> list[int]:
+    """Bring the index kept under ``root`` up to date; the numbers of the buckets rewritten.
+
+    Only changed rows are put in and stale ones taken out: a run over a folder that did not change
+    rewrites nothing. ``hashed`` has path_key, xxh64 and note of the changed files.
+    """
+    index = buckets.read(spark, root, INDEX)
+    pending = changes(listing, index).where("change = 'pending'").select(listing.columns)
+    return buckets.upsert(spark, root, INDEX, "path_key", refreshed(pending, index, hashed), stale(index, listing), n)
+
+
+def prune_hashes(spark: SparkSession, root: str, schema: str, listing: DataFrame) -> list[int]:
+    """Take out the hashes kept under ``root`` whose canonical file is no longer listed."""
+    hashes = buckets.read(spark, root, schema)
+    return buckets.upsert(spark, root, schema, "xxh64", spark.createDataFrame([], schema), vanished(hashes, listing))

@@ -15,7 +15,7 @@ from quire.functions import genre as G
 from quire.functions import text as T
 from quire.operators import classify, dedupe, enrich
 from quire.operators import metadata as M
-from quire.sources import archives, files, state
+from quire.sources import archives, buckets, files, state
 
 HASH_SCHEMA = "xxh64 string, canonical_zip string, title string, author string, genre string"
 
@@ -31,6 +31,8 @@ class Config:
     prefer_tags: bool = False
     force_full: bool = False
     limits: dict[str, int] = field(default_factory=dict)
+    #: Bytes of files to a task; without it a task has one of the folders right below a root.
+    task_bytes: int | None = None
 
 
 def describe(books: DataFrame, config: Config) -> DataFrame:
@@ -46,19 +48,22 @@ def actions(roots: list[str], spark: SparkSession, config: Config, known: DataFr
     """One row per file: path, status, reason, metadata and where it belongs.
 
     Cheap steps come first: files that are no books or are copies are settled before tags are read.
+    What a stage decides is written before the next one reads it, so nothing is unpacked, decoded or
+    hashed again, and no plan holds the expressions of two stages. Contents are kept of books only.
     """
-    found = archives.with_members(files.scan(spark, roots), **config.limits)
+    found = archives.with_members(files.scan(spark, roots) if config.task_bytes is None else files.balanced_scan(spark, roots, task_bytes=config.task_bytes), **config.limits)
     base = F.coalesce(*(F.when(T.is_under(F.col("path"), F.lit(r.rstrip("/"))), F.lit(r.rstrip("/"))) for r in roots), F.lit(""))
-    judged = classify.classify(found.withColumn("source_root", base))
-    digest = F.when(F.col("content").isNotNull(), B.xxh64(F.col("content")))
-    books = dedupe.claim(judged.where("is_book").withColumn("xxh64", digest), "xxh64", ["archive_chain", "path"], known)
+    judged = classify.classify(found.withColumn("source_root", base)).withColumn("content", F.when(F.col("is_book"), F.col("content")))
+    judged = state.settled(judged.withColumn("xxh64", F.when(F.col("content").isNotNull(), B.xxh64(F.col("content")))), "judged")
+    books = dedupe.claim(judged.where("is_book"), "xxh64", ["archive_chain", "path"], known)
     rest = judged.where("not is_book").select("path", "archive_chain", "archive_source", "size_bytes", F.when(F.col("note") != "", "failed").otherwise("nobook").alias("status"), F.when(F.col("note") != "", F.col("note")).otherwise(F.col("reason")).alias("reason"), F.when(F.col("note") != "", F.concat_ws("/", F.lit(config.errors), T.error_bucket(T.stem_of(F.col("path"))), T.name_of(F.col("path")))).otherwise(T.nobook_path(config.nobook, F.col("path"), F.col("source_root"), F.col("archive_chain"))).alias("dest"))
     copies = books.where("status = 'duplicate'").select("path", "archive_chain", "archive_source", "size_bytes", F.when(F.col("archive_source").isNull(), "duplicate").otherwise("duplicate_temp").alias("status"), "reason", "xxh64", T.duplicate_path(config.duplicates, F.col("xxh64"), F.col("path"), F.col("archive_source")).alias("dest"))
-    told = describe(books.where("status = 'unique'"), config)
+    told = state.settled(describe(books.where("status = 'unique'"), config).drop("content"), "described")
     title, author = M.best_title(F.col("title"), F.col("path"), F.col("archive_chain")), M.best_author(F.col("author"), F.col("path"), F.col("archive_chain"))
     told = told.withColumn("__title", title).withColumn("__author", author).withColumn("title", T.clean_book_title(F.col("__title"), F.col("__author"))).withColumn("author", F.col("__author")).withColumn("genre", G.translated(F.col("genre"), config.language))
     told = told.withColumn("dest", T.destination_path(config.target, F.col("genre"), F.col("author"), F.col("title")))
-    told = dedupe.unique_names_by_hash(told, "dest", "xxh64", ["archive_chain", "path"], F.regexp_replace("dest", r"\.zip$", ""), F.lit(".zip"))
+    told = state.settled(told.drop("snippet", "tags"), "destinations")
+    told = dedupe.unique_names_by_hash(told, "dest", "xxh64", ["archive_chain", "path"], lambda name: F.regexp_replace(name, r"\.zip$", ""), lambda _: F.lit(".zip"), None if known is None else known.select("canonical"))
     packed = told.select("path", "archive_chain", "archive_source", "size_bytes", F.lit("packed").alias("status"), "reason", "xxh64", F.col("unique_dest").alias("dest"), "title", "author", "genre", "source", "confidence", "isbn_candidates", "lm_decision", "lm_route")
     return packed.unionByName(copies, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True)
 
@@ -66,10 +71,11 @@ def actions(roots: list[str], spark: SparkSession, config: Config, known: DataFr
 def run(spark: SparkSession, roots: list[str], state_dir: str, config: Config | None = None) -> DataFrame:
     """Compute the actions and publish the hashes of packed files for the next run."""
     config = config or Config()
-    known = state.read_snapshot(spark, f"{state_dir}/hash_index", HASH_SCHEMA)
+    index = f"{state_dir}/hash_index"
+    known = buckets.read(spark, index, HASH_SCHEMA)
     result = actions(roots, spark, config, known.withColumnRenamed("canonical_zip", "canonical"))
     state.write_snapshot(result, f"{state_dir}/actions")
     result = state.read_snapshot(spark, f"{state_dir}/actions", result.schema)
-    new = result.where("status = 'packed'").select("xxh64", F.col("dest").alias("canonical_zip"), "title", "author", "genre")
-    state.write_snapshot(known.unionByName(new.join(known.select("xxh64"), "xxh64", "left_anti")), f"{state_dir}/hash_index")
+    packed = result.where("status = 'packed'").select("xxh64", F.col("dest").alias("canonical_zip"), "title", "author", "genre")
+    buckets.upsert(spark, index, HASH_SCHEMA, "xxh64", packed.where("xxh64 is not null"))
     return result

@@ -84,8 +84,10 @@ def publish(spark: SparkSession, root: str, after: int, said: dict) -> int:
 
 
 def read_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    v, said = current(spark, root)
-    return spark.read.schema(schema).parquet(f"{root}/{said['data']}") if v else spark.createDataFrame([], schema)
+    """All rows of the last version, whether it is one folder or one for each bucket."""
+    _, said = current(spark, root)
+    places = [*said.get("buckets", {}).values(), *([said["data"]] if "data" in said else [])]
+    return spark.read.schema(schema).parquet(*(f"{root}/{p}" for p in places)) if places else spark.createDataFrame([], schema)
 
 
 def write_snapshot(df: DataFrame, root: str) -> int:

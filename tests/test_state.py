@@ -3,6 +3,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from quire.operators import dedupe, index_sync
+from quire.plans import catalogue
 from quire.sources import buckets, state
 
 SCHEMA = "k string, v long"
@@ -77,3 +79,43 @@ def test_status_log_is_merged_while_it_is_read(spark, tmp_path):
     buckets.append_events(events(("b", "packed", 9)), root)
     assert now()["b"] == "packed" and len(buckets._parts(spark, root)) == 2
     assert buckets.read(spark, root, schema).agg(F.count("*")).first()[0] == 3
+
+
+def test_index_changes_rewrite_their_buckets_only(spark, tmp_path):
+    root = str(tmp_path / "index")
+    listing = lambda rows: spark.createDataFrame(rows, "path_key string, size_bytes long, mtime_ns long")
+    hashed = lambda rows: spark.createDataFrame(rows, "path_key string, xxh64 string, note string")
+    files = [(f"/t/{k}.zip", k, k) for k in range(60)]
+    index_sync.publish_changes(spark, root, listing(files), hashed([(f[0], f"h{f[1]}", "") for f in files]), n=16)
+    assert index_sync.publish_changes(spark, root, listing(files), hashed([])) == []
+    files = [*files[1:], ("/t/new.zip", 1, 1)]
+    files[0] = ("/t/1.zip", 99, 1)
+    touched = index_sync.publish_changes(spark, root, listing(files), hashed([("/t/1.zip", "h99", ""), ("/t/new.zip", None, "bad_zip")]))
+    got = {r["path_key"]: (r["size_bytes"], r["xxh64"], r["status"]) for r in buckets.read(spark, root, index_sync.INDEX).collect()}
+    assert len(touched) <= 3 and got == {f"/t/{k}.zip": (k, f"h{k}", "ok") for k in range(2, 60)} | {"/t/1.zip": (99, "h99", "ok"), "/t/new.zip": (1, None, "failed")}
+    hashes = str(tmp_path / "hashes")
+    buckets.upsert(spark, hashes, catalogue.HASH_SCHEMA, "xxh64", spark.createDataFrame([("a", "/t/1.zip", "", "", ""), ("b", "/t/0.zip", "", "", "")], catalogue.HASH_SCHEMA))
+    assert len(index_sync.prune_hashes(spark, hashes, catalogue.HASH_SCHEMA, listing(files))) == 1
+    assert [r["xxh64"] for r in buckets.read(spark, hashes, catalogue.HASH_SCHEMA).collect()] == ["a"]
+
+
+def test_names_of_earlier_runs_are_not_given_again(spark):
+    rows = spark.createDataFrame([(d, h, k) for k, (d, h) in enumerate([("a.zip", "abcdefgh9"), ("a.zip", "abcdefgh9"), ("b.zip", "x"), ("c.zip", "abcdefgh9"), ("c.zip", None), ("c_abcdefgh.zip", "q")])], "d string, h string, n int")
+    taken = spark.createDataFrame([("a.zip",), ("a_1.zip",), ("a_3.zip",), ("a_abcdefgh.zip",), ("a_abcdefgh_2.zip",), ("c_abcdefgh.zip",), ("z_1.zip",), (None,)], "name string")
+    stem, end = lambda x: F.regexp_replace(x, r"\.zip$", ""), lambda _: F.lit(".zip")
+    got = [r["unique_dest"] for r in dedupe.unique_names(rows, "d", ["n"], stem, end, taken).orderBy("n").collect()]
+    assert got == ["a_2.zip", "a_4.zip", "b.zip", "c.zip", "c_1.zip", "c_abcdefgh_1.zip"]
+    got = [r["unique_dest"] for r in dedupe.unique_names_by_hash(rows, "d", "h", ["n"], stem, end, taken).orderBy("n").collect()]
+    assert got == ["a_abcdefgh_1.zip", "a_abcdefgh_3.zip", "b.zip", "c.zip", "c_x.zip", "c_abcdefgh_q.zip"]
+    assert not set(got) & {r["name"] for r in taken.collect()}
+
+
+def test_two_runs_name_different_books_apart(spark, tmp_path):
+    for run, body in (("one", "Chapter one. " * 30), ("two", "Another text, chapter two. " * 30), ("three", "A third text, isbn and chapter. " * 30)):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "Ann Author - The Title.txt").write_text(body)
+        catalogue.run(spark, [str(tmp_path / run)], str(tmp_path / "state"), catalogue.Config(target="/lib", task_bytes=None if run == "one" else 1 << 20))
+    names = sorted(r["canonical_zip"] for r in buckets.read(spark, str(tmp_path / "state" / "hash_index"), catalogue.HASH_SCHEMA).collect())
+    assert len(names) == len(set(names)) == 3 and sum(n.endswith("/The Title.zip") for n in names) == 1
+    again = catalogue.run(spark, [str(tmp_path / "two")], str(tmp_path / "state"), catalogue.Config(target="/lib")).collect()
+    assert [r["status"] for r in again] == ["duplicate"]
