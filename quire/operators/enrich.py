@@ -7,10 +7,12 @@ a provider refused for their rate.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,39 @@ def paced(provider: Provider, seconds: float, clock: Callable[[], float] = time.
     return ask
 
 
+class Slots:
+    """One call every ``seconds`` over all of ``tasks`` tasks, without a word between them.
+
+    Time from ``begin`` on is cut into slots, dealt round to the tasks: task t owns slots t, t + tasks,
+    and so on for ever. A call takes its task's next slot that has not begun, so calls of different
+    tasks never share one, however late a task starts or how often it is run again.
+    """
+
+    def __init__(self, task: int, tasks: int, begin: float, seconds: float):
+        self.task, self.tasks, self.begin, self.seconds = task, tasks, begin, seconds
+        self.last = -1
+
+    def next(self, now: float) -> float:
+        """When the call may be made that is asked for at ``now``."""
+        turn = math.ceil(((now - self.begin) / self.seconds - self.task) / self.tasks)
+        self.last = max(turn, self.last + 1, 0)
+        return self.begin + (self.task + self.last * self.tasks) * self.seconds
+
+    def paced(self, provider: Provider, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep) -> Provider:
+        """``provider`` with each request in a slot of its own."""
+
+        def ask(requests: list[str]) -> list[str | None]:
+            out = []
+            for request in requests:
+                at = self.next(clock())
+                while (wait := at - clock()) > 0:
+                    sleep(wait)
+                out += provider([request])
+            return out
+
+        return ask
+
+
 def stub_provider(requests: list[str]) -> list[str | None]:
     """Answers nothing; stands in where there is no network."""
     return [None] * len(requests)
@@ -68,20 +103,25 @@ def cache_key(kind: str, request: Column) -> Column:
     return F.sha2(F.to_json(F.struct(F.lit(kind).alias("kind"), request.alias("request"))), 256)
 
 
-def lookup(rows: DataFrame, request: str, kind: str, provider: Provider, cache: DataFrame, parallel: int | None = None) -> tuple[DataFrame, DataFrame]:
+def lookup(rows: DataFrame, request: str, kind: str, provider: Provider, cache: DataFrame, parallel: int | None = None, every: float | None = None) -> tuple[DataFrame, DataFrame]:
     """``rows`` with ``answer_json``, and the new cache rows (cache_key, payload_json).
 
     The provider runs here and now, and its answers are written before anything reads them, so it
     is called once for each key however often the results are used. ``parallel`` bounds how many
-    calls run at a time (1: a global rate limit can hold); the steps before stay parallel.
+    calls run at a time; the steps before stay parallel. ``every`` seconds a call may be made by the
+    whole cluster (see ``Slots``; clocks of its machines must agree, and no task run twice at a time).
     """
     keyed = rows.withColumn("cache_key", F.when(F.col(request).isNotNull(), cache_key(kind, F.col(request))))
     wanted = keyed.where("cache_key is not null").groupBy("cache_key").agg(F.first(request).alias("request")).join(cache, "cache_key", "left_anti")
-    wanted = wanted if parallel is None else wanted.repartition(parallel)
+    if every is not None:
+        parallel = parallel or rows.sparkSession.sparkContext.defaultParallelism
+    wanted = wanted if parallel is None else wanted.repartition(parallel, "cache_key")
+    begin = time.time()
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = provider if every is None else Slots(TaskContext.get().partitionId(), parallel, begin, every).paced(provider)
         for batch in batches:
-            yield pd.DataFrame({"cache_key": batch["cache_key"], "payload_json": provider(batch["request"].tolist())})
+            yield pd.DataFrame({"cache_key": batch["cache_key"], "payload_json": ask(batch["request"].tolist())})
 
     fresh = settled(wanted.mapInPandas(call, "cache_key string, payload_json string"), "answers")
     fresh = fresh.where(F.coalesce("payload_json", F.lit("")) != RATE_LIMITED)
@@ -126,6 +166,33 @@ def merge_isbn(rows: DataFrame, found: str, isbn: Column) -> DataFrame:
     return rows.select(*(fill[c].alias(c) if c in fill else F.col(c) for c in rows.columns), F.when(F.col(found).isNotNull(), I.normalize(isbn)).otherwise("").alias("isbn"))
 
 
+def ask_isbn(rows: DataFrame, key: list[str], candidates: str, providers: list[tuple[str, Provider, Callable[[Column], Column]]], cache: DataFrame, every: float | None = None, parallel: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with what ISBN providers know merged in (``merge_isbn``), and the new cache rows.
+
+    Only rows whose title or author is missing are asked about. Candidates are tried in their order, a
+    round for each place and provider: (name, provider, reader of its answers). A round asks
+    for those rows alone that no round before has found. ``key`` names a row.
+    """
+    from quire.operators import metadata as M
+
+    needed = M.isbn_lookup_needed(F.col(candidates), F.col("title"), F.col("author"))
+    asked = rows.where(needed).select(*key, candidates)
+    most = asked.agg(F.max(F.size(candidates))).first()[0] or 0
+    found, news, open_ = None, None, settled(asked, "isbn-asked")
+    for place in range(most):
+        for name, provider, reader in providers:
+            wanted = open_.where(F.size(candidates) > place).withColumn("__isbn", F.get(candidates, F.lit(place)))
+            told, fresh = lookup(wanted, "__isbn", f"isbn:{name}", provider, cache if news is None else cache.select("cache_key", "payload_json").unionByName(news), parallel, every)
+            told = settled(told.withColumn("__found", reader(F.col("answer_json"))).where("__found is not null").select(*key, "__isbn", "__found"), "isbn-found")
+            news = fresh if news is None else news.unionByName(fresh)
+            found = told if found is None else found.unionByName(told)
+            open_ = settled(open_.join(told.select(*key), key, "left_anti"), "isbn-open")
+    if found is None:
+        return rows.withColumn("isbn", F.lit("")), cache.select("cache_key", "payload_json").limit(0)
+    out = merge_isbn(rows.join(found, key, "left"), "__found", F.col("__isbn"))
+    return out.drop("__found", "__isbn"), news
+
+
 def route(decision: Column, snippet: Column, least_letters: int = 24, iterative: bool = False, context_allowed: bool = True) -> Column:
     """How a file is asked about: iterative, snippet, fallback_context, none, genre_only, skip."""
     full = F.lit("iterative") if iterative else F.when(T.has_letters(snippet, least_letters), "snippet").otherwise("fallback_context" if context_allowed else "none")

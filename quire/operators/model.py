@@ -17,6 +17,7 @@ from quire.functions import payload as P
 from quire.functions import text as T
 from quire.operators import metadata as M
 from quire.operators.enrich import Provider, lookup, route, stub_provider
+from quire.sources.state import settled
 
 #: Answers that say "this form of request is not understood": the next form may be.
 UNSUPPORTED = (400, 404, 409, 415, 422)
@@ -85,27 +86,70 @@ def iterative_provider(talk: Callable[[list[str]], str | None], enough: float =
     return lambda requests: [one(r) for r in requests]
 
 
+def ask_rounds(rows: DataFrame, key: str, pieces: str, provider: Provider, cache: DataFrame, enough: float = 4.5, most: int = 8, parallel: int | None = None, every: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, answer_json, rounds) of keys that got an answer, and the new cache rows.
+
+    Round k asks with the first k pieces of a text, a JSON list, for those keys alone whose answer so
+    far wants more text and is not sure ``enough``. What a round learns is written before the next,
+    so a run that dies goes on from the cache. The last answer with fields counts. Rows of one key
+    have the same pieces.
+    """
+    texts = settled(rows.where(F.col(key).isNotNull() & (F.size(pieces) > 0)).groupBy(key).agg(F.slice(F.first(pieces), 1, most).alias("__pieces")), "round-texts")
+    state = texts.select(key, F.size("__pieces").alias("__size"), F.lit(None).cast("string").alias("answer_json"), F.lit(0).alias("rounds"), F.lit(True).alias("__open"))
+    news = None
+    for k in range(1, most + 1):
+        open_ = F.col("__open") & (F.col("__size") >= k)
+        if state.where(open_).isEmpty():
+            break
+        wanted = state.where(open_).select(key).join(texts, key).select(key, F.to_json(F.slice("__pieces", 1, k)).alias("__request"))
+        told, fresh = lookup(wanted, "__request", "pieces", provider, cache if news is None else cache.select("cache_key", "payload_json").unionByName(news), parallel, every)
+        news = fresh if news is None else news.unionByName(fresh)
+        # fields are read first, so that an answer which is no answer leaves the one before
+        told = told.withColumn("__p", P.parse_payload(F.col("answer_json")))
+        useful = F.coalesce(*(F.col(f"__p.{c}").cast("string") for c in ("title", "author", "genre", "confidence"))).isNotNull()
+        stops = F.col("answer_json").rlike(r'"need_more_text"\s*:\s*false') | (F.coalesce("__p.confidence", F.lit(0.0)) >= enough)
+        told = told.select(F.col(key).alias("__key"), F.when(useful, F.col("answer_json")).alias("__new"), F.coalesce(useful & stops, F.lit(False)).alias("__stop"))
+        state = state.join(told, F.col(key) == F.col("__key"), "left")
+        asked = F.col("__key").isNotNull()
+        state = state.select(key, "__size", F.coalesce("__new", "answer_json").alias("answer_json"), F.when(asked, k).otherwise(F.col("rounds")).alias("rounds"), (F.col("__open") & ~F.coalesce("__stop", F.lit(False))).alias("__open"))
+        state = settled(state, "rounds")
+    if news is None:
+        news = cache.select("cache_key", "payload_json").limit(0)
+    return state.where("answer_json is not null").select(key, "answer_json", "rounds"), news
+
+
 @dataclass(frozen=True)
 class Asking:
-    """Who is asked and when. Columns: ``context`` and ``snippet``, and ``pieces`` for iteration."""
+    """Who is asked and when. Columns: ``context`` and ``snippet``, and ``pieces`` for iteration.
+
+    ``rounds`` is asked piece by piece in rounds of the plan (``ask_rounds``), ``iterative`` gets all
+    pieces of a text in one call. ``every``: seconds between two calls of a kind, by the whole cluster.
+    """
 
     fast: Provider | None = stub_provider
     full: Provider = stub_provider
     genre: Provider = stub_provider
     iterative: Provider | None = None
+    rounds: Provider | None = None
     least_letters: int = 24
     context_allowed: bool = True
     fast_confidence: float = 4.0
     sure: float = 4.5
     parallel: dict[str, int] = field(default_factory=dict)
+    every: dict[str, float] = field(default_factory=dict)
 
 
 def _asked(rows: DataFrame, request: Column, kind: str, provider: Provider, cache: DataFrame, asking: Asking) -> tuple[DataFrame, DataFrame]:
     """``rows`` with struct ``kind`` (null where there is no answer)."""
-    rows, fresh = lookup(rows.withColumn("__request", request), "__request", kind, provider, cache, asking.parallel.get(kind))
+    rows, fresh = lookup(rows.withColumn("__request", request), "__request", kind, provider, cache, asking.parallel.get(kind), asking.every.get(kind))
+    return _parsed(rows, kind), fresh
+
+
+def _parsed(rows: DataFrame, kind: str) -> DataFrame:
+    """Struct ``kind`` in place of answer_json."""
     parsed = P.parse_payload(F.col("answer_json"))
     rows = rows.withColumn("__p", parsed).withColumn(kind, F.when(F.coalesce(*(F.col(f"__p.{c}").cast("string") for c in ("title", "author", "genre", "confidence"))).isNotNull(), F.col("__p")))
-    return rows.drop("__request", "answer_json", "__p"), fresh
+    return rows.drop("__request", "answer_json", "__p")
 
 
 def ask(rows: DataFrame, asking: Asking, cache: DataFrame, decision: str = "lm_decision") -> tuple[DataFrame, DataFrame]:
@@ -116,6 +160,7 @@ def ask(rows: DataFrame, asking: Asking, cache: DataFrame, decision: str = "lm_d
     without an answer goes on unchanged.
     """
     columns = rows.columns
+    rows = settled(rows, "asked")  # what made the rows does not run again for each lookup
     full, genre_only = F.col(decision) == "full", F.col(decision) == "genre_only"
     news = []
     if asking.fast:
@@ -125,7 +170,11 @@ def ask(rows: DataFrame, asking: Asking, cache: DataFrame, decision: str = "lm_d
         rows = rows.withColumn("fast", F.lit(None).cast(P.SHAPE))
     strong = F.coalesce(M.strong_answer(F.col("fast.title"), F.col("fast.genre"), F.col("fast.confidence").cast("string"), asking.fast_confidence), F.lit(False))
     rows = rows.withColumn("__more", full & ~strong)
-    if asking.iterative:
+    if asking.rounds:
+        rows = settled(rows.withColumn("__pieces_key", F.when(F.col("__more") & (F.size("pieces") > 0), F.sha2(F.to_json("pieces"), 256))), "rounds-asked")
+        answers, fresh = ask_rounds(rows, "__pieces_key", "pieces", asking.rounds, cache, asking.sure, parallel=asking.parallel.get("slow"), every=asking.every.get("slow"))
+        rows = _parsed(rows.join(answers.drop("rounds"), "__pieces_key", "left").drop("__pieces_key"), "slow").withColumn("__input", F.lit("iterative"))
+    elif asking.iterative:
         rows, fresh = _asked(rows, F.when(F.col("__more") & (F.size("pieces") > 0), F.to_json("pieces")), "slow", asking.iterative, cache, asking)
         rows = rows.withColumn("__input", F.lit("iterative"))
     else:
