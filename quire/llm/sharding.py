@@ -134,40 +134,53 @@ def plan(docs: DataFrame, n_old: int, n_new: int, id_col: str = "doc_id", text_c
     placed = place_blocks([(b, old_of(b), size) for b, size, _ in stats], flow)
     offset, out = [0] * n_new, []
     for block, _, n in stats:
-        out.append((block, placed[block], offset[placed[block]]))
+        cell = block // most_parts
+        out.append((block, placed[block], offset[placed[block]], cell, hot.get(cell, 1)))
         offset[placed[block]] += n
-    return rows, spark.createDataFrame(out, "block long, shard int, offset long"), flow
+    return rows, spark.createDataFrame(out, "block long, shard int, offset long, cell long, parts int"), flow
 
 
 def assign(docs: DataFrame, n_old: int, n_new: int, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None, **how) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     rows, blocks, _ = plan(docs, n_old, n_new, id_col, text_col, old_col, **how)
     inside = Window.partitionBy("block").orderBy("doc_id", "text_crc32", "size")
-    return rows.join(F.broadcast(blocks), "block").select(
+    return rows.join(F.broadcast(blocks.drop("cell", "parts")), "block").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("offset") + F.row_number().over(inside) - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
-def reshard_files(docs: DataFrame, out: str, n_old: int, n_new: int, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None, **how) -> dict[int, bool]:
-    """Write the shards that change as ``out/shard=<k>``; tell for each whether it was rewritten.
+def rewritten(docs: DataFrame, n_old: int, n_new: int, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None, **how) -> tuple[DataFrame, dict[int, bool]]:
+    """The rows of the shards that change, with column ``shard``, and for each shard whether it does.
 
-    A shard is affected if a block enters or leaves it (or it is new); the files of others stay as
-    they are. ``old_col`` is not written, the folder says it.
+    A shard changes if a block enters or leaves it (or it is new). A row's block follows from the row,
+    so rows of other shards are passed over where they are read, and no text moves to find its shard.
     """
-    rows, blocks, _ = plan(docs, n_old, n_new, id_col, text_col, old_col, **how)
+    _, blocks, _ = plan(docs, n_old, n_new, id_col, text_col, old_col, **how)
     most_parts, cells = how.get("most_parts", 256), how.get("cells", 512)
     affected = {k: k >= n_old for k in range(n_new)}
-    for block, shard, _ in blocks.collect():  # bounded by the parameters of plan()
+    for block, shard, *_ in blocks.collect():  # bounded by the parameters of plan()
         if (old := block // most_parts // cells) != shard:
             affected |= {k: True for k in (old, shard) if k < n_new}
-    # copies of one id, text and old shard share a block, so one row of them says where all go
-    where = rows.join(F.broadcast(blocks), "block").select(F.col("doc_id").alias("__id"), F.col("cell").alias("__cell"), F.col("shard").alias("__shard")).distinct()
-    source = docs.withColumn("__cell0", _cell(n_old, old_col, text_col, cells))
-    moved = source.join(where, source[id_col].eqNullSafe(where["__id"]) & (source["__cell0"] == where["__cell"])).where(F.col("__shard").isin([k for k, yes in affected.items() if yes]))
+    wanted = blocks.where(F.col("shard").isin([k for k, yes in affected.items() if yes]))
+    cut = wanted.select(F.col("cell").alias("__cell"), F.col("parts").alias("__parts")).distinct()
+    placed = wanted.select(F.col("block").alias("__block"), F.col("shard").alias("__shard"))
+    source = docs.withColumn("__own", _cell(n_old, old_col, text_col, cells))
+    source = source.join(F.broadcast(cut), F.col("__own") == F.col("__cell"))
+    part = F.when(F.col("__parts") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(id_col), F.col("__parts")).cast("int"))
+    moved = source.withColumn("__at", F.col("__own") * most_parts + part).join(F.broadcast(placed), F.col("__at") == F.col("__block"))
     kept = [c for c in docs.columns if c != old_col]
-    moved.select(*kept, F.col("__shard").alias("shard")).repartition("shard", F.pmod(F.xxhash64(id_col), F.lit(64))).write.partitionBy("shard").parquet(out)
+    return moved.select(*kept, F.col("__shard").alias("shard")), affected
+
+
+def reshard_files(docs: DataFrame, out: str, n_old: int, n_new: int, id_col: str = "doc_id", text_col: str = "text", old_col: str | None = None, **how) -> dict[int, bool]:
+    """Write the shards that change as ``out/shard=<k>``; tell for each whether it was rewritten.
+
+    The files of others stay as they are. ``old_col`` is not written, the folder says it.
+    """
+    moved, affected = rewritten(docs, n_old, n_new, id_col, text_col, old_col, **how)
+    moved.repartition("shard", F.pmod(F.xxhash64(id_col), F.lit(64))).write.partitionBy("shard").parquet(out)
     return affected
 
 

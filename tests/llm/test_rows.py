@@ -118,6 +118,16 @@ def test_reshard_of_a_real_layout(spark, tmp_path):
     assert set(written[0].asDict()) == {"doc_id", "text", "cell", "shard"}
 
 
+def test_resharding_moves_no_text_to_find_its_shard(spark):
+    docs = documents(spark, [(k, f"hot text {k % 2} " * 60, "en", "a", 1) for k in range(300, 700)])
+    moved, affected = sharding.rewritten(docs, 2, 3, cells=32)
+    plan = moved._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line and "ENSURE_REQUIREMENTS" not in line]
+    assert "SortMergeJoin" not in plan and not shuffles and plan.count("BroadcastHashJoin") == 2
+    want = {(r["doc_id"], r["shard"]) for r in sharding.assign(docs, 2, 3, cells=32).collect() if affected[r["shard"]]}
+    assert {(r["doc_id"], r["shard"]) for r in moved.collect()} == want
+
+
 def test_reshard_files_writes_what_changed(spark, tmp_path):
     docs = documents(spark)
     affected = sharding.reshard_files(docs, str(tmp_path / "out"), 2, 3, cells=32)
@@ -308,6 +318,22 @@ def test_pii_bootstraps_unseen_identifiers(spark):
     assert found[320]["spans"] == "secret:9:29" and found[321]["spans"] == ""
 
 
+def test_pii_patterns_find_what_other_texts_seed(spark):
+    """Seeds of half the texts; patterns find the rest and nothing beside it."""
+    rng = random.Random(12)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    data = [(k, f'{word()} {word()} token = "{key()}" {word()} {word()}', "en", "a", 1) for k in range(60)]
+    data += [(100 + k, f"{word()} version {k}.0 of {rng.randint(10**8, 10**9)} {word()}", "en", "a", 1) for k in range(20)]
+    docs = spark.createDataFrame(data, DOCS)
+    whole = {r["doc_id"]: r for r in pii.extract(docs).collect()}
+    half = {r["doc_id"]: r for r in pii.extract(docs, seeded=0.5).collect()}
+    assert {k: r["spans"] for k, r in half.items()} == {k: r["spans"] for k, r in whole.items()}
+    assert sum(r["n_added"] for r in whole.values()) == 60 and not any(r["n_induced"] for r in whole.values())
+    found = sum(r["n_induced"] for r in half.values())
+    assert 15 <= found <= 45 and all(r["n_induced"] <= r["n_added"] for r in half.values())
+
+
 def test_pii_runs_no_python(spark):
     plan = pii.extract(documents(spark))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
