@@ -6,6 +6,7 @@ from keys and names by the same expressions on both sides.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +18,11 @@ from quire.functions import genre as G
 from quire.functions import isbn as I
 from quire.functions import payload as P
 from quire.functions import text as T
-from quire.operators import classify, dedupe, index_sync, metrics, model
+from quire.operators import classify, dedupe, enrich, index_sync, metrics, model
 from quire.operators import metadata as M
 from quire.operators.enrich import route
+from quire.sources import buckets, state
+from quire.streaming import keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -651,3 +654,108 @@ _LOG = ["A6 full_ok path=/a data={}", "x A6 fast_ok path=/a data={\"t\": 1}", "A
 @query(f"""select regexp_extract(l, 'A6 (full_ok|iter_ok|fast_ok|fast_fallback) .*?[{{].*[}}]', 1) as kind, count(*) as n from (select {by_turn_sql('p_partkey', _LOG)} as l from part) where regexp_extract(l, 'A6 (full_ok|iter_ok|fast_ok|fast_fallback) .*?[{{].*[}}]', 1) <> '' group by 1""")
 def model_result_kinds(spark, sf_dir):
     return metrics.model_result_kinds(read(spark, sf_dir, "part").select(by_turn(F.col("p_partkey"), _LOG).alias("value")))
+
+
+_NO_ANSWERS = "cache_key string, payload_json string"
+
+
+def _reader(requests: list[str]) -> list[str | None]:
+    """Wants more text until a piece holds a multiple of five times the letter e."""
+    sure = [json.loads(r)[-1].count("e") % 5 == 0 for r in requests]
+    return [json.dumps({"title": "T", "confidence": 5 if yes else 1, "need_more_text": True}) for yes in sure]
+
+
+@query("""with c as (select doc_id, text, least(cast(ceil(length(text) / 400.0) as int), 4) as n from documents),
+p as (select doc_id, n, k, substring(text, cast(k as int) * 400 - 399, 400) as piece from c, range(1, 5) as r(k) where k <= n)
+select doc_id, cast(coalesce(min(case when (length(piece) - length(replace(piece, 'e', ''))) % 5 = 0 then k end), max(n)) as int) as rounds from p group by doc_id""")
+def model_rounds(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", T.text_chunks(F.col("text"), 400, 4).alias("pieces"))
+    answers, _ = model.ask_rounds(rows, "doc_id", "pieces", _reader, spark.createDataFrame([], _NO_ANSWERS), most=4)
+    return answers.select("doc_id", "rounds")
+
+
+@query("""select p_partkey, case when p_partkey % 2 = 1 then p_name when p_partkey % 7 = 0 then 'One' when p_partkey % 5 = 1 then 'Two' else '' end as title,
+    case when p_partkey % 2 = 0 and (p_partkey % 7 = 0 or p_partkey % 5 = 1) then 'isbn' else 'filename' end as source from part""")
+def isbn_rounds(spark, sf_dir):
+    key = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.when(key % 2 == 1, F.col("p_name")).otherwise("").alias("title"), F.lit("An author").alias("author"), F.lit("Unknown").alias("genre"), F.lit(0.35).alias("confidence"), F.lit("filename").alias("source"), F.array(F.concat(F.lit("a"), (key % 7).cast("string")), F.concat(F.lit("b"), (key % 5).cast("string"))).alias("found"))
+    one = lambda requests: ['{"title": "One"}' if r == "a0" else None for r in requests]
+    two = lambda requests: ['{"items": [{"volumeInfo": {"title": "Two"}}]}' if r == "b1" else None for r in requests]
+    providers = [("openlibrary", one, enrich.open_library), ("googlebooks", two, enrich.google_books)]
+    out, _ = enrich.ask_isbn(rows, ["p_partkey"], "found", providers, spark.createDataFrame([], _NO_ANSWERS))
+    return out.select("p_partkey", "title", "source")
+
+
+@query("""select p_partkey, case when p_partkey % 6 = 0 then 'Война и мир' else 'Книга ' || case when p_partkey % 2 = 0 then 'Война и мир' else p_name end end as title,
+    case when p_partkey % 3 = 0 then 'Лев Толстой' else p_brand end as author from part""")
+def translated_names(spark, sf_dir):
+    key = F.col("p_partkey")
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.when(key % 2 == 0, "Война и мир").otherwise(F.col("p_name")).alias("title"), F.when(key % 3 == 0, "Лев Толстой").otherwise(F.col("p_brand")).alias("author"))
+    provider = lambda requests: [json.dumps({"title": f"Книга {json.loads(r)['title']}", "author": ""}) for r in requests]
+    return model.translate_names(rows, provider, spark.createDataFrame([], _NO_ANSWERS), "ru")[0]
+
+
+# --- state across runs ---------------------------------------------------------------------------
+@query(f"""with v as (select p_partkey, {_ASKED} as stem from part), e as (select distinct stem from v where p_partkey % 2 = 0),
+n as (select v.*, row_number() over (partition by v.stem order by p_partkey) - 1 + case when e.stem is null then 0 else 1 end as r from v left join e on v.stem = e.stem where p_partkey % 2 = 1),
+t as (select regexp_extract(stem, {_NUMBERED}, 1) as base, list(distinct cast(regexp_extract(stem, {_NUMBERED}, 2) as bigint)) as l from v where regexp_matches(stem, {_NUMBERED}) group by 1)
+select p_partkey, case when r = 0 then n.stem else n.stem || '_' || list_filter(range(1, r + 2 + coalesce(len(l), 0)), lambda i: not list_contains(coalesce(l, []), i))[r] end || '.zip' as unique_dest from n left join t on base = n.stem""")
+def names_across_runs(spark, sf_dir):
+    """Names for the odd parts; those of the even ones were given by an earlier run."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.expr(_ASKED), F.lit(".zip")).alias("dest"))
+    stem, end = lambda x: F.regexp_replace(x, r"\.zip$", ""), lambda _: F.lit(".zip")
+    return dedupe.unique_names(rows.where("p_partkey % 2 = 1"), "dest", ["p_partkey"], stem, end, rows.where("p_partkey % 2 = 0").select("dest")).select("p_partkey", "unique_dest")
+
+
+@query("""select '/t/' || p_partkey || '.zip' as path_key, cast(p_size + case when p_partkey % 7 = 0 then 1 else 0 end as bigint) as size_bytes,
+    case when p_partkey % 7 = 0 then 'new' else 'old' end as xxh64, 'ok' as status from part where p_partkey % 11 <> 0""")
+def index_upserts(spark, sf_dir):
+    """A target index published, then brought up to date: changed files, and files that are gone."""
+    root, key = state.scratch(spark, "index"), F.col("p_partkey")
+    files = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/t/"), key.cast("string"), F.lit(".zip")).alias("path_key"), F.col("p_size").cast("long").alias("size_bytes"), key.alias("mtime_ns"))
+    hashed = lambda x: files.select("path_key", F.lit(x).alias("xxh64"), F.lit("").alias("note"))
+    listing = files.drop("p_partkey")
+    index_sync.publish_changes(spark, root, listing, hashed("old"))
+    now = files.where("p_partkey % 11 <> 0").withColumn("size_bytes", F.col("size_bytes") + F.when(key % 7 == 0, 1).otherwise(0)).drop("p_partkey")
+    index_sync.publish_changes(spark, root, now, hashed("new"))
+    return buckets.read(spark, root, index_sync.INDEX).select("path_key", "size_bytes", "xxh64", "status")
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, run: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """``run`` over ``rows`` as a stream, written and read back once it is used up."""
+    place = state.scratch(spark, "stream")
+    rows.write.parquet(f"{place}/in")
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    spark.conf.set(empty, "false")  # else timers keep the query going
+    try:
+        out = run(spark.readStream.schema(rows.schema).parquet(f"{place}/in"))
+        out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/ck").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(empty, before)
+    return spark.read.schema(schema).parquet(f"{place}/out")
+
+
+@query("""select action, count(*) as n, cast(sum(n_seen) as bigint) as children, cast(sum(packed) as bigint) as packed from (
+    select o_custkey, count(*) as n_seen, count(*) filter (where o_orderkey % 3 = 0 and o_orderkey % 2 = 0) as packed, case when bool_or(o_orderkey % 3 = 0) then 'delete_eligible' else 'move_nobook' end as action
+    from orders group by o_custkey having o_custkey % 5 <> 0) group by action""")
+def archives_streamed(spark, sf_dir):
+    """Customers as archives and their orders as children; every fifth waits for a child for ever."""
+    orders, key = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    children = orders.select("o_custkey", "o_orderkey", (key % 3 == 0).alias("is_book"), F.when(key % 3 != 0, "nobook").when(key % 2 == 0, "packed").otherwise("failed").alias("result"), F.lit(1).alias("size_bytes"))
+    sizes = orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    waits = F.when(F.col("o_custkey") % 5 == 0, 1).otherwise(0)
+    events = keyed.announcements(sizes, "o_custkey", F.col("n") + waits).unionByName(keyed.results(children, "o_custkey", key.cast("string")))
+    told = _streamed(spark, events.withColumn("archive_source", F.col("archive_source").cast("string")), keyed.complete_archives, keyed.CLOSED)
+    return told.groupBy("action").agg(F.count("*").alias("n"), F.sum("n_seen").alias("children"), F.sum("book_packed").alias("packed"))
+
+
+@query("""with h as (select doc_id, md5(text) as h from documents), known as (select distinct h from h where doc_id % 10 = 0),
+c as (select h.h, count(*) as n, case when known.h is null then 1 else 0 end as fresh from h left join known on h.h = known.h group by h.h, known.h)
+select 'unique' as status, cast(sum(fresh) as bigint) as n from c union all select 'duplicate', cast(sum(n - fresh) as bigint) from c""")
+def first_writers_streamed(spark, sf_dir):
+    """Documents as arriving files; every tenth is in the published index already."""
+    rows = read(spark, sf_dir, "documents").select(F.md5("text").alias("xxh64"), F.col("doc_id").cast("string").alias("path"))
+    known = rows.where(F.col("path").cast("long") % 10 == 0).select("xxh64", F.col("path").alias("canonical_zip"))
+    told = _streamed(spark, rows, lambda stream: keyed.first_writers(stream, "xxh64", "path", known), "xxh64 string, path string, status string, canonical string")
+    return told.groupBy("status").agg(F.count("*").alias("n"))

@@ -98,19 +98,23 @@ def write_snapshot(df: DataFrame, root: str) -> int:
     return publish(spark, root, v, {"data": data})
 
 
-def settled(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once and read back, so that what made it never runs twice.
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new place in the folder of spark.checkpoint.dir, shared by driver and executors.
 
-    It lies in the folder of spark.checkpoint.dir, shared by driver and executors; only a session
-    that runs in one process may do without that setting.
+    Only a session that runs in one process may do without that setting.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quire-")
-    path = f"{folder.rstrip('/')}/quire/{tag}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/quire/{tag}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once and read back, so that what made it never runs twice."""
+    spark = df.sparkSession
+    path = scratch(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
