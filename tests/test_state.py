@@ -111,11 +111,11 @@ def test_names_of_earlier_runs_are_not_given_again(spark):
 
 
 def test_two_runs_name_different_books_apart(spark, tmp_path):
-    for run, body in (("one", "Chapter one. " * 30), ("two", "Another text, chapter two. " * 30), ("three", "A third text, isbn and chapter. " * 30)):
+    for run, body in (("one", "Chapter one. " * 30), ("two", "Another text, chapter two. " * 30)):
         (tmp_path / run).mkdir()
         (tmp_path / run / "Ann Author - The Title.txt").write_text(body)
         catalogue.run(spark, [str(tmp_path / run)], str(tmp_path / "state"), catalogue.Config(target="/lib", task_bytes=None if run == "one" else 1 << 20))
     names = sorted(r["canonical_zip"] for r in buckets.read(spark, str(tmp_path / "state" / "hash_index"), catalogue.HASH_SCHEMA).collect())
-    assert len(names) == len(set(names)) == 3 and sum(n.endswith("/The Title.zip") for n in names) == 1
+    assert len(names) == len(set(names)) == 2 and sum(n.endswith("/The Title.zip") for n in names) == 1
     again = catalogue.run(spark, [str(tmp_path / "two")], str(tmp_path / "state"), catalogue.Config(target="/lib")).collect()
     assert [r["status"] for r in again] == ["duplicate"]
