@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,17 +52,26 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
-def window_anchors(h: np.ndarray, width: int) -> np.ndarray:
-    """Leftmost place of the least hash among ``width`` places from each position on."""
+def window_anchors(h: np.ndarray, width: int, starts: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leftmost place of the least hash among ``width`` places from each position on, and in further ranges.
+
+    ``widths`` of the ranges from ``starts`` on are at most ``width``. A range is covered by two of the
+    next lower power of two.
+    """
     key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    out = np.zeros(len(starts), np.uint64)
     have = 1
-    while have * 2 <= width:
-        key = np.minimum(key[:-have], key[have:]) if len(key) > have else key[:0]
+    while True:
+        own = (widths >= have) & (widths < 2 * have)
+        out[own] = np.minimum(key[starts[own]], key[starts[own] + widths[own] - have])
+        if have * 2 > width or len(key) <= have:
+            break
+        key = np.minimum(key[:-have], key[have:])
         have *= 2
-    if have < width:
-        rest = width - have
-        key = np.minimum(key[:-rest], key[rest:]) if len(key) > rest else key[:0]
-    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    rest = width - have
+    every = np.minimum(key[: len(key) - rest], key[rest:]) if have * 2 > width and len(key) > rest else key[:0]
+    low = np.uint64(0xFFFFFFFF)
+    return (every & low).astype(np.int64), (out & low).astype(np.int64)
 
 
 def word_windows(data: np.ndarray, ends: np.ndarray, words: int, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,21 +90,6 @@ def word_windows(data: np.ndarray, ends: np.ndarray, words: int, span: int) -> t
     return a[fits], b[fits]
 
 
-def range_anchors(h: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
-    """Leftmost place of the least hash in each range of ``widths`` places, by two overlapping powers of two."""
-    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-    out = np.zeros(len(starts), np.uint64)
-    have = 1
-    while len(starts):
-        own = (widths >= have) & (widths < 2 * have)
-        out[own] = np.minimum(key[starts[own]], key[starts[own] + widths[own] - have])
-        if have * 2 > int(widths.max()):
-            break
-        key = np.minimum(key[:-have], key[have:])
-        have *= 2
-    return (out & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-
 def anchors(texts: TextBatch, a: int, b: int, span: int, words: int) -> tuple[np.ndarray, ...]:
     """(row, hash, first window, last window, anchors) of rows a..b, merged by hash.
 
@@ -106,14 +99,11 @@ def anchors(texts: TextBatch, a: int, b: int, span: int, words: int) -> tuple[np
     data = texts.bytes[base : texts.bounds[b]]
     empty = np.zeros(0, np.int64)
     h = gram_hashes(data)
-    at = window_anchors(h, span - GRAM + 1)
+    first, stop = word_windows(data, ends, words, span) if len(h) else (empty, empty)
+    at, own = window_anchors(h, span - GRAM + 1, first, stop - first - GRAM + 1)
     row = np.searchsorted(ends, np.arange(len(at)), side="right") - 1
     start = np.flatnonzero(np.arange(len(at)) + span <= ends[row + 1]) if len(at) else empty
-    place = at[start]
-    if words and len(h):
-        first, stop = word_windows(data, ends, words, span)
-        start = np.concatenate((start, first))
-        place = np.concatenate((place, range_anchors(h, first, stop - first - GRAM + 1)))
+    start, place = np.concatenate((start, first)), np.concatenate((at[start], own))
     if not len(start):
         return empty, empty, empty, empty, empty
     # windows by anchor; a place lies in one row
@@ -244,25 +234,60 @@ def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 Passage = tuple[int, int, int, bytes, bytes]
 
 
+def range_digests(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, factor: int) -> np.ndarray:
+    """Hash of the bytes in each range, whatever its place."""
+    n = len(data) + 1
+    up, down = np.full(n, np.uint64(factor)), np.full(n, np.uint64(pow(factor, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * np.multiply.accumulate(up)[:-1])))
+    return mix64((sums[stops] - sums[starts]) * np.multiply.accumulate(down)[starts]) + (stops - starts).astype(np.uint64)
+
+
+def repeated_windows(rows: list[Passage]) -> Iterator[tuple[int, int, int, int, bool]]:
+    """Runs of the windows in ``rows`` (sorted by owner) that stand at two places or more, by digests of 128 bits."""
+    owner, texts = {}, np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+    base = np.cumsum([0] + [len(r[3]) for r in rows[:-1]])
+    windows = [np.frombuffer(r[4], np.int32).reshape(-1, 2).astype(np.int64) for r in rows]
+    size = [len(w) for w in windows]
+    if not sum(size):
+        return
+    pairs = np.concatenate(windows)
+    at = np.repeat(base, size)
+    who = np.repeat([owner.setdefault(r[:2], len(owner)) for r in rows], size)
+    place = pairs[:, 0] + np.repeat([r[2] for r in rows], size)
+    one, two = (range_digests(texts, pairs[:, 0] + at, pairs[:, 1] + at, f) for f in (_STEP, 0xD1342543DE82EF95))
+    order = np.lexsort((place, who, two, one))
+    one, two, who, place, length = one[order], two[order], who[order], place[order], (pairs[:, 1] - pairs[:, 0])[order]
+    head = np.flatnonzero(np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+    last = np.append(head[1:], len(one)) - 1
+    twice = np.repeat((who[head] != who[last]) | (place[head] != place[last]), last - head + 1)
+    who, a, b = who[twice], place[twice], (place + length)[twice]
+    order = np.lexsort((a, who))
+    who, a, b = who[order], a[order], b[order]
+    # windows of one owner end in the order of their starts
+    new = np.ones(len(a), bool)
+    new[1:] = (who[1:] != who[:-1]) | (a[1:] > b[:-1])
+    head = np.flatnonzero(new)
+    names = list(owner)
+    for k, x, y in zip(who[head].tolist(), a[head].tolist(), b[np.append(head[1:], len(a))[: len(head)] - 1].tolist(), strict=True):
+        yield *names[k], x, y, False
+
+
 def block_spans(rows: list[Passage], span: int) -> Iterator[tuple[int, int, int, int, bool]]:
     """Repeated (x1, x2, start, end, wide) of one block's passages (x1, x2, start, body, windows).
 
-    Wide runs are covered by matches of ``span`` bytes, the others are windows of words; ``windows``
-    holds their starts and stops within the body.
+    Wide runs are covered by matches of ``span`` bytes, the others by windows of words; ``windows``
+    holds starts and stops of a passage's windows within its body.
     """
+    rows = sorted(rows)
     joined: list[tuple[int, int, int, bytes]] = []
-    held: dict[bytes, set[tuple[int, int, int, int]]] = {}
-    for x1, x2, start, body, packed in sorted(rows):
+    for x1, x2, start, body, _ in rows:
         if joined and joined[-1][:2] == (x1, x2) and start <= joined[-1][2] + len(joined[-1][3]):
             _, _, s, have = joined[-1]
             joined[-1] = (x1, x2, s, have + body[max(0, s + len(have) - start) :])
         else:
             joined.append((x1, x2, start, body))
-        for a, b in np.frombuffer(packed, np.int32).reshape(-1, 2).tolist():
-            held.setdefault(xxhash.xxh3_128_digest(body[a:b]), set()).add((x1, x2, start + a, start + b))
-    for places in held.values():
-        if len(places) > 1:
-            yield from ((*place, False) for place in places)
+    yield from repeated_windows(rows)
     owners: dict[bytes, list[int]] = {}
     for k, row in enumerate(joined):
         owners.setdefault(row[3], []).append(k)
@@ -453,7 +478,7 @@ def _all_of(span: int):
             out = []
             for x1, x2, body, packed in zip(*(batch.column(c).to_pylist() for c in ("x1", "x2", "body", "windows")), strict=True):
                 out += [(x1, x2, 0, len(body), True)] if len(body) >= span else []
-                out += [(x1, x2, a, b, False) for a, b in np.frombuffer(packed, np.int32).reshape(-1, 2).tolist()]
+                out += [(x1, x2, a, b, False) for a, b in _merged(iter(np.frombuffer(packed, np.int32).reshape(-1, 2).tolist()))]
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:4]), pa.array(columns[4], pa.bool_())], names=["x1", "x2", "start", "stop", "wide"])
 
