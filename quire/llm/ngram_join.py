@@ -10,10 +10,15 @@
    question are read again, found through a bitmap of fixed size; a wider sketch spares most
    pairs that fail the move of their texts.
 
+A shingle that only one class has meets nothing: bitmaps of fixed size tell most of those where
+classes are read, so they do not travel.
+
 A shingle shared by more than ``star`` classes does not emit all pairs: its classes are first
-compared with one leader, then (in further rounds, with other leaders) only with classes that are
-not yet in the same component, at last all such pairs. A skipped pair is one whose ends are
-connected already, so components are exact and nothing is capped.
+compared with one leader, then (in further rounds, with several leaders, drawn from classes without
+links as long as there are any) only with classes that are not yet in the same component, at last
+all such pairs. A skipped pair is one whose ends are connected already, so components are exact and
+nothing is capped. The last round has each pair at the first of its crowded shingles, as far as both
+classes name it among their first ``FIRSTS``.
 
 Defined results: null text and text without words have no shingles, n_shingles 0, and link with
 nothing; fewer words than a shingle count as one shingle; equal sets link; rows that repeat an id
@@ -31,12 +36,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from quire.llm.common import TextBatch, components, discard, drop_marked, lean, mix64, small_batches, table, written
 
 COUNTER_BITS, SLICE_BITS = 20, 14
 NODE_BITS = 26
 LANES, WIDE = 16, 64
+LEADERS, FIRSTS = 4, 6
 SKETCH = [f"s{k}" for k in range(LANES)]
 _ODD = np.array([0x9E6C63D0876A9A99, 0xC2B2AE3D27D4EB4F, 0xB492B66FBE98F273, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0xA0761D6478BD642F], np.uint64)
 
@@ -153,6 +160,49 @@ def prefixes(source: DataFrame, counters: np.ndarray, width: int, percent: int)
     return source.mapInArrow(lean(run), f"doc_id {id_type}, raw long, d binary, n int, {', '.join(f'{c} long' for c in SKETCH)}, prefix array<long>")
 
 
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """2**NODE_BITS bits, a fixed size whatever the input; those of column ``x`` are set."""
+    places = hashes.select((F.pmod("x", F.lit(1 << NODE_BITS)) + 1).alias("x"))
+    marks = places.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    out = np.zeros((1 << NODE_BITS) // 8, np.uint8)
+    for row in marks.collect():
+        start = (row["bucket"] - 1) * 4096
+        out[start : start + 4096] |= np.frombuffer(bytes(row["bits"]), np.uint8)
+    return out
+
+
+def _marked(bitmap: np.ndarray, x: np.ndarray) -> np.ndarray:
+    place = x & np.int64((1 << NODE_BITS) - 1)
+    return (bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _thinned(classes: DataFrame, often: DataFrame, star: int) -> DataFrame:
+    """``classes`` with ``pos`` and ``h`` of those prefix shingles that other classes may share.
+
+    None that is shared is left out. ``firsts``: the first few of them that may be crowded.
+    """
+    marks = [_bitmap(often.where(F.col("c") > least).select(F.col("h").alias("x"))) for least in (1, star)]
+    shared = classes.sparkSession.sparkContext.broadcast(marks)
+    rest = [f for f in classes.schema if f.name != "prefix"]
+    schema = StructType([*rest, StructField("pos", ArrayType(IntegerType())), StructField("h", ArrayType(LongType())), StructField("firsts", ArrayType(LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, many = shared.value
+        for batch in batches:
+            lists = batch.column("prefix")
+            h, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+            row, pos = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ends = lambda keep: pa.array(np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(sizes))))), pa.int32())
+            keep = _marked(some, h)
+            first = np.flatnonzero(_marked(many, h))
+            counts = np.bincount(row[first], minlength=len(sizes))
+            first = first[np.arange(len(first)) - np.repeat(np.cumsum(counts) - counts, counts) < FIRSTS]
+            told = [pa.ListArray.from_arrays(ends(keep), pa.array(pos[keep], pa.int32())), pa.ListArray.from_arrays(ends(keep), pa.array(h[keep])), pa.ListArray.from_arrays(ends(first), pa.array(h[first]))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), *told], names=schema.names)
+
+    return classes.mapInArrow(lean(run), schema)
+
+
 def _texts(source: DataFrame, pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(d, n, wide, body) of the classes in ``pairs``; others may come along, none is left out.
 
@@ -164,19 +214,12 @@ def _texts(source: DataFrame, pairs: DataFrame, texts: DataFrame, width: int) ->
     passed over before anything is made of them.
     """
     nodes = pairs.select(F.col("a").alias("d")).union(pairs.select(F.col("b").alias("d"))).distinct()
-    places = nodes.join(texts, "d").select((F.pmod("raw", F.lit(1 << NODE_BITS)) + 1).alias("x"))
-    marks = places.groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
-    wanted = np.zeros((1 << NODE_BITS) // 8, np.uint8)  # a fixed size, whatever the input
-    for row in marks.collect():
-        start = (row["bucket"] - 1) * 4096
-        wanted[start : start + 4096] |= np.frombuffer(bytes(row["bits"]), np.uint8)
-    shared = source.sparkSession.sparkContext.broadcast(wanted)
+    shared = source.sparkSession.sparkContext.broadcast(_bitmap(nodes.join(texts, "d").select(F.col("raw").alias("x"))))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, seen = Shingler(width), set()
         for batch in batches:
-            place = batch.column("raw").to_numpy() & np.int64((1 << NODE_BITS) - 1)
-            batch = batch.filter(pa.array((shared.value[place >> 3] >> (place & 7) & 1).astype(bool)))
+            batch = batch.filter(pa.array(_marked(shared.value, batch.column("raw").to_numpy())))
             texts = TextBatch(batch.column("text"))
             for a, b in texts.groups(1 << 20):
                 d, n, wide, bodies = [], [], [], []
@@ -261,14 +304,15 @@ def link_texts(docs: DataFrame, width: int = 3, percent: int = 90, star: int = 4
     classes = whole.where("d is not null").groupBy("d").agg(F.min("doc_id").alias("least_id"), F.min("raw").alias("raw"), *(F.first(c).alias(c) for c in ("n", *SKETCH, "prefix")))
     classes = written(classes, "join-classes")
     discard(whole)
-    entries = classes.select("d", "n", F.posexplode("prefix").alias("pos", "h"))
-    often = entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    shared = written(entries.join(often, "h"), "join-entries")
-    slim = written(classes.drop("prefix"), "join-slim")
+    often = written(classes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "join-often")
+    thin = written(_thinned(classes, often, star), "join-thin")
     discard(classes)
-    classes = slim
+    entries = thin.select("d", "n", F.inline(F.arrays_zip("pos", "h")))
+    shared = written(entries.join(often, "h"), "join-entries")
+    discard(often)
+    classes = thin.drop("pos", "h")
     slim = classes.select("d", "n", *SKETCH)
-    crowded = written(shared.where(F.col("c") > star).drop("c").join(slim.drop("n"), "d"), "join-crowded")
+    crowded = written(shared.where(F.col("c") > star).drop("c").join(classes.select("d", *SKETCH, "firsts"), "d"), "join-crowded")
 
     few = shared.where(F.col("c") <= star)
     near = _pairs(few.alias("l").join(few.alias("r"), (F.col("l.h") == F.col("r.h")) & (F.col("l.d") < F.col("r.d")) & _could_link(percent)))
@@ -278,20 +322,27 @@ def link_texts(docs: DataFrame, width: int = 3, percent: int = 90, star: int = 4
     found, tested, labels = None, None, None
     for turn in range(star_rounds + 2):
         last = turn == star_rounds + 1
-        crowd = crowded.withColumn("lab", F.col("d")) if labels is None else crowded.join(labels, F.col("d") == F.col("node"), "left").withColumn("lab", F.coalesce("component", "d")).drop("node", "component")
+        if labels is None:
+            crowd = crowded.withColumn("lab", F.col("d")).withColumn("alone", F.lit(True))
+        else:
+            crowd = crowded.join(labels, F.col("d") == F.col("node"), "left").withColumn("lab", F.coalesce("component", "d")).withColumn("alone", F.col("node").isNull()).drop("node", "component")
         crowd = crowd if labels is None else written(crowd, "join-crowd")
         left, right = crowd.alias("l"), crowd
         if last:
             # a shingle whose classes are all connected has no pair left
             open_h = crowd.groupBy("h").agg(F.min("lab").alias("x"), F.max("lab").alias("y")).where("x <> y").select("h")
             right = written(crowd.join(written(open_h, "join-open"), "h", "left_semi"), "join-rest")
-            left, order = right.alias("l"), F.col("l.d") < F.col("r.d")
+            # what both have among their firsts was met there, or as a pair of few classes
+            first = F.get(F.array_intersect("l.firsts", "r.firsts"), F.lit(0))
+            left, order, once = right.alias("l"), F.col("l.d") < F.col("r.d"), first.isNull() | (first == F.col("l.h"))
         else:
-            lead = crowd.groupBy("h").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "d").alias("o"), "d", "lab", "n", "pos")).alias("x"))
+            place = F.xxhash64(F.lit(turn), "d")
+            several = F.pmod(place, F.lit(LEADERS)) if turn else F.lit(0)
+            lead = crowd.groupBy("h", several.alias("seat")).agg(F.min(F.struct((~F.col("alone")).alias("linked"), place.alias("o"), "d", "lab", "n", "pos")).alias("x"))
             # written, so that leaders are combined before their shuffle and Spark can split the join
             lead = written(lead.select("h", "x.*"), "join-leaders")
-            right, order = written(lead.join(slim.drop("n"), "d"), "join-sketched"), F.lit(True)
-        meets = (F.col("l.h") == F.col("r.h")) & (F.col("l.lab") != F.col("r.lab")) & order & _could_link(percent) & _near_sketch(percent)
+            right, order, once = written(lead.join(slim.drop("n"), "d"), "join-sketched"), F.lit(True), F.lit(True)
+        meets = (F.col("l.h") == F.col("r.h")) & (F.col("l.lab") != F.col("r.lab")) & order & _could_link(percent) & _near_sketch(percent) & once
         more = _pairs(left.join(right.alias("r"), meets))
         if turn == 0:
             more = more.union(near).distinct()

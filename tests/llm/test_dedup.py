@@ -68,6 +68,36 @@ def test_ngram_join_against_all_pairs(spark, width, percent):
     assert by_id(ngram_join.link_texts(docs, width, percent, star=2), "n_shingles", "component_id") == want
 
 
+def test_last_round_meets_each_pair_once(spark, monkeypatch):
+    """A large group about the threshold: many texts, few of them linked through leaders."""
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(120)]
+    data = [(k, " ".join(w if rng.random() > 0.022 else f"x{k}_{i}" for i, w in enumerate(base)), "en", "a", 1) for k in range(90)]
+    sets = [shingles(t, 5) for _, t, *_ in data]
+    least = {}
+    label = linked(sets, 80)
+    for k, x in enumerate(label):
+        least.setdefault(x, k)
+    joined, plain = [], ngram_join._pairs
+
+    def counted(rows):
+        joined.append((rows.count(), plain(rows).count()))
+        return plain(rows)
+
+    monkeypatch.setattr(ngram_join, "_pairs", counted)
+    got = by_id(ngram_join.link_texts(spark.createDataFrame(data, DOCS), 5, 80), "component_id")
+    assert got == {k: [(least[x],)] for k, x in enumerate(label)} and 1 < len(least) < 90
+    rows, pairs = joined[-1]
+    assert 50 < pairs <= rows < 2 * pairs
+
+
+def test_shingles_of_one_class_stay_where_they_are(spark):
+    classes = spark.createDataFrame([(b"a", [5, 1 << 40, 7, 9]), (b"b", [7, 5, -3]), (b"c", [7, 11, 5]), (b"d", [])], "d binary, prefix array<long>")
+    often = spark.createDataFrame([(5, 3), (7, 3), (-3, 2)], "h long, c long")
+    got = {bytes(r["d"]): (list(r["pos"]), list(r["h"]), list(r["firsts"])) for r in ngram_join._thinned(classes, often, 2).collect()}
+    assert got == {b"a": ([0, 2], [5, 7], [5, 7]), b"b": ([0, 1, 2], [7, 5, -3], [7, 5]), b"c": ([0, 2], [7, 5], [7, 5]), b"d": ([], [], [])}
+
+
 def test_ngram_join_odd_rows(spark):
     got = by_id(ngram_join.link_texts(documents(spark)), "n_shingles", "component_id")
     assert got[3] == [(0, 3)] and got[4] == [(0, 4)] and got[7] == [(1, 7)]
