@@ -6,13 +6,15 @@ few leading bytes stays in SQL.
 
 from __future__ import annotations
 
+import functools
 import io
 import re
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
@@ -28,6 +30,25 @@ _GUESSES = ("cp1251", "koi8-r", "cp1252", "iso-8859-5", "latin1")
 _UTF16 = (b"\xff\xfe", b"\xfe\xff")
 
 
+_BATCH_KEY, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 256
+
+
+def few_rows(udf: Callable[..., Column]) -> Callable[..., Column]:
+    """A function of whole contents: they come in Arrow batches of few rows, unless the session says otherwise.
+
+    A worker holds a batch several times over, as bytes, as text and as its result.
+    """
+
+    @functools.wraps(udf)
+    def call(*columns) -> Column:
+        spark = SparkSession.getActiveSession()
+        if spark is not None and spark.conf.get(_BATCH_KEY) == "10000":
+            spark.conf.set(_BATCH_KEY, _BATCH_ROWS)
+        return udf(*columns)
+
+    return call
+
+
 def _strings(*names: str) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
 
@@ -78,6 +99,7 @@ def binary_like(head: bytes | None) -> bool:
     return printable / len(head) < 0.65
 
 
+@few_rows
 @pandas_udf(StringType())
 def smart_decode(raw: pd.Series) -> pd.Series:
     return raw.map(decode)
@@ -88,6 +110,7 @@ def looks_binary(raw: pd.Series) -> pd.Series:
     return raw.map(binary_like)
 
 
+@few_rows
 @pandas_udf(StringType())
 def xxh64(raw: pd.Series) -> pd.Series:
     """XXH64 with seed 0, as 16 hexadecimal digits."""
@@ -170,6 +193,7 @@ def text_of(raw: bytes | None, ext: str | None, most: int, whole: bool = False)
 
 
 def snippet(content: Column, path: Column, most: int = 1800, whole: bool = False) -> Column:
+    @few_rows
     @pandas_udf(StringType())
     def run(raw: pd.Series, ext: pd.Series) -> pd.Series:
         return pd.Series([text_of(r, e, most, whole) for r, e in zip(raw, ext, strict=True)])
@@ -211,6 +235,7 @@ def tags_of(raw: bytes | None, ext: str | None) -> dict[str, str]:
 def tags(content: Column, path: Column) -> Column:
     """struct(title, author, genre)"""
 
+    @few_rows
     @pandas_udf(_strings("title", "author", "genre"))
     def run(raw: pd.Series, ext: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([tags_of(r, e) for r, e in zip(raw, ext, strict=True)], columns=["title", "author", "genre"])
@@ -237,6 +262,7 @@ def payload_hash(raw: bytes | None) -> tuple[str | None, str]:
         return None, type(error).__name__
 
 
+@few_rows
 @pandas_udf(_strings("xxh64", "note"))
 def zip_payload_hash(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([payload_hash(r) for r in raw], columns=["xxh64", "note"])

@@ -118,3 +118,17 @@ def test_payload_columns(spark):
     rows = spark.createDataFrame([('{"title": "Dune", "genre": "sf", "confidence": 4}',), ("x",), (None,)], "t string")
     got = [r.asDict() for r in rows.select(P.parse_payload(F.col("t")).alias("p")).select("p.*").collect()]
     assert got[0]["title"] == "Dune" and got[0]["confidence"] == 4.0 and got[1]["title"] is None and got[2]["genre"] is None
+
+
+def test_whole_contents_come_in_few_rows(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    try:
+        rows = spark.range(0, 3000, 1, 1).select(F.col("id").cast("string").cast("binary").alias("b"))
+        assert rows.select(B.smart_decode("b").alias("x")).agg(F.sum(F.col("x").cast("long"))).first()[0] == 2999 * 1500
+        assert int(spark.conf.get(key)) < 1000
+        spark.conf.set(key, "77")
+        B.xxh64(F.col("b"))
+        assert spark.conf.get(key) == "77"
+    finally:
+        spark.conf.unset(key)
