@@ -26,11 +26,14 @@ def kind_is_nonbook(kind: Column, mime: Column, ext: Column) -> Column:
 
 def book_signals(text: Column) -> Column:
     """Whether the first 1200 characters hold a word that books hold."""
-    head = F.lower(F.left(T.clean(text), F.lit(1200)))
-    out = F.lit(False)
-    for token in C.BOOK_CONTENT_TOKENS:
-        out = out | F.contains(head, F.lit(token))
-    return out
+
+    def held(head: Column) -> Column:
+        out = F.lit(False)
+        for token in C.BOOK_CONTENT_TOKENS:
+            out = out | F.contains(head, F.lit(token))
+        return out
+
+    return T.let(F.lower(F.left(T.clean(text), F.lit(1200))), held)
 
 
 def with_sidecar(files: DataFrame, path: str = "path") -> DataFrame:

@@ -293,3 +293,11 @@ def test_log_routes(spark, tmp_path):
     assert tuple(routes.first()) == ("Наука", "H", "Herbert", "Dune.2024")
     assert tuple(metrics.title_quality(routes).first()) == (1, 0, 0, 1)
     assert state.source_key(["/b/", "/a"]) == state.source_key(["/a", "/b"])
+
+
+def test_text_is_cleaned_once_for_all_signals(spark):
+    rows = spark.createDataFrame([("/t/a.txt", "<b>x</b> see the CHAPTER"), ("/t/b.txt", "y" * 1200 + " isbn"), ("/t/c.txt", None)], "path string, text string")
+    out = rows.select(classify.verdict(F.col("path"), F.lit(10), F.col("text"), F.lit(False), F.lit(False), F.lit(""))["reason"].alias("reason"))
+    assert [r["reason"] for r in out.collect()] == ["text_book_signals", "text_no_book_signals", "text_no_book_signals"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(coalesce(text") <= 2
