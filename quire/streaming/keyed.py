@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HELD = 10_000
 PACKED = ("packed", "duplicate", "duplicate_temp")
 EVENT = "archive_source string, child string, announced long, is_book boolean, result string, size_bytes long"
 CLOSED = "archive_source string, n_seen long, pending long, book_total long, book_packed long, failed long, bytes long, action string"
@@ -39,6 +40,10 @@ class ArchiveTally(StatefulProcessor):
     Children are told apart by name, so an event that comes again changes nothing; they may come before
     the announcement. An archive without news for ``patience`` is emitted as ``expired``. A closed
     archive is remembered for ``keep``: what comes late is dropped and cannot emit it again.
+
+    Each call of the state is a turn to the JVM and back, so names of a batch are held in the task, HELD
+    at most, and stored only where their archive is still open at its end; stored names are looked
+    up only for archives that have some.
     """
 
     def __init__(self, patience: int, keep: int):
@@ -50,31 +55,42 @@ class ArchiveTally(StatefulProcessor):
         self.children = handle.getMapState("children", "child string", "done boolean")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        announced, done, books, packed, failed, size, deadline, closed = self.tally.get() if self.tally.exists() else (None, 0, 0, 0, 0, 0, 0, False)
+        told = self.tally.get()
+        announced, done, books, packed, failed, size, deadline, closed = told or (None, 0, 0, 0, 0, 0, 0, False)
         if closed:
             return
-        news = False
-        for r in rows:
-            if r["announced"] is not None:
-                news, announced = True, max(r["announced"], announced or 0)
-            if r["child"] is None or r["result"] is None or self.children.containsKey((r["child"],)):
+        news, stored, fresh = False, done > 0, set()
+        for _, child, n, is_book, result, n_bytes in rows:
+            if n is not None:
+                news, announced = True, max(n, announced or 0)
+            if child is None or result is None or child in fresh or (stored and self.children.containsKey((child,))):
                 continue
             news = True
-            self.children.updateValue((r["child"],), (True,))
-            book, good = bool(r["is_book"]), r["result"] in PACKED
-            done, books, packed, size = done + 1, books + book, packed + (book and good), size + (r["size_bytes"] or 0)
-            failed += r["result"] == "failed" or (book and not good)
+            fresh.add(child)
+            if len(fresh) >= HELD:
+                self._store(fresh)
+                stored = True
+            book, good = bool(is_book), result in PACKED
+            done, books, packed, size = done + 1, books + book, packed + (book and good), size + (n_bytes or 0)
+            failed += result == "failed" or (book and not good)
         now = timerValues.getCurrentProcessingTimeInMs()
         if announced is not None and done >= announced:
-            yield self._close(key, done, 0, books, packed, failed, size, now)
+            yield self._close(key, done, 0, books, packed, failed, size, now, stored)
         elif news:
+            self._store(fresh)
             deadline = now + self.patience
             self.handle.registerTimer(deadline)
             self.tally.update((announced, done, books, packed, failed, size, deadline, False))
 
-    def _close(self, key, done: int, pending: int, books: int, packed: int, failed: int, size: int, now: int) -> Row:
+    def _store(self, fresh: set[str]) -> None:
+        for child in fresh:
+            self.children.updateValue((child,), (True,))
+        fresh.clear()
+
+    def _close(self, key, done: int, pending: int, books: int, packed: int, failed: int, size: int, now: int, stored: bool = True) -> Row:
         action = "expired" if pending else "delete_eligible" if books else "move_nobook"
-        self.children.clear()
+        if stored:
+            self.children.clear()
         self.tally.update((done + pending, done, books, packed, failed, size, now + self.keep, True))
         self.handle.registerTimer(now + self.keep)
         return Row(archive_source=key[0], n_seen=done, pending=pending, book_total=books, book_packed=packed, failed=failed, bytes=size, action=action)
@@ -111,7 +127,8 @@ def complete_archives(events: DataFrame, patience: str = "1 hour", keep: str = "
     ``events``: a stream of EVENT rows, in any order. Rows without an archive are left out.
     """
     prepare(events.sparkSession)
-    held = events.where(F.col("archive_source").isNotNull()).groupBy("archive_source")
+    columns = [part.split()[0] for part in EVENT.split(", ")]
+    held = events.where(F.col("archive_source").isNotNull()).select(columns).groupBy("archive_source")
     return held.transformWithState(ArchiveTally(millis(patience), millis(keep)), CLOSED, "Append", "ProcessingTime")
 
 
@@ -128,7 +145,8 @@ class FirstWriter(StatefulProcessor):
         self.first.update((initialState["canonical"],))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        known = self.first.get()[0] if self.first.exists() else None
+        known = self.first.get()
+        known = None if known is None else known[0]
         mine = known is None
         for r in rows:
             if mine:

@@ -2,6 +2,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quire.operators import dedupe, metrics
@@ -188,3 +189,70 @@ def test_balanced_scan_equals_the_walk(spark, tmp_path):
     few = files.listing(spark, [str(tmp_path / "a")], rounds=2)  # the last round walks on
     assert sorted(r["path"] for r in few.collect()) == [r[0] for r in want]
     assert files.balanced_scan(spark, [str(tmp_path / "none")]).count() == 0
+
+
+class Stored:
+    """A state variable that counts the calls it gets."""
+
+    calls = 0
+
+    def __init__(self):
+        self.value, self.map = None, {}
+
+    def told(self, x=None):
+        Stored.calls += 1
+        return x
+
+    def get(self):
+        return self.told(self.value)
+
+    def exists(self):
+        return self.told(self.value is not None)
+
+    def update(self, value):
+        self.value = self.told(value)
+
+    def clear(self):
+        self.value, self.map = self.told(), {}
+
+    def containsKey(self, key):
+        return self.told(key in self.map)
+
+    def updateValue(self, key, value):
+        self.map[key] = self.told(value)
+
+
+class Handle:
+    def __init__(self):
+        self.tally, self.children = Stored(), Stored()
+
+    def getValueState(self, *_):
+        return self.tally
+
+    def getMapState(self, *_):
+        return self.children
+
+    def registerTimer(self, _):
+        Stored.calls += 1
+
+    def getCurrentProcessingTimeInMs(self):
+        return 1
+
+
+@pytest.mark.parametrize("most", [10_000, 7])
+def test_an_archive_of_one_batch_asks_the_state_little(monkeypatch, most):
+    monkeypatch.setattr(keyed, "HELD", most, raising=False)
+    handle, tally = Handle(), keyed.ArchiveTally(1000, 1000)
+    tally.init(handle)
+    fields = ["archive_source", "child", "announced", "is_book", "result", "size_bytes"]
+    event = lambda *x: Row(*fields)("a", *x)
+    child = lambda k: event(f"c{k}", None, True, "packed", 1)
+    Stored.calls = 0
+    out = list(tally.handleInputRows(("a",), iter([event(None, 40, None, None, None), *map(child, range(40)), *map(child, range(9))]), handle))
+    assert [(r["n_seen"], r["book_packed"], r["bytes"], r["action"]) for r in out] == [(40, 40, 40, "delete_eligible")]
+    assert most < 40 or Stored.calls <= 5
+    other = Handle()
+    tally.init(other)
+    assert list(tally.handleInputRows(("a",), iter(map(child, [*range(30), *range(20)])), other)) == [] and len(other.children.map) == 30
+    out = list(tally.handleInputRows(("a",), iter([*map(child, range(40)), event(None, 40, None, None, None)]), other))
+    assert [(r["n_seen"], r["bytes"]) for r in out] == [(40, 40)] and not other.children.map
